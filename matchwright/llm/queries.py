@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup
+from . import language_id, minhash_dedup, token_files
 from .common import table
 
 
@@ -23,8 +23,23 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    with open(tokenizer or vocabulary("byte_bpe_50k.json")) as f:
+        model = f.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_documents(spark, token_files.write_tokens(docs, token_files.fresh_folder(spark, "tokens"), model))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
