@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, language_id, minhash_dedup, stable_projection_ann, token_files
+from . import exact_topk, html_extraction, language_id, minhash_dedup, stable_projection_ann, token_files
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op9_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_projection_ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,6 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_exact_topk": op4_exact_topk,
+    "op6_html_extraction": op6_html_extraction,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_stable_projection_ann": op9_stable_projection_ann,
     "op10_token_files": op10_token_files,
