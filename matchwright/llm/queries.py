@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, html_extraction, language_id, minhash_dedup, stable_projection_ann, token_files
+from . import exact_topk, html_extraction, language_id, license_scan, minhash_dedup, stable_projection_ann, token_files
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_scan.*")
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_exact_topk": op4_exact_topk,
     "op6_html_extraction": op6_html_extraction,
+    "op7_license_scan": op7_license_scan,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_stable_projection_ann": op9_stable_projection_ann,
     "op10_token_files": op10_token_files,
