@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, html_extraction, language_id, license_scan, minhash_dedup, stable_projection_ann, token_files
+from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, stable_projection_ann, token_files
 from .common import table
 
 
@@ -19,6 +19,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    chats = chat_format.format_chats(chat_format.from_rows(rows.unionByName(more)))
+    read = chats.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("back"), F.array_join(chat_format.masked_texts(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
+    lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -58,6 +75,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_chat_format": op2_chat_format,
     "op4_exact_topk": op4_exact_topk,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
@@ -66,6 +84,22 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT CAST(-7 AS BIGINT), CAST(n AS BIGINT), CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok'
+    FROM range(2) t(n)
+), marked AS (
+    SELECT *, replace(replace(role, '\', '\b'), '|', '\p') AS r, replace(replace(text, '\', '\b'), '|', '\p') AS t FROM rows
+)
+SELECT conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(r) + length(t) + 12) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id""",
     "op4_exact_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
