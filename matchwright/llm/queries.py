@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, stable_projection_ann, token_files
+from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, source_mixing, stable_projection_ann, token_files
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return source_mixing.mix(docs).select("doc_id", "source", "mix.*")
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -76,6 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
+    "op3_source_mixing": op3_source_mixing,
     "op4_exact_topk": op4_exact_topk,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
@@ -100,6 +106,44 @@ SELECT conv_id,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(length(r) + length(t) + 12) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
+    "op3_source_mixing": """
+WITH RECURSIVE docs AS (
+    SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS src,
+        md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), counts AS (
+    SELECT src, pow(CAST(count(*) AS DOUBLE), 0.7) AS raw, count(*) OVER () AS k FROM docs GROUP BY src
+), shares AS (
+    SELECT src, k, greatest(1000, 4 * k) AS period, (greatest(1000, 4 * k) - k) * raw / sum(raw) OVER () AS share FROM counts
+), split AS (
+    SELECT *, floor(share) AS whole, row_number() OVER (ORDER BY share - floor(share) DESC, src) AS place,
+        period - k - sum(floor(share)) OVER () AS spare, row_number() OVER (ORDER BY src) AS idx
+    FROM shares
+), weights AS (
+    SELECT src, idx, period, CAST(1 + whole + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS w FROM split
+), listed AS (
+    SELECT list(w ORDER BY idx) AS ws, max(period) AS period FROM weights
+), edf AS (
+    SELECT 0 AS t, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM listed
+    UNION ALL
+    SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p
+    FROM (
+        SELECT e.t, e.done, list_min(list_filter(
+            list_transform(e.done, lambda d, i: {'deadline': CAST(ceil((d + 1) * l.period / l.ws[i]) AS BIGINT), 'i': i, 'release': CAST(floor(d * l.period / l.ws[i]) AS BIGINT)}),
+            lambda c: c.release <= e.t)).i AS p, l.period
+        FROM edf e, listed l WHERE e.t < l.period
+    )
+), cycle AS (
+    SELECT pick AS idx, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM edf WHERE t > 0
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, doc_id) - 1 AS g FROM docs
+), blocks AS (
+    SELECT n.doc_id, n.source, n.g // 32 AS block, n.g % 32 AS place, w.w, w.idx, w.period FROM numbered n JOIN weights w USING (src)
+)
+SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, b.w AS weight,
+    CAST(floor(b.block * b.period / b.w) AS BIGINT) AS release, CAST(ceil((b.block + 1) * b.period / b.w) AS BIGINT) AS deadline,
+    CAST((b.block // b.w) * b.period + c.slot AS BIGINT) AS slot, CAST(b.place AS INTEGER) AS place
+FROM blocks b JOIN cycle c ON c.idx = b.idx AND c.j = b.block % b.w""",
     "op4_exact_topk": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
