@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchwright.llm import language_id
+from matchwright.llm import language_id, minhash_dedup, sentencepiece_backend, source_mixing
 from matchwright.llm.common import stored, table
+from matchwright.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -17,7 +18,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("language_id.lang") != "und").select(*COLUMNS)
 
 
-STAGES = [("language ID", identify_language)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    found = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in an order in which sources follow their weights; files and
+    the rows in them keep that order."""
+    return source_mixing.in_order(source_mixing.mix(docs.select(*COLUMNS)))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, with what decoding them gives back."""
+    with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return sentencepiece_backend.encode(docs, model, keep_ids=True)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("SentencePiece", encode_pieces),
+]
 
 #: A trained network, MinHash and a tokenizer are not expressible in SQL.
 ORACLE_SQL = None

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, source_mixing, stable_projection_ann, token_files
+from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, sentencepiece_backend, source_mixing, stable_projection_ann, token_files
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select(
@@ -51,6 +58,12 @@ def op9_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_projection_ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    with open(model or vocabulary("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    return sentencepiece_backend.encode(table(spark, sf_dir, "documents"), data)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -64,13 +77,6 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def vocabulary(name: str) -> str:
-    """A public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     with open(tokenizer or vocabulary("byte_bpe_50k.json")) as f:
         model = f.read()
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_source_mixing": op3_source_mixing,
     "op4_exact_topk": op4_exact_topk,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_html_extraction": op6_html_extraction,
     "op7_license_scan": op7_license_scan,
     "op8_minhash_dedup": op8_minhash_dedup,
