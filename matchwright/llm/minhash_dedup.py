@@ -9,11 +9,15 @@
    a class only the ``m - T + 1`` rarest (its prefix) can be the only meeting
    place with a partner.
 3. Within a posting list the classes meet a pivot, never each other: pairs with
-   at least ``T`` collisions are confirmed on full sets, confirmed links merge
-   components, and lists that still hold several components meet another pivot.
-   What pivots leave is compared block by block on signatures; only pairs that
-   pass the match threshold and join two components come out. No pair of a list
-   stays unexamined, so no link between components is lost.
+   at least ``T`` collisions are confirmed on full sets and confirmed links merge
+   components. A pivot has then met its whole list and leaves it. The first is
+   the class whose values most others share, the centre of a group of copies;
+   later ones lie outside its component. A list is done when what it still holds
+   is one component.
+4. Lists in which many classes stay outside the main component are finished in
+   blocks: those classes meet all others of the list on full sets, and only
+   links that join two components come out. So no pair of a list that could
+   join two components stays unexamined.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,9 +42,9 @@ class Params:
     #: Similarity as a fraction of whole numbers: linked if over * shared >= under * union.
     over: int = 100
     under: int = 85
-    coordinates: int = 40
-    collisions: int = 23
-    rounds: int = 4
+    coordinates: int = 24
+    collisions: int = 12
+    rounds: int = 6
     block: int = 1000
     seed: int = 11
 
@@ -128,20 +131,31 @@ def _shared(left, right):
     return F.aggregate(F.zip_with(left, right, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _block_pairs(p: Params):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        a, b = rows[rows["block"] == i], rows[rows["block"] == j]
-        hits = np.zeros((len(a), len(b)), dtype=np.uint8 if p.coordinates < 256 else np.uint16)
-        sa, sb = np.stack(a["sig"].to_numpy()), np.stack(b["sig"].to_numpy())
-        for c in range(p.coordinates):
-            hits += sa[:, c][:, None] == sb[:, c][None, :]
-        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
-        comp = {v: k for k, v in enumerate(dict.fromkeys([*a["comp"], *b["comp"]]))}
-        ca, cb = np.array([comp[v] for v in a["comp"]])[:, None], np.array([comp[v] for v in b["comp"]])[None, :]
-        ok = (hits >= p.collisions) & (ca != cb) & (p.over * np.minimum(na, nb) >= p.under * np.maximum(na, nb))
-        x, y = np.nonzero(ok)
-        return pd.DataFrame({"a": a["node"].to_numpy()[x], "b": b["node"].to_numpy()[y]})
+def _block_links(p: Params):
+    """The outsiders of block i against the members of block j of one list, on full
+    sets; only links that join what was not yet joined."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        items = rows.column("items").combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        flat = np.asarray(items.flatten())
+        sizes = np.diff(np.asarray(items.offsets))
+        starts = np.cumsum(sizes) - sizes
+        values, inverse = np.unique(flat, return_inverse=True)
+        names: dict[bytes, int] = {}
+        root = np.array([names.setdefault(c, len(names)) for c in rows.column("comp").to_pylist()])
+        nodes = rows.column("node").to_pylist()
+        out_a, out_b = [], []
+        member = np.asarray(rows.column("member"))
+        for u in np.flatnonzero(np.asarray(rows.column("outsider"))):
+            flags = np.zeros(len(values), dtype=np.int32)
+            flags[inverse[starts[u] : starts[u] + sizes[u]]] = 1
+            shared = np.add.reduceat(flags[inverse], starts)
+            linked = member & (p.over * shared >= p.under * (sizes[u] + sizes - shared))
+            while len(rest := np.flatnonzero(linked & (root != root[u]))):
+                out_a.append(nodes[u]), out_b.append(nodes[rest[0]])
+                root[root == root[rest[0]]] = root[u]
+        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
     return run
 
@@ -177,9 +191,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     posted = posted.select("node", (F.shiftleft(F.col("c").cast("long"), 32) + (F.col("v").cast("long") + F.lit(1 << 31))).alias("key"))
     posted = stored(posted, "posted")
     counts = stored(posted.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1"), "counts")
-    met = posted.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n_key", "key"))).alias("keys"))
+    met = posted.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n_key", "key"))).alias("keys"), F.sum("n_key").alias("popular"))
     met = met.where(F.size("keys") >= p.collisions)
-    prefix = met.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (p.collisions - 1))).alias("k")).select("node", F.col("k.key").alias("key"))
+    prefix = met.select("node", "popular", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (p.collisions - 1))).alias("k")).select("node", "popular", F.col("k.key").alias("key"))
     prefix = stored(prefix, "prefix")
     dropped(posted)
     active = prefix.select("node").distinct().join(classes, "node")
@@ -192,38 +206,44 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
         both = stored(pairs, "candidates").join(a, "a").join(b, "b").select("a", "b", F.size("x").cast("long").alias("nx"), F.size("y").cast("long").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("s"))
         return both.where(p.over * F.col("s") >= p.under * (F.col("nx") + F.col("ny") - F.col("s"))).select("a", "b")
 
-    # The state: each active class with its component so far, in the lists where several components meet.
+    # The state: the members of each list that have not been its pivot, with their components so far.
     described = prefix.join(active.select("node", "n", "sig"), "node")
-    lists = stored(described.withColumn("comp", F.col("node")), "lists")
-    links = None
-    before = None
+    lists = described.select("key", "node", "popular", "n", "sig", F.col("node").alias("comp"), F.lit(False).alias("main"))
+    links = comps = before = None
     for turn in range(p.rounds + 1):
-        open_lists = stored(lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "sig", "comp")).alias("pivot")).where("lo <> hi").drop("lo", "hi"), "open")
-        lists_now = stored(lists.join(open_lists.select("key", "size", "pivot"), "key"), "met")
-        left = lists_now.count()
+        pivot = F.max(F.struct((~F.col("main")).alias("outside"), "popular", "node", "n", "sig", "comp")).alias("pivot")
+        heads = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum((~F.col("main")).cast("long")).alias("out"), pivot)
+        heads = stored(heads.where("lo <> hi").drop("lo", "hi"), "heads")
+        now = stored(lists.join(heads, "key"), "lists")
+        left = heads.agg(F.sum(F.least("out", "size"))).first()[0]
         if not left:
             break
-        last = turn == p.rounds or (before is not None and turn >= 2 and left > 0.7 * before)
+        last = turn == p.rounds or (turn >= 2 and before is not None and left > 0.8 * before)
         before = left
+        pv = F.col("pivot")
         if last:
+            outside = F.ceil(F.col("out") / p.block).cast("int")
             blocks = F.ceil(F.col("size") / p.block).cast("int")
-            member = lists_now.select("key", "node", "n", "sig", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(-1)), blocks).cast("int").alias("block"))
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            dealt = member.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "sig", "comp")
-            pairs = dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs(p), "a binary, b binary")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            place = F.xxhash64("node", F.lit(-1))
+            rows = now.select("key", "node", "comp", F.col("main"), F.greatest(outside, F.lit(1)).alias("outside"), blocks.alias("blocks"), F.pmod(place, F.greatest(outside, F.lit(1))).cast("int").alias("i"), F.pmod(place, blocks).cast("int").alias("j"))
+            as_member = rows.select("key", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), "j", F.lit(True).alias("member"), F.lit(False).alias("outsider"))
+            as_outsider = rows.where("not main").select("key", "node", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(False).alias("member"), F.lit(True).alias("outsider"))
+            dealt = stored(as_member.unionByName(as_outsider), "dealt").join(sets, "node")
+            found = dealt.groupBy("key", "i", "j").applyInArrow(_block_links(p), "a binary, b binary")
+            found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            pv = F.col("pivot")
             fits = p.over * F.least("n", pv["n"]) >= p.under * F.greatest("n", pv["n"])
-            pairs = lists_now.where((F.col("comp") != pv["comp"]) & fits & (_shared(F.col("sig"), pv["sig"]) >= p.collisions))
-            pairs = pairs.select(F.col("node").alias("a"), pv["node"].alias("b")).distinct()
-        found = stored(confirmed(pairs), "links")
+            pairs = now.where((F.col("comp") != pv["comp"]) & fits & (_shared(F.col("sig"), pv["sig"]) >= p.collisions))
+            found = confirmed(pairs.select(F.col("node").alias("a"), pv["node"].alias("b")).distinct())
+        found = stored(found, "links")
         links = found if links is None else links.unionByName(found)
         comps = stored(connected_components(links, "a", "b"), "components")
         if last:
             break
-        labels = lists_now.select("key", "node", "n", "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        lists = stored(labels, "lists")
+        part = comps.select(F.col("node").alias("pivot_node"), F.col("component").alias("pivot_comp"))
+        rest = now.where(F.col("node") != pv["node"]).select("key", "node", "popular", "n", "sig", pv["node"].alias("pivot_node"))
+        rest = rest.join(comps, "node", "left").join(part, "pivot_node", "left").withColumn("comp", F.coalesce("component", "node"))
+        lists = stored(rest.select("key", "node", "popular", "n", "sig", "comp", (F.col("comp") == F.coalesce("pivot_comp", "pivot_node")).alias("main")), "members")
 
     label = classes.select("node", "doc_id")
     if links is not None:
