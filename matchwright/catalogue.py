@@ -1,10 +1,684 @@
-"""The catalogue of entity-resolution queries, with DuckDB SQL of the same meaning."""
+"""The catalogue of entity-resolution queries, with DuckDB SQL of the same meaning.
+
+Every query works on whole tables. Where SQL cannot say the same, or not on whole
+tables in useful time, a query has no SQL and a test against brute force."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import normalize as N
+from .functions import similarity as S
+from .operators import blocking, classifiers, clustering, compare, evaluate, fellegi_sunter, neighbours, pairs, ranking, set_join, splits, tfidf, token_blocking
+from .sources import tables
+from .spec import BlockingRule, Comparison
+from .storage import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# ---------------------------------------------------------------- flagship
+
+
+@query("""
+WITH RECURSIVE items AS (
+    SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents
+), sizes AS (SELECT doc_id, count(*) AS n FROM items GROUP BY doc_id),
+common AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM items a JOIN items b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL),
+edges AS (
+    SELECT l, r FROM common JOIN sizes a ON a.doc_id = l JOIN sizes b ON b.doc_id = r
+    WHERE CAST(c AS DOUBLE) / (a.n + b.n - c) >= 0.8
+), both_ways AS (SELECT l, r FROM edges UNION ALL SELECT r, l FROM edges),
+reach(node, root) AS (
+    SELECT doc_id, doc_id FROM sizes
+    UNION
+    SELECT e.r, reach.root FROM reach JOIN both_ways e ON e.l = reach.node AND reach.root < e.r
+), groups AS (SELECT node, min(root) AS g FROM reach GROUP BY node)
+SELECT node AS doc_id, g AS group_id, count(*) OVER (PARTITION BY g) AS group_size FROM groups""")
+def flagship_document_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in groups of token Jaccard 0.8 or more, by links."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), token_blocking.tokens(F.col("text")).alias("items"))
+    found, classes = set_join.jaccard_join(docs, "items", 0.8)
+    comps = clustering.components_over(classes.select(F.col("rep").alias("node")), found)
+    out = classes.join(comps, F.col("rep") == F.col("node")).select(F.col("id").alias("doc_id"), F.col("cluster_id").alias("group_id"))
+    sizes = out.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    return out.join(sizes, "group_id").select("doc_id", "group_id", "group_size")
+
+
+# ---------------------------------------------------------------- normalising and keys
+
+
+@query("""
+SELECT doc_id, md5(x) AS clean_md5, CAST(length(x) AS BIGINT) AS clean_chars
+FROM (SELECT doc_id, nullif(lower(trim(regexp_replace(replace(strip_accents(text), 'ß', 'ss'), '\\s+', ' ', 'g'))), '') AS x FROM documents)""")
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    x = N.clean_text(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", F.md5("x").alias("clean_md5"), F.length("x").cast("long").alias("clean_chars"))
+
+
+@query("""
+SELECT p_partkey, split_part(trim(p_name), ' ', 1) AS first_word,
+    regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS model,
+    substr(p_name, 1, 3) AS name3, lower(trim(p_type)) AS type_lower,
+    coalesce(nullif(p_name, ''), p_type) AS entity_text,
+    concat_ws(' ', p_name, p_brand, p_type) AS joined
+FROM part""")
+def derive_text_keys(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return t(spark, d, "part").select("p_partkey", N.first_word(c("p_name")).alias("first_word"), N.keep_alphanumeric(c("p_brand")).alias("model"), N.prefix(c("p_name"), 3).alias("name3"), N.lower_or_empty(c("p_type")).alias("type_lower"), N.first_filled(c("p_name"), c("p_type")).alias("entity_text"), N.joined_text(c("p_name"), c("p_brand"), c("p_type")).alias("joined"))
+
+
+@query("""
+SELECT p_partkey, round(CAST(p_retailprice AS DOUBLE), 2) AS price, CAST(p_size AS DOUBLE) AS weight,
+    CAST(p_partkey AS VARCHAR) AS id_text, 's' || p_size || 'e' || (p_partkey % 7) AS ep_key
+FROM part""")
+def parse_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers written as a shop writes them, read back."""
+    part = t(spark, d, "part").select("p_partkey", F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("p"), F.concat("p_size", F.lit(" lbs")).alias("w"), F.concat("p_partkey", F.lit(".0")).alias("i"), "p_size")
+    return part.select("p_partkey", F.round(N.parse_price(F.col("p")), 2).alias("price"), N.parse_weight(F.col("w")).alias("weight"), N.norm_id(F.col("i")).alias("id_text"), N.episode_key(F.col("p_size"), F.col("p_partkey") % 7).alias("ep_key"))
+
+
+@query("""
+SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y') AS VARCHAR) AS lead_year, CAST(year(o_orderdate) AS INTEGER) AS date_year,
+    strftime(o_orderdate, '%Y') AS found_year, CAST(NULL AS VARCHAR) AS none_year
+FROM orders""")
+def derive_years(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    said = F.concat(F.lit("ordered in "), F.date_format("o_orderdate", "yyyy"), F.lit(" by mail"))
+    return t(spark, d, "orders").select("o_orderkey", N.leading_year(day, "0").alias("lead_year"), N.date_year(day).alias("date_year"), N.year_or_embedded(F.lit(None).cast("string"), said).alias("found_year"), N.embedded_year(F.lit("no 20199 here")).alias("none_year"))
+
+
+@query("SELECT md5(text) AS text_md5, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").groupBy(F.md5("text").alias("text_md5")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+
+
+@query("""
+SELECT 'event_id' AS "column", count(*) AS rows, count(*) - count(event_id) AS nulls FROM events
+UNION ALL SELECT 'ts', count(*), count(*) - count(ts) FROM events
+UNION ALL SELECT 'user_id', count(*), count(*) - count(user_id) FROM events
+UNION ALL SELECT 'event_type', count(*), count(*) - count(event_type) FROM events
+UNION ALL SELECT 'value', count(*), count(*) - count(value) FROM events
+UNION ALL SELECT 'props', count(*), count(*) - count(props) FROM events""")
+def profile_nulls(spark: SparkSession, d: str) -> DataFrame:
+    return tables.profile(t(spark, d, "events")).select("column", "rows", "nulls")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation, c_mktsegment AS segment FROM customer")
+def delimited_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as delimited text under ontology names, read and mapped back."""
+    uri = "http://example.org/ontology/"
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias(uri + "id"), F.col("c_name").alias(uri + "label"), F.col("c_nationkey").alias(uri + "nation"), F.col("c_mktsegment").alias(uri + "segment"))
+    import uuid
+
+    path = f"{shared_dir(spark)}/stored/delimited-{uuid.uuid4().hex}"
+    tables.write_table(c, path, "csv", sep="|")
+    return tables.rename(tables.read_delimited(spark, path, "|"), {"id": "id", "label": "name", "nation": "nation", "segment": "segment"})
+
+
+# ---------------------------------------------------------------- blocking
+
+PART_RULES = [BlockingRule.of("p_brand", "p_size"), BlockingRule.of("p_name", "p_size"), BlockingRule.of("p_type", "substr(p_name, 1, 3)", "p_size")]
+PART_PAIRS_SQL = """
+SELECT a.p_partkey AS left_id, b.p_partkey AS right_id,
+    CASE WHEN a.p_brand = b.p_brand THEN 0 WHEN a.p_name = b.p_name THEN 1 ELSE 2 END AS match_key
+FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey
+    AND (a.p_brand = b.p_brand OR a.p_name = b.p_name OR (a.p_type = b.p_type AND substr(a.p_name, 1, 3) = substr(b.p_name, 1, 3)))"""
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "part").withColumnRenamed("p_partkey", "id")
+
+
+def part_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs by the two narrow rules, for the comparison queries."""
+    return blocking.dedupe_only(parts(spark, d), PART_RULES[:2])
+
+
+NARROW_SQL = """
+    SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, a.p_name AS nl, b.p_name AS nr, a.p_brand AS bl, b.p_brand AS br,
+        a.p_type AS tl, b.p_type AS tr, a.p_retailprice AS pl, b.p_retailprice AS pr
+    FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND (a.p_brand = b.p_brand OR a.p_name = b.p_name)"""
+
+
+@query(PART_PAIRS_SQL)
+def rule_blocking(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.dedupe_only(parts(spark, d), PART_RULES)
+
+
+@query("""
+SELECT 0 AS rule, count(*) AS blocks, max(n) AS largest, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS comparisons FROM (SELECT count(*) AS n FROM part GROUP BY p_brand, p_size)
+UNION ALL SELECT 1, count(*), max(n), CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM part GROUP BY p_name, p_size)
+UNION ALL SELECT 2, count(*), max(n), CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM part GROUP BY p_type, substr(p_name, 1, 3), p_size)""")
+def rule_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.rule_sizes(parts(spark, d), None, PART_RULES)
+
+
+@query("""
+SELECT c_custkey AS left_id, s_suppkey AS right_id, 0 AS match_key FROM customer JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 500) = floor(s_acctbal / 500)""")
+def link_only_blocking(spark: SparkSession, d: str) -> DataFrame:
+    a = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"))
+    b = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("bal"))
+    return blocking.link_only(a, b, [BlockingRule.of("nation", "floor(bal / 500)")])
+
+
+@query(f"""
+WITH cand AS ({PART_PAIRS_SQL}), split AS (
+    SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey)
+SELECT count(*) AS pairs, count(c.left_id) AS found, count(c.left_id) / CAST(count(*) AS DOUBLE) AS coverage
+FROM split s LEFT JOIN cand c USING (left_id, right_id)""")
+def blocking_coverage(spark: SparkSession, d: str) -> DataFrame:
+    split = blocking.dedupe_only(parts(spark, d), [BlockingRule.of("p_brand", "p_name")]).drop("match_key")
+    return blocking.coverage(split, rule_blocking(spark, d))
+
+
+@query()
+def learned_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that cover pairs of one brand, name and size at the least cost."""
+    rec = parts(spark, d)
+    labelled = blocking.dedupe_only(rec, [BlockingRule.of("p_brand", "p_name", "p_size")]).withColumn("label", F.lit(1))
+    chosen = blocking.learn_rules(rec, None, labelled, PART_RULES)
+    return spark.createDataFrame([(i, ", ".join(r.keys)) for i, r in enumerate(chosen)], "place int, rule string")
+
+
+@query("""
+WITH items AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents)
+SELECT w AS block, count(*) AS size, count(*) * (count(*) - 1) // 2 AS cardinality FROM items GROUP BY w HAVING count(*) > 1""")
+def token_block_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return token_blocking.block_sizes(token_blocking.token_blocks(doc_records(spark, d), ["text"]))
+
+
+def doc_records(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+PURGED_SQL = """
+WITH items AS (SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS block FROM documents),
+sizes AS (SELECT block, count(*) * (count(*) - 1) // 2 AS card FROM items GROUP BY block HAVING count(*) > 1 AND count(*) * (count(*) - 1) // 2 <= 15),
+kept AS (SELECT id, block, card FROM items JOIN sizes USING (block)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY card, block) AS r, count(*) OVER (PARTITION BY id) AS n FROM kept),
+filtered AS (SELECT id, block FROM ranked WHERE r <= greatest(1, round(n * 0.8))),
+live AS (SELECT block, 1.0::DOUBLE / (count(*) * (count(*) - 1) // 2) AS inv FROM filtered GROUP BY block HAVING count(*) > 1),
+mem AS (SELECT id, block, inv FROM filtered JOIN live USING (block)),
+own AS (SELECT id, count(*) AS b FROM mem GROUP BY id), total AS (SELECT count(*) AS blocks FROM live),
+graph AS (
+    SELECT l.id AS left_id, r.id AS right_id, count(*) AS common, any_value(a.b) AS bl, any_value(z.b) AS br, any_value(blocks) AS blocks
+    FROM mem l JOIN mem r ON l.block = r.block AND l.id < r.id JOIN own a ON a.id = l.id JOIN own z ON z.id = r.id, total GROUP BY l.id, r.id)"""
+
+
+def doc_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The blocking graph of documents: tokens in at most six of them, each document in 80 % of its blocks."""
+    blocks = token_blocking.purge(token_blocking.token_blocks(doc_records(spark, d), ["text"]), max_cardinality=15)
+    return token_blocking.edges(stored(token_blocking.filter_blocks(blocks, 0.8), "blocks"))
+
+
+@query(PURGED_SQL + "SELECT left_id, right_id, common, bl, br, blocks FROM graph")
+def meta_blocking_graph(spark: SparkSession, d: str) -> DataFrame:
+    return doc_graph(spark, d).drop("arcs")
+
+
+@query(PURGED_SQL + """
+SELECT left_id, right_id, CAST(common AS DOUBLE) AS cbs, round(common * ln(blocks / CAST(bl AS DOUBLE)) * ln(blocks / CAST(br AS DOUBLE)), 6) AS ecbs,
+    round(common / CAST(bl + br - common AS DOUBLE), 6) AS js, round(common / sqrt(bl * br), 6) AS cosine, round(2.0 * common / (bl + br), 6) AS dice,
+    round(coalesce(blocks * pow(CAST(common AS DOUBLE) * (blocks - bl - br + common) - CAST(bl - common AS DOUBLE) * (br - common), 2)
+        / nullif(CAST(bl AS DOUBLE) * br * (blocks - bl) * (blocks - br), 0), 0), 4) AS x2
+FROM graph""")
+def meta_blocking_weights(spark: SparkSession, d: str) -> DataFrame:
+    g = stored(doc_graph(spark, d), "graph")
+    out = g
+    for s in ("CBS", "ECBS", "JS", "COSINE", "DICE", "X2"):
+        out = token_blocking.weigh(out, s).withColumnRenamed("weight", s.lower())
+    return out.select("left_id", "right_id", "cbs", *[r6(F.col(c)).alias(c) for c in ("ecbs", "js", "cosine", "dice")], F.round("x2", 4).alias("x2"))
+
+
+@query(PURGED_SQL + ", deg AS (SELECT id, count(*) AS v FROM (SELECT left_id AS id FROM graph UNION ALL SELECT right_id FROM graph) GROUP BY id), e AS (SELECT count(*) AS e FROM graph)" + """
+SELECT left_id, right_id, round(common / CAST(bl + br - common AS DOUBLE) * ln(e / CAST(a.v AS DOUBLE)) * ln(e / CAST(z.v AS DOUBLE)), 6) AS ejs
+FROM graph JOIN deg a ON a.id = left_id JOIN deg z ON z.id = right_id, e""")
+def meta_blocking_ejs(spark: SparkSession, d: str) -> DataFrame:
+    return token_blocking.weigh(doc_graph(spark, d), "EJS").select("left_id", "right_id", r6(F.col("weight")).alias("ejs"))
+
+
+@query(PURGED_SQL + "SELECT left_id, right_id, CAST(common AS DOUBLE) AS weight FROM graph QUALIFY row_number() OVER (ORDER BY common DESC, left_id, right_id) <= 500")
+def cardinality_edge_pruning(spark: SparkSession, d: str) -> DataFrame:
+    return token_blocking.cardinality_edge_pruning(token_blocking.weigh(doc_graph(spark, d), "CBS"), 500).select("left_id", "right_id", "weight")
+
+
+@query(PURGED_SQL + """, ends AS (SELECT left_id AS id, left_id, right_id, common FROM graph UNION ALL SELECT right_id, left_id, right_id, common FROM graph),
+top AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY id ORDER BY common DESC, left_id, right_id) <= 3)
+SELECT DISTINCT left_id, right_id, CAST(common AS DOUBLE) AS weight FROM top""")
+def cardinality_node_pruning(spark: SparkSession, d: str) -> DataFrame:
+    return token_blocking.cardinality_node_pruning(token_blocking.weigh(doc_graph(spark, d), "CBS"), 3).select("left_id", "right_id", "weight")
+
+
+@query(PURGED_SQL + "SELECT left_id, right_id, CAST(common AS DOUBLE) AS weight FROM graph WHERE common >= (SELECT avg(common) FROM graph)")
+def weighted_edge_pruning(spark: SparkSession, d: str) -> DataFrame:
+    return token_blocking.weighted_edge_pruning(stored(token_blocking.weigh(doc_graph(spark, d), "CBS"), "graph")).select("left_id", "right_id", "weight")
+
+
+@query()
+def block_purging(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that the automatic cut-off leaves."""
+    return token_blocking.block_sizes(token_blocking.purge(token_blocking.token_blocks(doc_records(spark, d), ["text"])))
+
+
+# ---------------------------------------------------------------- comparing
+
+
+def part_lookup(spark: SparkSession, d: str) -> DataFrame:
+    rec = parts(spark, d).select("id", "p_name", "p_brand", "p_type", "p_retailprice")
+    return pairs.lookup(part_pairs(spark, d).drop("match_key"), rec, rec)
+
+
+@query(f"""
+SELECT left_id, right_id, CASE WHEN s >= 0.98 THEN 3 WHEN s >= 0.92 THEN 2 WHEN s >= 0.84 THEN 1 ELSE 0 END AS level, round(s, 6) AS jw
+FROM (SELECT *, jaro_winkler_similarity(nl, nr) AS s FROM ({NARROW_SQL}))""")
+def jaro_winkler_levels(spark: SparkSession, d: str) -> DataFrame:
+    c = Comparison("p_name", "jaro_winkler", (0.98, 0.92, 0.84))
+    scored = S.with_jaro_winkler(part_lookup(spark, d), "p_name_l", "p_name_r", "jw")
+    return scored.select("left_id", "right_id", compare.level(F.col("jw"), c).alias("level"), r6(F.col("jw")).alias("jw"))
+
+
+@query(f"""
+SELECT left_id, right_id, CAST(levenshtein(tl, tr) AS INTEGER) AS edits, levenshtein(tl, tr) <= 3 AS near,
+    round(1 - levenshtein(tl, tr) / CAST(greatest(length(tl), length(tr)) AS DOUBLE), 6) AS lev, CAST(bl = br AS INTEGER) AS same_brand
+FROM ({NARROW_SQL})""")
+def edit_distance(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("p_type_l"), F.col("p_type_r")
+    return part_lookup(spark, d).select("left_id", "right_id", F.levenshtein(a, b).alias("edits"), S.within_edits(a, b, 3).alias("near"), r6(S.levenshtein_similarity(a, b)).alias("lev"), S.exact(F.col("p_brand_l"), F.col("p_brand_r")).cast("int").alias("same_brand"))
+
+
+@query(f"""
+WITH p AS ({NARROW_SQL}), names AS (SELECT DISTINCT nl AS v FROM p UNION SELECT DISTINCT nr FROM p),
+grams AS (SELECT v, unnest(list_transform(range(1, length(v)), lambda i: substr(v, i, 2))) AS g FROM names),
+tf AS (SELECT v, g, count(*) AS n FROM grams GROUP BY v, g), norm AS (SELECT v, sqrt(sum(n * n)) AS z, count(*) AS k FROM tf GROUP BY v),
+dots AS (SELECT a.v AS x, b.v AS y, sum(a.n * b.n) AS s, count(*) AS c FROM tf a JOIN tf b USING (g) GROUP BY a.v, b.v)
+SELECT left_id, right_id, round(coalesce(s / (a.z * b.z), 0), 6) AS cosine, round(coalesce(c, 0) / CAST(a.k + b.k - coalesce(c, 0) AS DOUBLE), 6) AS jaccard,
+    round(2.0 * coalesce(c, 0) / (a.k + b.k), 6) AS dice, round(coalesce(c, 0) / CAST(least(a.k, b.k) AS DOUBLE), 6) AS overlap
+FROM p JOIN norm a ON a.v = nl JOIN norm b ON b.v = nr LEFT JOIN dots ON x = nl AND y = nr""")
+def qgram_similarities(spark: SparkSession, d: str) -> DataFrame:
+    a, b = S.qgrams(F.col("p_name_l"), 2), S.qgrams(F.col("p_name_r"), 2)
+    return part_lookup(spark, d).select("left_id", "right_id", r6(S.multiset_cosine(a, b)).alias("cosine"), r6(S.jaccard(a, b)).alias("jaccard"), r6(S.dice(a, b)).alias("dice"), r6(S.overlap(a, b)).alias("overlap"))
+
+
+@query(f"""
+SELECT left_id, right_id, round(abs(pl - pr), 4) AS gap, round(abs(pl - pr) / greatest(abs(pl), abs(pr)), 6) AS rel, 1.0::DOUBLE AS known, round(abs(ln(pl) - ln(pr)), 6) AS log_ratio FROM ({NARROW_SQL})""")
+def numeric_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    f = S.numeric_features(F.col("p_retailprice_l"), F.col("p_retailprice_r"))
+    return part_lookup(spark, d).select("left_id", "right_id", F.round(f["abs"], 4).alias("gap"), r6(f["rel"]).alias("rel"), f["known"].alias("known"), r6(S.price_similarity(F.col("p_retailprice_l"), F.col("p_retailprice_r"))).alias("log_ratio"))
+
+
+TFIDF_SQL = """
+WITH w AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\w\\p{L}]+'), lambda x: length(x) >= 2) AS w FROM benchmark),
+g AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY id, term),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term),
+v AS (SELECT id, term, tf * idf AS v FROM tf JOIN idf USING (term)), z AS (SELECT id, sqrt(sum(v * v)) AS z FROM v GROUP BY id),
+n AS (SELECT id, term, v / z AS w FROM v JOIN z USING (id)),
+dots AS (SELECT a.id AS left_id, b.id AS right_id, sum(a.w * b.w) AS s FROM n a JOIN n b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a.item_id AS left_id, b.item_id AS right_id, round(coalesce(s, 0), 6) AS cosine
+FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id LEFT JOIN dots ON left_id = a.item_id AND right_id = b.item_id"""
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+
+
+def item_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of the benchmark's items, a set of fixed size."""
+    i = items(spark, d)
+    return i.select(F.col("id").alias("left_id"), F.lit(1).alias("k")).join(i.select(F.col("id").alias("right_id"), F.lit(1).alias("k")), "k").where("left_id < right_id").drop("k")
+
+
+@query(TFIDF_SQL)
+def tfidf_word_cosine(spark: SparkSession, d: str) -> DataFrame:
+    texts = stored(items(spark, d), "items")
+    v = stored(tfidf.vectors(texts, tfidf.word_ngrams, tfidf.fit_idf(texts, tfidf.word_ngrams)), "vectors")
+    return tfidf.pair_cosine(item_pairs(spark, d), v, v).select("left_id", "right_id", r6(F.col("cosine")).alias("cosine"))
+
+
+@query()
+def tfidf_char_cosine(spark: SparkSession, d: str) -> DataFrame:
+    texts = stored(items(spark, d), "items")
+    v = stored(tfidf.vectors(texts, tfidf.char_ngrams, tfidf.fit_idf(texts, tfidf.char_ngrams)), "vectors")
+    return tfidf.pair_cosine(item_pairs(spark, d), v, v).select("left_id", "right_id", r6(F.col("cosine")).alias("cosine"))
+
+
+@query("""
+WITH s AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM s)
+SELECT left_id, right_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def knn_blocking(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return neighbours.knn(e, e, 5).select("left_id", "right_id", "rank", r6(F.col("score")).alias("score"))
+
+
+@query()
+def lsh_blocking(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return neighbours.lsh_pairs(e, None, 0.9)
+
+
+# ---------------------------------------------------------------- scoring
+
+FS = fellegi_sunter.Model(
+    [Comparison("p_name", "levenshtein", (1.0, 0.7)), Comparison("p_brand"), Comparison("p_type")],
+    m={"p_name": {0: 0.1, 1: 0.2, 2: 0.7}, "p_brand": {0: 0.1, 1: 0.9}, "p_type": {0: 0.3, 1: 0.7}},
+    u={"p_name": {0: 0.9, 1: 0.08, 2: 0.02}, "p_brand": {0: 0.96, 1: 0.04}, "p_type": {0: 0.83, 1: 0.17}},
+    prior=0.001,
+)
+LEVELS_SQL = f"""
+SELECT left_id, right_id, CASE WHEN nl = nr THEN 2 WHEN 1 - levenshtein(nl, nr) / CAST(greatest(length(nl), length(nr)) AS DOUBLE) >= 0.7 THEN 1 ELSE 0 END AS gn,
+    CAST(bl = br AS INTEGER) AS gb, CAST(tl = tr AS INTEGER) AS gt FROM ({NARROW_SQL})"""
+
+
+@query(f"""
+WITH w AS (SELECT left_id, right_id, log2(0.001 / 0.999) + log2(CASE gn WHEN 2 THEN 0.7 / 0.02 WHEN 1 THEN 0.2 / 0.08 ELSE 0.1 / 0.9 END)
+    + log2(CASE gb WHEN 1 THEN 0.9 / 0.04 ELSE 0.1 / 0.96 END) + log2(CASE gt WHEN 1 THEN 0.7 / 0.17 ELSE 0.3 / 0.83 END) AS w FROM ({LEVELS_SQL}))
+SELECT left_id, right_id, round(w, 6) AS match_weight, round(1.0 / (1.0 + pow(2.0, -w)), 6) AS score FROM w""")
+def fellegi_sunter_predict(spark: SparkSession, d: str) -> DataFrame:
+    rec = parts(spark, d)
+    return fellegi_sunter.predict(part_pairs(spark, d), rec, rec, FS).select("left_id", "right_id", r6(F.col("match_weight")).alias("match_weight"), r6(F.col("score")).alias("score"))
+
+
+@query(f"""
+WITH l AS ({LEVELS_SQL}), s AS (SELECT 'p_name' AS c, gn AS g FROM l UNION ALL SELECT 'p_brand', gb FROM l UNION ALL SELECT 'p_type', gt FROM l)
+SELECT c AS "column", g AS level, round(count(*) / CAST((SELECT count(*) FROM l) AS DOUBLE), 6) AS share FROM s GROUP BY c, g""")
+def fellegi_sunter_m(spark: SparkSession, d: str) -> DataFrame:
+    """Level shares of given pairs, as m is estimated from labelled matches."""
+    rec = parts(spark, d)
+    shares = fellegi_sunter.level_shares(compare.with_levels(pairs.lookup(part_pairs(spark, d).drop("match_key"), rec, rec), FS.comparisons), FS.comparisons)
+    rows = [(c, g, round(p, 6)) for c, levels in shares.items() for g, p in levels.items() if p > fellegi_sunter.FLOOR]
+    return spark.createDataFrame(rows, "column string, level int, share double")
+
+
+@query()
+def fellegi_sunter_trained(spark: SparkSession, d: str) -> DataFrame:
+    """u from random pairs, m and prior from pairs of one brand and name, then scores from 0.5 on."""
+    rec = parts(spark, d)
+    labelled = blocking.dedupe_only(rec, [BlockingRule.of("p_brand", "p_name")]).withColumn("label", F.lit(1))
+    model = fellegi_sunter.estimate(rec, None, labelled, FS.comparisons, 20_000)
+    return fellegi_sunter.predict(part_pairs(spark, d), rec, rec, model, 0.5)
+
+
+def labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Part pairs, a match where brand and type agree."""
+    return part_lookup(spark, d).withColumn("label", ((F.col("p_brand_l") == F.col("p_brand_r")) & (F.col("p_type_l") == F.col("p_type_r"))).cast("int"))
+
+
+@query()
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Generated features and a logistic regression on labelled pairs, scores for all."""
+    feats = [("p_name", "levenshtein"), ("p_name", "jaccard_q3"), ("p_type", "jaccard_words"), ("p_brand", "exact"), ("p_retailprice", "num_rel")]
+    rows = stored(compare.feature_table(labelled_pairs(spark, d), feats), "features")
+    names = [f"f_{c}_{k}" for c, k in feats]
+    model = classifiers.train(rows.select("label", *names), names, classifiers.Config("logistic", balanced=True))
+    return classifiers.score(rows, model).select("left_id", "right_id", "label", r6(F.col("score")).alias("score"))
+
+
+# ---------------------------------------------------------------- clusters
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT left_id AS l, right_id AS r FROM ({NARROW_SQL}) WHERE nl = nr AND bl = br),
+b AS (SELECT l, r FROM e UNION ALL SELECT r, l FROM e),
+reach(node, root) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT b.r, reach.root FROM reach JOIN b ON b.l = reach.node AND reach.root < b.r)
+SELECT node, min(root) AS cluster_id FROM reach GROUP BY node""")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    links = part_lookup(spark, d).where("p_name_l = p_name_r AND p_brand_l = p_brand_r")
+    return clustering.components_over(parts(spark, d).select(F.col("id").alias("node")), links)
+
+
+@query("""
+SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, concat_ws('|', a.p_brand, a.p_name, a.p_size) AS cluster_id
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+def pairs_within_clusters(spark: SparkSession, d: str) -> DataFrame:
+    c = parts(spark, d).select(F.col("id").alias("node"), F.concat_ws("|", "p_brand", "p_name", F.col("p_size").cast("string")).alias("cluster_id"))
+    return pairs.within_clusters(c)
+
+
+def bipartite(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers of one nation with a similarity of their balances."""
+    a = t(spark, d, "customer").select(F.col("c_custkey").alias("left_id"), F.col("c_nationkey").alias("n"), F.col("c_acctbal").alias("x"))
+    b = t(spark, d, "supplier").select(F.col("s_suppkey").alias("right_id"), F.col("s_nationkey").alias("n"), F.col("s_acctbal").alias("y"))
+    return a.join(b, "n").select("left_id", "right_id", F.round(1.0 / (1.0 + F.abs(F.col("x") - F.col("y"))), 6).alias("score"))
+
+
+@query()
+def unique_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.unique_mapping(bipartite(spark, d), 0.01)
+
+
+@query()
+def average_linkage(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.average_linkage(fellegi_sunter_predict(spark, d), 0.2)
+
+
+@query("""
+WITH m AS (SELECT p_partkey AS node, p_size AS c, p_retailprice AS s FROM part), p AS (
+    SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey)
+SELECT left_id, right_id, round(CASE WHEN a.c = b.c THEN least(a.s, b.s) ELSE 0 END, 4) AS score FROM p JOIN m a ON a.node = left_id JOIN m b ON b.node = right_id""")
+def cluster_pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    members = parts(spark, d).select(F.col("id").alias("node"), F.col("p_size").alias("cluster_id"), F.col("p_retailprice").alias("score"))
+    split = blocking.dedupe_only(parts(spark, d), [BlockingRule.of("p_brand", "p_name")]).drop("match_key")
+    return clustering.cluster_pair_scores(split, members, "min").select("left_id", "right_id", F.round("score", 4).alias("score"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+SCORED_SQL = "SELECT l.doc_id AS left_id, l.doc_id + 1 AS right_id, l.quality AS label, (n_chars % 997) / 996.0::DOUBLE AS score FROM labels l JOIN documents d USING (doc_id)"
+
+
+def scored_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents with a score from their length, as a stand-in for scored pairs."""
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rows.select(F.col("doc_id").alias("left_id"), (F.col("doc_id") + 1).alias("right_id"), F.col("quality").alias("label"), ((F.col("n_chars") % 997) / F.lit(996.0)).alias("score"))
+
+
+CURVE_SQL = f"""
+WITH s AS ({SCORED_SQL}), g AS (SELECT CAST(i AS INTEGER) AS i, i * 0.01::DOUBLE AS t FROM range(101) r(i)),
+c AS (SELECT i, t, count(*) FILTER (WHERE label = 1 AND score >= t) AS tp, count(*) FILTER (WHERE label <> 1 AND score >= t) AS fp, count(*) FILTER (WHERE label = 1 AND score < t) AS fn FROM g, s GROUP BY i, t),
+m AS (SELECT i, t, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS p, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS r, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f FROM c)"""
+
+
+@query(CURVE_SQL + 'SELECT i, round(t, 3) AS t, round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1 FROM m')
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.sweep(scored_labels(spark, d)).select("i", F.round("t", 3).alias("t"), *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(CURVE_SQL + "SELECT i, round(f, 6) AS f1 FROM m ORDER BY f DESC, i LIMIT 1")
+def best_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.best_threshold(evaluate.sweep(scored_labels(spark, d))).select("i", r6(F.col("f1")).alias("f1"))
+
+
+@query(f"""
+WITH s AS ({SCORED_SQL}), c AS (SELECT count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE label <> 1 AND score >= 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn FROM s)
+SELECT tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 6) AS "precision", round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def pairwise_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.pairwise(scored_labels(spark, d)).select("tp", "fp", "fn", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""
+WITH j AS (SELECT vec_id % 7 AS p, label AS g, count(*) AS j FROM embeddings GROUP BY ALL), a AS (SELECT p, sum(j) AS s FROM j GROUP BY p), b AS (SELECT g, sum(j) AS s FROM j GROUP BY g),
+m AS (SELECT sum(j) AS n, sum(j * j / CAST(a.s AS DOUBLE)) / sum(j) AS pr, sum(j * j / CAST(b.s AS DOUBLE)) / sum(j) AS re FROM j JOIN a USING (p) JOIN b USING (g))
+SELECT CAST(n AS BIGINT) AS n, round(pr, 6) AS "precision", round(re, 6) AS recall, round(2 * pr * re / (pr + re), 6) AS f1 FROM m""")
+def bcubed_metrics(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("pred"), F.col("label").alias("gt"))
+    return evaluate.bcubed(e).select("n", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def test_split_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Pairwise and B-cubed metrics of a scored split."""
+    return evaluate.test_metrics(scored_labels(spark, d), 0.5)
+
+
+CONFIG_SQL = "SELECT CAST(o_custkey % 50 AS INTEGER) AS config_id, 'OK' AS status, round(avg(o_totalprice), 4) AS valid_f1 FROM orders GROUP BY 1"
+
+
+@query(f"SELECT config_id, status, valid_f1 FROM ({CONFIG_SQL}) ORDER BY valid_f1 DESC, config_id LIMIT 1")
+def best_configuration(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "orders").groupBy((F.col("o_custkey") % 50).cast("int").alias("config_id")).agg(F.round(F.avg("o_totalprice"), 4).alias("valid_f1"))
+    return evaluate.best_config(rows.select("config_id", F.lit("OK").alias("status"), "valid_f1"))
+
+
+@query("""
+SELECT o_orderstatus AS split, count(*) AS pairs, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS positives, count(*) FILTER (WHERE o_orderkey % 4 <> 0) AS negatives,
+    round(count(*) FILTER (WHERE o_orderkey % 4 <> 0) / CAST(count(*) FILTER (WHERE o_orderkey % 4 = 0) AS DOUBLE), 6) AS ratio FROM orders GROUP BY 1""")
+def split_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "orders").select(F.col("o_orderstatus").alias("split"), (F.col("o_orderkey") % 4 == 0).cast("int").alias("label"))
+    return evaluate.split_summary(rows).withColumn("ratio", r6(F.col("ratio")))
+
+
+# ---------------------------------------------------------------- ranking
+
+RESULTS_SQL = "SELECT c_mktsegment AS framework, CAST(c_nationkey AS VARCHAR) AS dataset, round(avg(c_acctbal), 2) AS f1, round(sum(c_acctbal), 2) AS cost FROM customer GROUP BY 1, 2"
+RANKS_SQL = f"""WITH r AS ({RESULTS_SQL}), k AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY f1 DESC) + (count(*) OVER (PARTITION BY dataset, f1) - 1) / 2.0 AS rk FROM r)"""
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    """Market segments over nations, as a stand-in for systems over data sets."""
+    c = t(spark, d, "customer")
+    return c.groupBy(F.col("c_mktsegment").alias("framework"), F.col("c_nationkey").cast("string").alias("dataset")).agg(F.round(F.avg("c_acctbal"), 2).alias("f1"), F.round(F.sum("c_acctbal"), 2).alias("cost"))
+
+
+@query(RANKS_SQL + " SELECT framework, dataset, CAST(rk AS DOUBLE) AS avg_rank FROM k")
+def average_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.average_ranks(results(spark, d), "f1").select("framework", "dataset", "avg_rank")
+
+
+@query(RANKS_SQL + " SELECT framework, round(avg(rk), 6) AS mean_rank, count(*) AS n FROM k GROUP BY framework")
+def mean_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.mean_ranks(results(spark, d), "f1").select("framework", r6(F.col("mean_rank")).alias("mean_rank"), "n")
+
+
+@query(RANKS_SQL + """, s AS (SELECT framework, sum(rk) AS s FROM k GROUP BY 1), c AS (SELECT count(*) AS k, (SELECT count(DISTINCT dataset) FROM r) AS n FROM s),
+tie AS (SELECT coalesce(sum(n * n * n - n), 0) AS t FROM (SELECT count(*) AS n FROM k GROUP BY dataset, f1))
+SELECT round((12.0 / (n * k * (k + 1)) * (SELECT sum(s * s) FROM s) - 3.0 * n * (k + 1)) / (1 - t / CAST(n * k * (k * k - 1) AS DOUBLE)), 6) AS chi2,
+    CAST(k AS INTEGER) AS k, CAST(n AS INTEGER) AS n, round(2.728 * sqrt(k * (k + 1) / (6.0 * n)), 6) AS cd FROM c, tie""")
+def friedman_test(spark: SparkSession, d: str) -> DataFrame:
+    f = ranking.friedman(results(spark, d), "f1")
+    return spark.createDataFrame([(round(f["chi2"], 6), f["k"], f["n"], round(ranking.critical_difference(f["k"], f["n"]), 6))], "chi2 double, k int, n int, cd double")
+
+
+@query(f"""
+WITH r AS ({RESULTS_SQL}) SELECT framework, dataset, f1, cost FROM r a WHERE NOT EXISTS (
+    SELECT 1 FROM r b WHERE b.cost <= a.cost AND b.f1 >= a.f1 AND (b.cost < a.cost OR b.f1 > a.f1))""")
+def pareto_front(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.pareto_front(results(spark, d), "cost", "f1").select("framework", "dataset", "f1", "cost")
+
+
+@query(f"WITH r AS ({RESULTS_SQL}) SELECT framework, count(*) AS n, round(avg(f1), 4) AS f1, round(avg(cost), 4) AS cost FROM r GROUP BY 1")
+def family_means(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.family_means(results(spark, d), ["f1", "cost"]).select("framework", "n", F.round("f1", 4).alias("f1"), F.round("cost", 4).alias("cost"))
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(f"WITH r AS ({RESULTS_SQL}) SELECT dataset, " + ", ".join(f"max(f1) FILTER (WHERE framework = '{s}') AS {s.lower()}" for s in SEGMENTS) + " FROM r GROUP BY dataset")
+def score_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.score_matrix(results(spark, d), "f1", SEGMENTS).withColumnsRenamed({s: s.lower() for s in SEGMENTS})
+
+
+@query("SELECT o_orderpriority AS framework, max(o_orderkey) AS reached FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def largest_size(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "orders").select(F.col("o_orderpriority").alias("framework"), F.col("o_orderkey").alias("size"), F.when(F.col("o_orderstatus") == "F", "OK").otherwise("TIMEOUT").alias("status"))
+    return ranking.largest_size(rows)
+
+
+# ---------------------------------------------------------------- pairs, splits, sets
+
+
+@query("""
+SELECT o_orderkey AS left_id, o_custkey AS right_id, coalesce(s.score, 0.0) AS score
+FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_quantity), 2) AS score FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) s ON s.l_orderkey = o_orderkey""")
+def score_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs without a score get 0."""
+    split = t(spark, d, "orders").select(F.col("o_orderkey").alias("left_id"), F.col("o_custkey").alias("right_id"))
+    sums = t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.round(F.sum("l_quantity"), 2).alias("score"))
+    return pairs.scores_for(split, split.join(sums, F.col("left_id") == F.col("l_orderkey")).select("left_id", "right_id", "score"))
+
+
+@query("""
+SELECT o_orderkey AS left_id, o_custkey AS right_id FROM orders
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)""")
+def referential_filter(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "orders").select(F.col("o_orderkey").alias("left_id"), F.col("o_custkey").alias("right_id"))
+    a = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    b = t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return pairs.referential(p, a, b, tolerance=None)[0]
+
+
+@query("""
+SELECT o_orderkey AS left_id, o_custkey AS right_id, CAST(coalesce(o_orderkey % 10 = c_nationkey, false) AS DOUBLE) AS score
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0""")
+def cluster_membership(spark: SparkSession, d: str) -> DataFrame:
+    split = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("l"), F.col("o_custkey").cast("string").alias("r"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    named = split.select(F.concat(F.lit("o"), "l").alias("left_id"), F.concat(F.lit("c"), "r").alias("right_id"), "k", "c")
+    a = split.select(F.concat(F.lit("o"), "l").alias("node"), (F.col("k") % 10).alias("cluster_id"))
+    b = t(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_nationkey").cast("long").alias("cluster_id"))
+    return pairs.same_cluster(named, a.unionByName(b)).select(F.col("k").alias("left_id"), F.col("c").alias("right_id"), "score")
+
+
+@query("""
+SELECT DISTINCT least(l_partkey, l_suppkey) AS left_id, greatest(l_partkey, l_suppkey) AS right_id FROM lineitem
+EXCEPT SELECT least(p_partkey, p_size), greatest(p_partkey, p_size) FROM part""")
+def pair_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical pairs without known ones."""
+    a = pairs.unordered(t(spark, d, "lineitem").select(F.col("l_partkey").alias("left_id"), F.col("l_suppkey").alias("right_id")))
+    b = pairs.unordered(t(spark, d, "part").select(F.col("p_partkey").alias("left_id"), F.col("p_size").cast("long").alias("right_id")))
+    return pairs.without(a, b)
+
+
+@query("SELECT CAST(o_orderkey % 4 = 0 AS INTEGER) AS label, CASE WHEN o_orderkey % 4 = 0 THEN count(*) ELSE (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0) * 2 END AS n FROM orders GROUP BY o_orderkey % 4 = 0")
+def negative_sampling(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("left_id"), F.col("o_custkey").alias("right_id"), (F.col("o_orderkey") % 4 == 0).cast("int").alias("label"))
+    return pairs.downsample(rows, 2.0).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def component_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of one brand, name and size stay in one of three splits."""
+    rec = parts(spark, d)
+    positives = blocking.dedupe_only(rec, [BlockingRule.of("p_brand", "p_name", "p_size")])
+    return splits.component_splits(rec.select(F.col("id").alias("node")), positives)
+
+
+@query()
+def labelled_split(spark: SparkSession, d: str) -> DataFrame:
+    rec = parts(spark, d)
+    positives = blocking.dedupe_only(rec, [BlockingRule.of("p_brand", "p_name", "p_size")])
+    return splits.labelled_split(rec, positives, "p_type")
+
+
+@query("""
+SELECT o_orderkey || '|' || o_custkey AS z_cluster, CAST(o_orderkey % 4 = 0 AS INTEGER) AS z_isMatch, 'left' AS z_zsource, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS attr FROM orders
+UNION ALL SELECT o_orderkey || '|' || o_custkey, CAST(o_orderkey % 4 = 0 AS INTEGER), 'right', CAST(c_custkey AS VARCHAR), c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey""")
+def linker_training_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders")
+    p = o.select(F.col("o_orderkey").cast("string").alias("left_id"), F.col("o_custkey").cast("string").alias("right_id"), (F.col("o_orderkey") % 4 == 0).cast("int").alias("label"))
+    left = o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("attr"))
+    right = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("attr"))
+    return classifiers.training_rows(p, left, right)
