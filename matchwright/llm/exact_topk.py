@@ -64,7 +64,8 @@ def search(tree: dict[str, np.ndarray], own: np.ndarray, q: np.ndarray, bar: np.
     ids, x = tree["ids"], tree["x"]
     most = float(np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1])
     kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else object
-    xs, qs = x.astype(kind) if kind is not object else x.astype(np.int64).astype(object), q.astype(kind) if kind is not object else q.astype(np.int64).astype(object)
+    whole = lambda m: m.astype(kind) if kind is not object else np.vectorize(int, otypes=[object])(m)
+    xs, qs = whole(x), whole(q)
     rank = np.empty(len(ids), dtype=np.int64)
     by_id = np.argsort(ids, kind="stable")
     rank[by_id] = np.arange(len(ids))
@@ -123,7 +124,7 @@ def _search_wide(ids, xs, own, qs, bar, k):
         s = (xs.astype(object) * qs[i].astype(object)).sum(axis=1)
         mine = [(-int(v), int(n)) for v, n in zip(s, ids) if n != own[i] and v >= bar[i]]
         for v, n in sorted(mine)[:k]:
-            rows.append(i), found.append(n), scores.append(-v)
+            rows.append(i), found.append(n), scores.append(max(-(2**63), min(2**63 - 1, -v)))
     return np.array(rows, np.int64), np.array(found, np.int64), np.array(scores, np.int64)
 
 
@@ -133,7 +134,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str =
 
     Rows with a null id, a null or empty vector, or a null or non-finite component
     take no part. A query meets vectors of its own length only, and no row with its
-    own id. Rows that repeat an id are candidates each for themselves. Extra
-    columns are not read."""
+    own id. Rows that repeat an id are candidates each for themselves. A score
+    beyond 64 bits is held at their end. Extra columns are not read."""
     scaled = lambda df: usable(df, key, vector).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
     return top_k(scaled(vectors), scaled(queries), k, shard_rows, build_tree, search, "long")
