@@ -377,7 +377,7 @@ def knn_blocking(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lsh_blocking(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return neighbours.lsh_pairs(e, None, 0.9)
+    return neighbours.lsh_pairs(e, None, 1.0)
 
 
 # ---------------------------------------------------------------- scoring

@@ -29,7 +29,7 @@ def jaro(a: str, b: str) -> float:
         return 0.0
     k = len(left)
     right = [b[j] for j in range(m) if used[j]]
-    half = sum(x != y for x, y in zip(left, right)) / 2
+    half = sum(x != y for x, y in zip(left, right)) // 2
     return (k / n + k / m + (k - half) / k) / 3
 
 
