@@ -553,14 +553,14 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ranking
 
-RESULTS_SQL = "SELECT c_mktsegment AS framework, CAST(c_nationkey AS VARCHAR) AS dataset, round(avg(c_acctbal), 2) AS f1, round(sum(c_acctbal), 2) AS cost FROM customer GROUP BY 1, 2"
+RESULTS_SQL = "SELECT c_mktsegment AS framework, CAST(c_nationkey AS VARCHAR) AS dataset, round(avg(c_acctbal), 8) AS f1, round(sum(c_acctbal), 2) AS cost FROM customer GROUP BY 1, 2"
 RANKS_SQL = f"""WITH r AS ({RESULTS_SQL}), k AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY f1 DESC) + (count(*) OVER (PARTITION BY dataset, f1) - 1) / 2.0 AS rk FROM r)"""
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
     """Market segments over nations, as a stand-in for systems over data sets."""
     c = t(spark, d, "customer")
-    return c.groupBy(F.col("c_mktsegment").alias("framework"), F.col("c_nationkey").cast("string").alias("dataset")).agg(F.round(F.avg("c_acctbal"), 2).alias("f1"), F.round(F.sum("c_acctbal"), 2).alias("cost"))
+    return c.groupBy(F.col("c_mktsegment").alias("framework"), F.col("c_nationkey").cast("string").alias("dataset")).agg(F.round(F.avg("c_acctbal"), 8).alias("f1"), F.round(F.sum("c_acctbal"), 2).alias("cost"))
 
 
 @query(RANKS_SQL + " SELECT framework, dataset, CAST(rk AS DOUBLE) AS avg_rank FROM k")
@@ -573,7 +573,8 @@ def mean_ranks(spark: SparkSession, d: str) -> DataFrame:
     return ranking.mean_ranks(results(spark, d), "f1").select("framework", r6(F.col("mean_rank")).alias("mean_rank"), "n")
 
 
-@query(RANKS_SQL + """, s AS (SELECT framework, sum(rk) AS s FROM k GROUP BY 1), c AS (SELECT count(*) AS k, (SELECT count(DISTINCT dataset) FROM r) AS n FROM s),
+@query(f"""WITH every AS ({RESULTS_SQL}), r AS (SELECT * FROM every WHERE dataset IN (SELECT dataset FROM every GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT framework) FROM every))),
+k AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY f1 DESC) + (count(*) OVER (PARTITION BY dataset, f1) - 1) / 2.0 AS rk FROM r)""" + """, s AS (SELECT framework, sum(rk) AS s FROM k GROUP BY 1), c AS (SELECT count(*) AS k, (SELECT count(DISTINCT dataset) FROM r) AS n FROM s),
 tie AS (SELECT coalesce(sum(n * n * n - n), 0) AS t FROM (SELECT count(*) AS n FROM k GROUP BY dataset, f1))
 SELECT round((12.0 / (n * k * (k + 1)) * (SELECT sum(s * s) FROM s) - 3.0 * n * (k + 1)) / (1 - t / CAST(n * k * (k * k - 1) AS DOUBLE)), 6) AS chi2,
     CAST(k AS INTEGER) AS k, CAST(n AS INTEGER) AS n, round(2.728 * sqrt(k * (k + 1) / (6.0 * n)), 6) AS cd FROM c, tie""")
@@ -589,9 +590,9 @@ def pareto_front(spark: SparkSession, d: str) -> DataFrame:
     return ranking.pareto_front(results(spark, d), "cost", "f1").select("framework", "dataset", "f1", "cost")
 
 
-@query(f"WITH r AS ({RESULTS_SQL}) SELECT framework, count(*) AS n, round(avg(f1), 4) AS f1, round(avg(cost), 4) AS cost FROM r GROUP BY 1")
+@query(f"WITH r AS ({RESULTS_SQL}) SELECT framework, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(cost), 6) AS cost FROM r GROUP BY 1")
 def family_means(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.family_means(results(spark, d), ["f1", "cost"]).select("framework", "n", F.round("f1", 4).alias("f1"), F.round("cost", 4).alias("cost"))
+    return ranking.family_means(results(spark, d), ["f1", "cost"]).select("framework", "n", F.round("f1", 6).alias("f1"), F.round("cost", 6).alias("cost"))
 
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
