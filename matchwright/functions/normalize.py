@@ -122,32 +122,36 @@ def first_word(x: Column) -> Column:
 
 
 def model_token(x: Column) -> Column:
-    """The last chunk between `` - `` that holds a digit, else the last word that does, else empty."""
+    """A model number in a product name: the part behind the last `` - ``, squeezed to a-z and
+    0-9, if it has a digit; else the last alphanumeric word that has one, else empty."""
+    name = lower_or_empty(x)
     digit = lambda w: w.rlike(r"\d")
-    chunks = F.transform(F.split(x, " - "), lambda c: F.trim(c))
-    tail = F.when((F.size(chunks) > 1) & digit(F.element_at(chunks, -1)), F.element_at(chunks, -1))
-    return F.when(x.isNotNull(), F.coalesce(tail, F.try_element_at(F.filter(words(x), digit), F.lit(-1)), F.lit("")))
+    chunks = F.split(name, " - ")
+    tail = keep_alphanumeric(F.element_at(chunks, -1))
+    spaced = words(F.regexp_replace(name, r"[^a-z0-9\s]", " "))
+    return F.when((F.size(chunks) > 1) & digit(tail), tail).otherwise(F.coalesce(F.try_element_at(F.filter(spaced, digit), F.lit(-1)), F.lit("")))
 
 
-#: Company suffixes that carry no name.
-COMPANY_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "software", "systems", "technologies")
+#: Company words that carry no name.
+COMPANY_WORDS = ("inc", "llc", "corp", "ltd", "systems", "software", "technologies", "usa")
 
 
 def vendor_token(x: Column) -> Column:
-    """The first word that is no company suffix; null without one."""
-    plain = F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", " ")
-    return F.try_element_at(F.filter(words(plain), lambda w: ~w.isin(*COMPANY_SUFFIXES)), F.lit(1))
+    """The first word left when company words are taken out; empty without one."""
+    plain = F.regexp_replace(lower_or_empty(x), r"\b(?:" + "|".join(COMPANY_WORDS) + r")\b\.?", "")
+    return F.coalesce(first_word(plain), F.lit(""))
 
 
 def version_token(x: Column) -> Column:
-    """``v1.2``, a year or a decimal number in a title; empty without one."""
-    return F.regexp_extract(F.lower(x), r"(v\d+(?:\.\d+)*|\b(?:19|20)\d{2}\b|\b\d+\.\d+\b)", 1)
+    """``v1.2``, a year of 1900-2099 or a decimal number in a title, without spaces; empty without one."""
+    found = F.regexp_extract(lower_or_empty(x), r"\b(v\.?\s*\d[\d.]*|(?:19|20)\d{2}\b|\d+\.\d+\b)", 1)
+    return F.replace(F.regexp_replace(found, r"\s+", ""), F.lit("v."), F.lit("v"))
 
 
 def first_author_surname(x: Column) -> Column:
-    """The last word of the first author, letters only; null without one."""
-    first = F.regexp_replace(F.element_at(F.split(F.lower(x), "[,;]"), 1), r"[^a-z\s]", "")
-    return F.try_element_at(words(first), F.lit(-1))
+    """The last word of the first author, letters only; empty without one."""
+    first = F.regexp_replace(F.element_at(F.split(lower_or_empty(x), "[,;]"), 1), r"[^a-z\s]", "")
+    return F.coalesce(F.try_element_at(words(first), F.lit(-1)), F.lit(""))
 
 
 def leading_year(x: Column, missing: str | None = None) -> Column:

@@ -80,6 +80,16 @@ def with_jaro_winkler(pairs: DataFrame, left: str, right: str, to: str, least: f
     return joined.withColumn(to, F.when(hard, F.coalesce("__s", F.lit(0.0))).otherwise(F.coalesce(known, F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0))))).drop("__a", "__b", "__s")
 
 
+def on_distinct_pairs(pairs: DataFrame, left: str, right: str, measures: dict[str, Column]) -> DataFrame:
+    """``pairs`` with each measure of two of its columns, computed once for each distinct
+    pair of values and joined back. The measures are written over columns ``l`` and
+    ``r``; they are null where a value is."""
+    a, b = F.col(left), F.col(right)
+    distinct = pairs.where(a.isNotNull() & b.isNotNull()).select(a.alias("l"), b.alias("r")).distinct()
+    scored = distinct.select(F.col("l").alias("__l"), F.col("r").alias("__r"), *[m.alias(n) for n, m in measures.items()])
+    return pairs.join(scored, (a == F.col("__l")) & (b == F.col("__r")), "left").drop("__l", "__r")
+
+
 def jaro_winkler_thresholds(strictness: float) -> list[float]:
     """Ordinal levels: the strictness, .07 and .15 below it, none above .98."""
     return sorted({t for x in (strictness, strictness - 0.07, strictness - 0.15) if (t := round(min(x, 0.98), 3)) > 0}, reverse=True)

@@ -99,16 +99,3 @@ def learn_rules(records_left: DataFrame, records_right: DataFrame | None, labell
         chosen.append(best)
         covered += gains[f"r{best}"]
     return [candidates[i] for i in chosen]
-
-
-#: Rule sets by kind of data, as key expressions over its columns.
-RULE_SETS: dict[str, tuple[BlockingRule, ...]] = {
-    "products_brand_model": (BlockingRule.of("brand"), BlockingRule.of("model")),
-    "software_vendor_version": (BlockingRule.of("mfr_block"), BlockingRule.of("version"), BlockingRule.of("substr(title, 1, 5)")),
-    "publications": (BlockingRule.of("year", "first_author"), BlockingRule.of("substr(title, 1, 8)"), BlockingRule.of("first_author")),
-    "movies": (BlockingRule.of("substr(entity_text, 1, 6)"), BlockingRule.of("year", "substr(entity_text, 1, 3)"), BlockingRule.of("ep_key")),
-    "products_title_brand": (BlockingRule.of("brand", "substr(title, 1, 5)"), BlockingRule.of("modelno")),
-    "citations": tuple(BlockingRule.of(*k) for k in (("first_author", "year"), ("title",), ("substr(title, 1, 10)",), ("first_author", "substr(title, 1, 5)"), ("venue", "year"), ("publisher", "year"), ("substr(author, 1, 8)",), ("year", "substr(title, 1, 5)"), ("first_author", "venue"))),
-    "discs": tuple(BlockingRule.of(*k) for k in (("first_artist", "year"), ("title",), ("artist",), ("substr(title, 1, 8)",), ("substr(artist, 1, 8)",), ("genre", "substr(title, 1, 5)"), ("category", "substr(artist, 1, 5)"), ("year", "substr(title, 1, 5)"), ("first_artist", "substr(title, 1, 3)"))),
-    "persons": tuple(BlockingRule.of(*k) for k in (("soc_sec_id",), ("surname", "given_name"), ("date_of_birth",), ("phone_number",), ("substr(surname, 1, 4)", "postcode"), ("substr(surname, 1, 2)", "substr(postcode, 1, 3)", "state"))),
-}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def tokens(x: Column) -> Column:
     """The distinct lower-cased alphanumeric tokens of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def token_blocks(records: DataFrame, columns: list[str], two_sources: bool = False) -> DataFrame:

@@ -39,11 +39,13 @@ def one(spark, column, *values):
         (N.keep_alphanumeric, ("XB-10/a",), "xb10a"),
         (N.first_word, ("  Sony Bravia",), "Sony"),
         (N.first_word, ("",), None),
-        (N.model_token, ("Sony Bravia TV - KDL40",), "KDL40"),
-        (N.model_token, ("Sony KDL40 black",), "KDL40"),
+        (N.model_token, ("Sony Bravia TV - KDL-40/B",), "kdl40b"),
+        (N.model_token, ("Sony KDL40 black",), "kdl40"),
         (N.model_token, ("no digits",), ""),
         (N.vendor_token, ("Inc. Adobe Systems",), "adobe"),
-        (N.version_token, ("Office v2.1 pro",), "v2.1"),
+        (N.vendor_token, (None,), ""),
+        (N.version_token, ("Office v. 2.1 pro",), "v2.1"),
+        (N.version_token, ("Office 2003",), "2003"),
         (N.version_token, ("plain",), ""),
         (N.first_author_surname, ("J. Smith, A. Doe",), "smith"),
         (N.leading_year, ("1999-05-01",), "1999"),

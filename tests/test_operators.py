@@ -244,7 +244,7 @@ def test_features_and_classifiers(spark):
     labelled = df(spark, [(x, y, int(x % 50 == y % 50)) for x, y in set(rows)], "left_id int, right_id int, label int")
     table = compare.feature_table(pairs.lookup(labelled, a, b), feats).cache()
     names = [f"f_{c}_{k}" for c, k in feats]
-    for kind in ("logistic", "forest", "boosting", "tree", "bayes", "svm"):
+    for kind in ("logistic", "forest", "boosting", "tree", "bayes", "svm", "rbf"):
         cfg = classifiers.Config(kind, trees=10, iterations=10, balanced=kind == "logistic", impute="zero" if kind == "tree" else "mean")
         scored = classifiers.score(table, classifiers.train(table.select("label", *names), names, cfg))
         f1 = evaluate.best_threshold(evaluate.sweep(scored)).first()["f1"]
