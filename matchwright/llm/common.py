@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import dropped, shared_dir, stored
 
-__all__ = ["ASCII_LOWER", "ASCII_UPPER", "dropped", "shared_dir", "stored", "table", "temp_name"]
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "dropped", "shared_dir", "small_batches", "stored", "table", "temp_name"]
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB and 2,000 rows from here on in this session, so
+    that texts in flight between the JVM and Python stay bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def temp_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

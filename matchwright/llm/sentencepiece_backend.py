@@ -13,6 +13,8 @@ is encoded once. ``parity`` compares with the sentencepiece library.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import struct
 import zlib
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import Chunks
+from .common import small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -129,7 +132,6 @@ class Codec:
 
     def __init__(self, m: SpModel):
         self.m = m
-        self.whole = build(m)
         self.tok = build(m, normalised=False)
         usable = [p for p, _, kind in m.pieces if kind in (NORMAL, USER)]
         self.cuts = all(MARK not in p.lstrip(MARK) for p in usable) and not any(kind == USER for _, _, kind in m.pieces)
@@ -137,12 +139,17 @@ class Codec:
         marks = {p: s for p, s, kind in m.pieces if kind == NORMAL and len(p) > 1 and not p.strip(MARK)}
         #: Marker runs of one score merge from the left; the library would merge them by rank.
         self.level = set(marks) if m.kind == BPE and len(set(marks.values())) == 1 else set()
-        self.chunks = Chunks(self._new, MARK, most=8_000_000)
+        self.chunks = Chunks(self._new, MARK)
         self.table = [self._bytes(p, kind) for p, _, kind in m.pieces]
         sizes = np.array([len(b) for b in self.table], dtype=np.int64)
         self.table_at, self.table_size = np.cumsum(sizes) - sizes, sizes
         self.table_flat = np.frombuffer(b"".join(self.table), dtype=np.uint8)
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer with its normaliser and decoder, for texts that cannot be cut."""
+        return build(self.m)
+
     def _bytes(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
@@ -150,7 +157,7 @@ class Codec:
             return b""
         return " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
-    def _new(self, chunks: list[str]) -> list[list[int]]:
+    def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [i for i, c in enumerate(chunks) if not (self.level and c.startswith(MARK * 3))]
         out: list[list[int]] = [[]] * len(chunks)
         for i, e in zip(plain, self.tok.encode_batch_fast([chunks[i] for i in plain], add_special_tokens=False)):
@@ -158,7 +165,8 @@ class Codec:
         for i, c in enumerate(chunks):
             if self.level and c.startswith(MARK * 3):
                 out[i] = self._marked(c)
-        return out
+        sizes = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), dtype=np.uint32, count=int(sizes.sum())), sizes
 
     def _marked(self, chunk: str) -> list[int]:
         word = chunk.lstrip(MARK)
@@ -236,6 +244,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     normaliser changes a text, and for the marker character itself, which reads
     back as a space. A null text counts as empty. Repeated rows are encoded
     each for itself."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean" + (", ids array<int>" if keep_ids else "")
 
     def run(batches):
@@ -248,7 +257,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
             at = 0
             while at < len(texts):  # some MB of text at a time
                 end, held = at, 0
-                while end < len(texts) and (end == at or held < 2_000_000):
+                while end < len(texts) and (end == at or held < 1_000_000):
                     held += len(texts[end].as_buffer()) if texts[end].is_valid else 0
                     end += 1
                 raw = [t or "" for t in texts.slice(at, end - at).to_pylist()]

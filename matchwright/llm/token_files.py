@@ -19,6 +19,7 @@ the next.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import uuid
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunked import Chunks
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 MAGIC = b"MWPFOR01"
 BLOCK = 4096
@@ -41,25 +42,33 @@ PERCENTILE = 90
 _HEAD, _TAIL = struct.Struct("<IIBI"), struct.Struct("<qqqq8s")
 
 
+def _bits(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value, one after another, highest bit first."""
+    size = 1 if width <= 8 else 2 if width <= 16 else 4
+    wide = np.unpackbits(values.astype(f">u{size}").view(np.uint8)).reshape(len(values), 8 * size)
+    return np.packbits(wide[:, 8 * size - width :]).tobytes()
+
+
+def _values(data, at: int, count: int, width: int) -> np.ndarray:
+    size = 1 if width <= 8 else 2 if width <= 16 else 4
+    wide = np.zeros((count, 8 * size), dtype=np.uint8)
+    wide[:, 8 * size - width :] = np.unpackbits(np.frombuffer(data, np.uint8, -(-count * width // 8), at), count=count * width).reshape(count, width)
+    return np.packbits(wide.reshape(-1)).view(f">u{size}").astype(np.uint32)
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     over = (ids - np.uint32(low)).astype(np.uint32)
     width = int(np.partition(over, k := min(len(over) - 1, len(over) * PERCENTILE // 100))[k]).bit_length()
     out = np.flatnonzero(over >> np.uint32(width) if width < 32 else np.zeros_like(over)).astype("<u4")
-    bits = ((over[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    return _HEAD.pack(low, len(ids), width, len(out)) + np.packbits(bits, axis=None, bitorder="little").tobytes() + out.tobytes() + over[out].astype("<u4").tobytes()
+    return _HEAD.pack(low, len(ids), width, len(out)) + _bits(over, width) + out.tobytes() + over[out].astype("<u4").tobytes()
 
 
 def unpack_block(data: bytes | memoryview) -> np.ndarray:
     low, n, width, extra = _HEAD.unpack_from(data)
-    at = _HEAD.size
-    size = -(-n * width // 8)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    words = np.zeros((n, 32), dtype=np.uint8)
-    words[:, :width] = bits
-    over = np.packbits(words, axis=1, bitorder="little").view("<u4")[:, 0].astype(np.uint32)
-    at += size
+    over = _values(data, _HEAD.size, n, width)
     if extra:
+        at = _HEAD.size + -(-n * width // 8)
         over[np.frombuffer(data, "<u4", extra, at)] = np.frombuffer(data, "<u4", extra, at + 4 * extra)
     return over + np.uint32(low)
 
@@ -150,18 +159,54 @@ def byte_level_chunks(text: str) -> list[str]:
     return [text] if _three.search(text) else text.split(" ")
 
 
-def _encoder(model: str) -> Chunks:
-    import os
+class _Pieces:
+    """Encodes chunks many at a time. Chunks that begin with a space and end in no white
+    space are joined to long texts, whose pieces begin anew at each chunk; the ids are
+    dealt back by the number of bytes that each stands for."""
+
+    JOIN = 1000
+
+    def __init__(self, model: str):
+        import os
 
-    key = hash(model)
-    if key not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(model)
-        tok.encode_special_tokens = True
+        self.tok = Tokenizer.from_str(model)
+        self.tok.encode_special_tokens = True
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        #: In a byte-level vocabulary each character of a token is one byte.
+        self.size = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.size[i] = len(token)
+
+    def __call__(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [i for i, c in enumerate(new) if c[:1] == " " and not c[-1].isspace()]
+        alone = [i for i, c in enumerate(new) if not (c[:1] == " " and c and not c[-1].isspace())]
+        texts = ["".join([new[i] for i in joined[a : a + self.JOIN]]) for a in range(0, len(joined), self.JOIN)]
+        got = [e.ids for e in self.tok.encode_batch_fast(texts + [new[i] for i in alone], add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(got[: len(texts)]), dtype=np.uint32)
+        reach = np.cumsum(self.size[ids])
+        ends = np.searchsorted(reach, np.cumsum([len(new[i].encode()) for i in joined], dtype=np.int64)) + 1 if joined else np.empty(0, np.int64)
+        rest = [np.asarray(x, dtype=np.uint32) for x in got[len(texts) :]]
+        sizes = np.empty(len(new), dtype=np.int64)
+        sizes[joined] = np.diff(ends, prepend=0)
+        sizes[alone] = [len(x) for x in rest]
+        # the chunks' own order: joined ones and others stand in two runs
+        flat = np.concatenate([ids, *rest])
+        order = np.array(joined + alone, dtype=np.int64)
+        starts = np.empty(len(new), dtype=np.int64)
+        in_run = sizes[order]
+        starts[order] = np.cumsum(in_run) - in_run
+        at = np.cumsum(sizes)
+        return flat[np.repeat(starts - (at - sizes), sizes) + np.arange(len(flat))], sizes
+
+
+def _encoder(model: str) -> Chunks:
+    key = hash(model)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Chunks(lambda new: (e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)), " ")
+        _encoders[key] = Chunks(_Pieces(model), " ", most=9_000_000)
     return _encoders[key]
 
 
@@ -183,7 +228,7 @@ def _write(folder: str, model: str, end_id: int):
                 at = 0
                 while at < len(texts):
                     end, held = at, 0
-                    while end < len(texts) and (end == at or held < 2_000_000):
+                    while end < len(texts) and (end == at or held < 1_000_000):
                         held += len(texts[end].as_buffer() or b"") if texts[end].is_valid else 0
                         end += 1
                     split = [byte_level_chunks(t or "") for t in texts.slice(at, end - at).to_pylist()]
@@ -207,6 +252,7 @@ def write_tokens(docs: DataFrame, folder: str, model: str, end_id: int = 2, key:
     in the order of a hash of their text. A repeated attempt of a task writes
     the same bytes and replaces the file in one move."""
     spark = docs.sparkSession
+    small_batches(spark)
     where, base = _open(folder)
     where.create_dir(base, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
