@@ -28,8 +28,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
 #: Bytes that count as letters when windows are weighted.
-_LETTER = np.zeros(256, dtype=np.float64)
-_LETTER[97:123] = _LETTER[128:] = 1.0
+_LETTER = np.zeros(256, dtype=np.uint8)
+_LETTER[97:123] = _LETTER[128:] = 1
 
 
 @dataclass
@@ -90,7 +90,7 @@ class Model:
             probs[a : a + 64] = z / z.sum(axis=1, keepdims=True)
         return probs
 
-    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and the score of each text, in blocks of bounded size."""
         size = self.window
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
@@ -98,7 +98,7 @@ class Model:
         while k < len(texts):
             owner, rows, held = [], [], 0
             begin = k
-            while k < len(texts) and (held == 0 or held + len(texts[k]) < 4_000_000):
+            while k < len(texts) and (held == 0 or held + len(texts[k]) < 1_000_000):
                 held += len(texts[k])
                 k += 1
             total = np.zeros((k - begin, len(self.languages)))
@@ -110,7 +110,7 @@ class Model:
                 at += n * size
             rows = _FOLD[flat].reshape(-1, size)
             owner = np.repeat(np.arange(k - begin), counts)
-            weight = _LETTER[rows].sum(axis=1) + 1e-9
+            weight = _LETTER[rows].sum(axis=1, dtype=np.int64) + 1e-9
             np.add.at(total, owner, self.windows(rows) * weight[:, None])
             total /= total.sum(axis=1, keepdims=True)
             best[begin:k] = total.argmax(axis=1)
@@ -207,7 +207,7 @@ def predict(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def apply(values: pa.Array) -> pa.Array:
-        texts = [v.as_buffer().to_pybytes() if v.is_valid else b"" for v in values]
+        texts = [memoryview(v.as_buffer()) if v.is_valid else b"" for v in values]
         best, score = model.texts(texts)
         names = pa.array(model.languages).take(pa.array(best))
         return pa.StructArray.from_arrays([names.cast(pa.string()), pa.array(score)], fields=list(kind))
@@ -226,8 +226,9 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, text: str = "te
     """All rows and columns of ``docs`` and a struct column ``language_id`` (with
     underscores appended if that name is taken), from a model trained on
     ``labelled``: by default the rows of ``docs`` that are not held out."""
-    from .common import temp_name
+    from .common import small_batches, temp_name
 
+    small_batches(docs.sparkSession)
     taught = labelled if labelled is not None else docs.where(~held_out(F.col(key)))
     model = fit(taught, text, lang, key, params)
     return docs.withColumn(temp_name(docs, "language_id"), predict(F.col(text), model))

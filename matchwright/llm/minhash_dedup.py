@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import dropped, stored
+from .common import dropped, small_batches, stored
 
 _U = np.uint64
 
@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     has no link and is its own component. Rows that repeat an id are described
     row by row. A null id stays null and never names a component that has an
     id. Other columns of ``docs`` are not read."""
+    small_batches(docs.sparkSession)
     all_docs = stored(describe(docs, key, text, p), "described")
     classes = all_docs.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumnRenamed("n_shingles", "n"), "classes")
