@@ -13,12 +13,15 @@ from __future__ import annotations
 import html
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # HTML elements by their role in layout.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -39,6 +42,15 @@ _CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+@lru_cache(maxsize=10_000)
+def hint(word: str) -> str | None:
+    """The hint in a word of a class: itself, or the longest of four letters or more
+    that it begins or ends with (``commentlist``, ``mainmenu``)."""
+    if word in HINTS:
+        return word
+    return max((h for h in HINTS if len(h) > 3 and (word.startswith(h) or word.endswith(h))), key=lambda h: (len(h), h), default=None)
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     """(text, marks of the open elements, share of the text inside links) of each
     leaf block with text. Marks are tags and ``#hint`` words, outermost first."""
@@ -105,7 +117,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 if _HIDDEN.search(attrs):
                     marks.append("#hidden")
                 for a in _ATTR.finditer(attrs):
-                    marks += {"#" + w for x in _WORD.findall(a[2] or a[3] or a[4] or "") if (w := x.lower()) in HINTS}
+                    marks += sorted({"#" + h for x in _WORD.findall(a[2] or a[3] or a[4] or "") if (h := hint(x.lower()))})
             stack.append((name, tuple(marks)))
         elif name == "a":
             links += 1
@@ -170,7 +182,7 @@ def path_marks(marks: tuple[str, ...]) -> list[str]:
     return [*{"in:" + m for m in marks}, "own:" + (tags[-1] if tags else "-"), "bias"]
 
 
-def train(pages: list[tuple[str, list[bool]]], steps: int = 250, rate: float = 0.1, decay: float = 2e-3) -> Field:
+def train(pages: list[tuple[str, list[bool]]], steps: int = 250, rate: float = 0.1, decay: float = 1e-4) -> Field:
     """Maximum likelihood by Adam; the gradient is the expected less the seen counts,
     from the forward and backward sums of all pages at once."""
     names: dict[str, int] = {}
@@ -364,6 +376,7 @@ def extract(pages: DataFrame, html_column: str = "html", to: str = "main_text",
     """``pages`` with a string column ``to`` (in place of one of that name): the main
     text, blocks joined by an empty line. A null or empty page, and a page
     without an article block, give an empty text. Rows and other columns stay."""
+    small_batches(pages.sparkSession)
     model = field or default_field()
 
     @F.arrow_udf("string")
