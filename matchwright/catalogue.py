@@ -318,8 +318,10 @@ SELECT left_id, right_id, round(coalesce(s / (a.z * b.z), 0), 6) AS cosine, roun
     round(2.0 * coalesce(c, 0) / (a.k + b.k), 6) AS dice, round(coalesce(c, 0) / CAST(least(a.k, b.k) AS DOUBLE), 6) AS overlap
 FROM p JOIN norm a ON a.v = nl JOIN norm b ON b.v = nr LEFT JOIN dots ON x = nl AND y = nr""")
 def qgram_similarities(spark: SparkSession, d: str) -> DataFrame:
-    a, b = S.qgrams(F.col("p_name_l"), 2), S.qgrams(F.col("p_name_r"), 2)
-    return part_lookup(spark, d).select("left_id", "right_id", r6(S.multiset_cosine(a, b)).alias("cosine"), r6(S.jaccard(a, b)).alias("jaccard"), r6(S.dice(a, b)).alias("dice"), r6(S.overlap(a, b)).alias("overlap"))
+    a, b = S.qgrams(F.col("l"), 2), S.qgrams(F.col("r"), 2)
+    measures = {"cosine": S.multiset_cosine(a, b), "jaccard": S.jaccard(a, b), "dice": S.dice(a, b), "overlap": S.overlap(a, b)}
+    scored = S.on_distinct_pairs(part_lookup(spark, d), "p_name_l", "p_name_r", {n: r6(m) for n, m in measures.items()})
+    return scored.select("left_id", "right_id", *measures)
 
 
 @query(f"""
