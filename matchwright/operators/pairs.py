@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .topn import sample_exact
+
 
 def by_label(pairs: DataFrame, label: int) -> DataFrame:
     return pairs.where(F.col("label") == label)
@@ -27,12 +29,6 @@ def referential(pairs: DataFrame, left: DataFrame, right: DataFrame, tolerance:
     return marked.where("__l AND __r").select(*pairs.columns), n
 
 
-def sample_exact(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), the same ones on each run: those whose keys
-    hash lowest. A top-n over all partitions; no sort of the table."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
-
-
 def downsample(pairs: DataFrame, ratio: float, seed: int = 42, cap: int | None = None) -> DataFrame:
     """All matches and ``ratio`` times as many others."""
     matches = by_label(pairs, 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .clustering import components_over
 from .pairs import unordered, without
+from .topn import sample_exact
 
 
 def component_splits(universe: DataFrame, positives: DataFrame, train: float = 0.70, valid: float = 0.15, seed: int = 42) -> DataFrame:
@@ -40,7 +41,7 @@ def hard_negatives(records: DataFrame, key: str, positives: DataFrame, target: i
     near = records.where(F.col(key).isNotNull()).select("id", key, *[F.lead("id", i).over(order).alias(f"n{i}") for i in range(1, tries + 1)])
     pairs = near.select(F.col("id").alias("left_id"), F.explode(F.array(*[f"n{i}" for i in range(1, tries + 1)])).alias("right_id")).where("right_id is not null AND left_id <> right_id")
     fresh = without(unordered(pairs), unordered(positives.select("left_id", "right_id")))
-    return fresh.orderBy(F.xxhash64("left_id", "right_id", F.lit(seed)), "left_id", "right_id").limit(target)
+    return sample_exact(fresh, target, "left_id", "right_id", seed=seed)
 
 
 def random_negatives(records: DataFrame, positives: DataFrame, target: int, seed: int = 42, known: DataFrame | None = None) -> DataFrame:
@@ -57,7 +58,7 @@ def random_negatives(records: DataFrame, positives: DataFrame, target: int, seed
     pairs = unordered(drawn.join(other, "slot").where("a <> b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id")))
     fresh = without(pairs, unordered(positives.select("left_id", "right_id")))
     fresh = fresh if known is None else without(fresh, unordered(known.select("left_id", "right_id")))
-    return fresh.orderBy(F.xxhash64("left_id", "right_id", F.lit(seed)), "left_id", "right_id").limit(target)
+    return sample_exact(fresh, target, "left_id", "right_id", seed=seed)
 
 
 def labelled_split(records: DataFrame, positives: DataFrame, key: str, per_positive: float = 3.0, hard_share: float = 0.3, seed: int = 42) -> DataFrame:

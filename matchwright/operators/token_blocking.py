@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .topn import top_n
+
 
 def tokens(x: Column) -> Column:
     """The distinct lower-cased alphanumeric tokens of a text."""
@@ -120,7 +122,7 @@ def budget(blocks: DataFrame, two_sources: bool = False) -> tuple[int, int]:
 
 def cardinality_edge_pruning(weighted: DataFrame, k: int) -> DataFrame:
     """The ``k`` heaviest edges; ties by ids."""
-    return weighted.orderBy(F.desc("weight"), "left_id", "right_id").limit(k)
+    return top_n(weighted, k, "weight", "left_id", "right_id")
 
 
 def cardinality_node_pruning(weighted: DataFrame, k: int, two_sources: bool = False) -> DataFrame:

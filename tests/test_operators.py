@@ -324,6 +324,19 @@ def test_samples_and_lookups(spark):
     assert pairs.without_id_features(df(spark, [(1, 2)], "id_x int, y int")).columns == ["y"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 25, 60, 100, 300])
+def test_top_n_by_bins_equals_sorting(spark, n):
+    from matchwright.operators.topn import sample_exact, top_n
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, 1.0, 1.0, 2.5, rng.random(), 1e9])) for i in range(120)]
+    data = df(spark, rows, "id int, v double")
+    want = [i for i, v in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))][:n]
+    assert sorted(r["id"] for r in top_n(data, n, "v", "id", small=5).collect()) == sorted(want)
+    got = {r["id"] for r in sample_exact(data, n, "id", small=5).collect()}
+    assert got == {r["id"] for r in sample_exact(data.repartition(5), n, "id").collect()} and len(got) == min(n, 120)
+
+
 # ---------------------------------------------------------------- splits, search, ranking
 
 
