@@ -126,14 +126,12 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     return blocks
 
 
-def text_marks(text: str, link_share: float, first: bool, before: tuple[str, ...] | None, marks: tuple[str, ...]) -> list[str]:
+def text_marks(text: str, link_share: float, before: tuple[str, ...] | None, marks: tuple[str, ...]) -> list[str]:
     words = text.count(" ") + 1
     out = ["len:" + ("1" if words < 4 else "2" if words < 12 else "3" if words < 40 else "4"), "link:" + ("0" if link_share == 0 else "1" if link_share < 0.4 else "2")]
     out.append("stop:" + ("1" if text[-1] in ".!?…\"'”»" else "0"))
     if "©" in text or "copyright" in text.lower():
         out.append("legal")
-    if first:
-        out.append("first")
     out.append("same" if before == marks else "changed")
     return out
 
@@ -161,7 +159,7 @@ class Field:
         other = article = 0.0
         before = None
         for k, (text, marks, link) in enumerate(blocks):
-            gain = self._path(marks) + sum(self.weights.get(f, 0.0) for f in text_marks(text, link, k == 0, before, marks))
+            gain = self._path(marks) + sum(self.weights.get(f, 0.0) for f in text_marks(text, link, before, marks))
             before = marks
             if k == 0:
                 other, article = 0.0, gain
@@ -182,7 +180,7 @@ def path_marks(marks: tuple[str, ...]) -> list[str]:
     return [*{"in:" + m for m in marks}, "own:" + (tags[-1] if tags else "-"), "bias"]
 
 
-def train(pages: list[tuple[str, list[bool]]], steps: int = 250, rate: float = 0.1, decay: float = 1e-4) -> Field:
+def train(pages: list[tuple[str, list[bool]]], steps: int = 250, rate: float = 0.1, decay: float = 5e-4) -> Field:
     """Maximum likelihood by Adam; the gradient is the expected less the seen counts,
     from the forward and backward sums of all pages at once."""
     names: dict[str, int] = {}
@@ -192,7 +190,7 @@ def train(pages: list[tuple[str, list[bool]]], steps: int = 250, rate: float = 0
         if len(blocks) != len(labels):
             raise ValueError("a page's labels and blocks differ in number")
         for k, (text, marks, link) in enumerate(blocks):
-            rows.append([names.setdefault(f, len(names)) for f in path_marks(marks) + text_marks(text, link, k == 0, before, marks)])
+            rows.append([names.setdefault(f, len(names)) for f in path_marks(marks) + text_marks(text, link, before, marks)])
             owner.append((p, k))
             gold.append(labels[k])
             before = marks
@@ -294,16 +292,17 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
                 out.append("<script>if (a < b) { x = '<p>no</p>'; }</script><style>p{margin:0}</style><!-- <p>none</p> -->")
 
         out.append("<!DOCTYPE html><html><head><meta charset=utf-8>")
-        if rng.random() < 0.9:
-            say("title", words(2, 9, False), False)
+        if rng.random() < 0.85:
+            say("title", words(2, 9, rng.random() < 0.2), False)
         out.append("<style>p{margin:0}</style></head><body>")
-        if rng.random() < 0.5:
+        bare = rng.random() < 0.15  # an article and little else
+        if rng.random() < 0.5 and not bare:
             out.append(f'<header{attr("masthead", "top", "page-header") if rng.random() < 0.4 else ""}>')
             say(rng.choice(["h1", "p", "div"]), words(1, 8, False), False)
             out.append("</header>")
-        if rng.random() < 0.8:
+        if rng.random() < 0.8 and not bare:
             menu(rng.choice(["nav", "nav", "div"]), attr("menu", "nav", "navbar"))
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(0 if bare else rng.randint(0, 2)):
             junk("page")
         style = rng.random()
         opener, closer = ("<article>", "</article>") if style < 0.5 else (f'<div{attr("content", "main-content", "post", "article-body", "entry-content", "story")}>', "</div>") if style < 0.75 else ("<main>", "</main>") if style < 0.9 else ("<main><article>", "</article></main>")
@@ -318,7 +317,7 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
         for _ in range(rng.randint(1, 14)):
             r = rng.random()
             if r < 0.65:
-                text = words(1, 8) if rng.random() < 0.25 else words(6, 80)
+                text = words(1, 8, rng.random() < 0.7) if rng.random() < 0.3 else words(6, 80, rng.random() < 0.9)
                 say("p", text if rng.random() < 0.7 else f'{text} <a href="/z">{words(1, 4, False)}</a> {words(2, 9)}', True)
             elif r < 0.73:
                 say(rng.choice(["h2", "h3"]), words(1, 7, False), True)

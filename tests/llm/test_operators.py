@@ -343,7 +343,7 @@ def test_crf_decodes_like_brute_force():
         blocks = html_extraction.leaf_blocks(page)[:9]
         gains, before = [], None
         for k, (text, marks, link) in enumerate(blocks):
-            gains.append(field._path(marks) + sum(field.weights.get(f, 0.0) for f in html_extraction.text_marks(text, link, k == 0, before, marks)))
+            gains.append(field._path(marks) + sum(field.weights.get(f, 0.0) for f in html_extraction.text_marks(text, link, before, marks)))
             before = marks
         best = max(itertools.product([0, 1], repeat=len(blocks)), key=lambda y: sum(g * v for g, v in zip(gains, y)) + sum(field.pair[a, b] for a, b in zip(y, y[1:])))
         assert [int(x) for x in field.decode(blocks)] == list(best)
