@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .topn import top_n
 
 
@@ -23,7 +24,8 @@ def token_blocks(records: DataFrame, columns: list[str], two_sources: bool = Fal
     records, or, for two sources (column src), with records of both."""
     src = F.col("src") if "src" in records.columns else F.lit("a")
     text = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
-    rows = records.select(src.alias("src"), "id", F.explode(tokens(text)).alias("block"))
+    # texts are split once; sizes and the join back read the narrow table
+    rows = stored(records.select(src.alias("src"), "id", F.explode(tokens(text)).alias("block")), "tokens")
     sizes = block_sizes(rows, two_sources)
     return rows.join(sizes.where("cardinality > 0").select("block"), "block")
 
