@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchwright.llm import language_id, minhash_dedup, sentencepiece_backend, source_mixing
-from matchwright.llm.common import stored, table
+from matchwright.llm.common import numbered, stored, table
 from matchwright.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,16 +25,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in an order in which sources follow their weights; files and
-    the rows in them keep that order."""
+    """All documents in an order in which sources follow their weights: files in the
+    order of their names, and the rows in each as they stand."""
     return source_mixing.in_order(source_mixing.mix(docs.select(*COLUMNS)))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with what decoding them gives back."""
+    """The token ids of each document, with what decoding them gives back, in the order
+    of the mixture. Spark does not read files back in the order of their names, so
+    ``position`` says each row's place: order by it wherever the result is read again."""
     with open(vocabulary("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    return sentencepiece_backend.encode(docs, model, keep_ids=True)
+    placed = numbered(docs, "position").orderBy("position")
+    return sentencepiece_backend.encode(placed, model, keep_ids=True, place="position")
 
 
 STAGES = [

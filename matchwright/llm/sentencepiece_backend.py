@@ -236,8 +236,9 @@ def codec(model: bytes) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, decoded_chars, round_trip[, ids]) of each row.
+def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", keep_ids: bool = False, place: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, decoded_chars, round_trip[, ids][, place]) of each
+    row, rows in the order of ``docs``. place: a whole-number column that is carried along.
 
     ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip:
     whether the ids decode to the very text; it fails where the model's
@@ -245,7 +246,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     back as a space. A null text counts as empty. Repeated rows are encoded
     each for itself."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean" + (", ids array<int>" if keep_ids else "")
+    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean" + (", ids array<int>" if keep_ids else "") + (f", `{place}` long" if place else "")
 
     def run(batches):
         import os
@@ -274,10 +275,13 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
                 columns = [keys.slice(at, end - at), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(chars, pa.int64()), pa.array(same, pa.bool_())]
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(wide.view("<i4"), pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "round_trip"] + ["ids"] * keep_ids)
+                if place:
+                    columns.append(batch.column(2).slice(at, end - at))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "round_trip"] + ["ids"] * keep_ids + ([place] if place else []))
                 at = end
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    carried = [F.col(place).cast("long")] if place else []
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *carried).mapInArrow(run, schema)
 
 
 def parity(model: bytes, texts: list[str]) -> list[int]:

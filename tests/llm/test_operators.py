@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -437,3 +438,28 @@ def test_pipeline_stages_on_odd_rows(spark):
         if k < 3:
             assert docs.columns == corpus_pipeline.COLUMNS
     assert docs.count() == 6
+
+
+def test_pipeline_keeps_the_mixture_in_files_of_several_sizes(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = documents(spark, [f"text number {i} " * (1 + i % 3) for i in range(600)]).orderBy("doc_id").toArrow()
+    for k, (a, b) in enumerate(((0, 10), (10, 400), (400, 430), (430, 600))):
+        pq.write_table(docs.slice(a, b - a), tmp_path / f"part-{k:05d}.parquet")
+    read = spark.read.parquet(str(tmp_path))
+    assert [r["doc_id"] for r in read.collect()] != list(range(600))
+    got = corpus_pipeline.encode_pieces(spark, read, SF).collect()
+    assert [(r["doc_id"], r["position"]) for r in got] == [(i, i) for i in range(600)]
+
+
+def test_pipeline_rows_come_in_the_order_of_the_mixture(spark):
+    import corpus_pipeline
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # stage 3 writes several files
+    try:
+        got = corpus_pipeline.run(spark, SF).select("doc_id", "position").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id").isin([r["doc_id"] for r in got]))
+    want = [r["doc_id"] for r in source_mixing.in_order(source_mixing.mix(kept)).collect()]
+    assert [r["doc_id"] for r in got] == want and [r["position"] for r in got] == list(range(len(want)))
