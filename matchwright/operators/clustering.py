@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,39 +49,87 @@ def unique_mapping(scored: DataFrame, threshold: float = 0.0, max_rounds: int =
     raise RuntimeError("unique mapping did not end")
 
 
-def average_linkage(scored: DataFrame, threshold: float, universe: DataFrame | None = None, max_component: int = 5000) -> DataFrame:
+def average_linkage(scored: DataFrame, threshold: float, universe: DataFrame | None = None, max_component: int | None = None, local: int = 5000) -> DataFrame:
     """(node, cluster_id): average-linkage clusters inside the components of the pairs
-    at the threshold; pairs without a score count as 0. A component is worked on as a
-    whole in one task; one of more than ``max_component`` nodes stays a single-linkage
-    cluster, and is thereby never gathered."""
-    kept = scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
-    comps = stored(connected_components(kept, "left_id", "right_id"), "components")
-    small = comps.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= max_component).select("component")
-    rows = kept.join(comps, kept["left_id"] == comps["node"]).select("left_id", "right_id", "score", "component").join(small, "component")
-    kind = dict(scored.dtypes)["left_id"]
+    at the threshold; pairs without a score count as 0, equal averages go by a hash of
+    the two clusters' smallest nodes.
+
+    A component of at most ``local`` nodes is worked on as a whole in one task. In larger
+    ones, all pairs of clusters that are each other's best merge at once, which gives the
+    same clusters, as no merger brings a cluster nearer to a third than its nearer part
+    was. For the same reason what pairs below the threshold alone hold together falls
+    apart, so the rest of a component becomes small in the end. Each round is a few
+    aggregations and joins; averages that rise along a chain take many rounds. With
+    ``max_component``, larger components stay single-linkage clusters."""
+    kept = scored.where(F.col("score") >= threshold).where("left_id <> right_id")
+    one = F.lit(1).cast("long")
+    edges = kept.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), F.col("score").cast("double").alias("s"))
+    edges = stored(edges.groupBy("a", "b").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("s")).select("a", "b", "s", one.alias("na"), one.alias("nb")), "edges")
+    kind = dict(edges.dtypes)["a"]
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted({*pdf["left_id"], *pdf["right_id"]})
-        clusters = {n: [n] for n in nodes}
-        sums: dict[tuple, float] = {}
-        for a, b, s in zip(pdf["left_id"], pdf["right_id"], pdf["score"]):
-            if a != b:
-                sums[min(a, b), max(a, b)] = max(s, sums.get((min(a, b), max(a, b)), 0.0))
+        size = {**dict(zip(pdf["a"], pdf["na"])), **dict(zip(pdf["b"], pdf["nb"]))}
+        clusters = {n: [n] for n in sorted(size)}
+        sums = dict(zip(zip(pdf["a"], pdf["b"]), pdf["s"]))
+        ties: dict[tuple, str] = {}
+
+        def order(kv: tuple) -> tuple:
+            (a, b), s = kv
+            if (a, b) not in ties:
+                ties[a, b] = hashlib.md5(f"{a} {b}".encode()).hexdigest()
+            return -s / (size[a] * size[b]), ties[a, b], a, b
+
         while sums:
-            (a, b), s = max(sums.items(), key=lambda kv: (kv[1] / (len(clusters[kv[0][0]]) * len(clusters[kv[0][1]])), [-ord(c) for c in str(kv[0])]))
-            if s / (len(clusters[a]) * len(clusters[b])) < threshold:
+            (a, b), s = min(sums.items(), key=order)
+            if s / (size[a] * size[b]) < threshold:
                 break
             clusters[a] += clusters.pop(b)
+            size[a] += size.pop(b)
             del sums[a, b]
             for x, y in [k for k in sums if b in k]:
                 other = y if x == b else x
                 pair = (min(a, other), max(a, other))
                 sums[pair] = sums.get(pair, 0.0) + sums.pop((x, y))
-        return pd.DataFrame([(n, min(c)) for c in clusters.values() for n in c], columns=["node", "cluster_id"])
-
-    fine = rows.groupBy("component").applyInPandas(link, f"node {kind}, cluster_id {kind}")
-    large = comps.join(small, "component", "left_anti").select("node", F.col("component").alias("cluster_id"))
-    out = fine.unionByName(large)
+        return pd.DataFrame([(n, min(c)) for c in clusters.values() for n in c], columns=["cluster", "cluster_id"])
+
+    average = F.col("s") / (F.col("na") * F.col("nb"))
+    comps = stored(connected_components(edges, "a", "b"), "components")
+    names = comps.select("node", F.col("node").alias("cluster"))
+    ended, single = None, None
+    if max_component is not None:
+        large = comps.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_component).select("component")
+        single = comps.join(large, "component", "left_semi").select("node", F.col("component").alias("cluster_id"))
+        comps = comps.join(large, "component", "left_anti")
+        names = comps.select("node", F.col("node").alias("cluster"))
+    while True:
+        # Pairs between components of the pairs at the threshold are below it for good.
+        sized = stored(comps.join(comps.groupBy("component").agg(F.count("*").alias("n")), "component"), "sized")
+        inside = edges.join(sized.select(F.col("node").alias("a"), "component", "n"), "a").join(sized.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").where("component = other").drop("other")
+        fine = inside.where(F.col("n") <= local).drop("n").groupBy("component").applyInPandas(link, f"cluster {kind}, cluster_id {kind}")
+        fine = stored(fine, "fine")
+        ended = fine if ended is None else ended.unionByName(fine)
+        if sized.where(F.col("n") > local).isEmpty():
+            break
+        edges = stored(inside.where(F.col("n") > local).drop("component", "n"), "edges")
+        for _ in range(3):
+            tie = F.md5(F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string")).cast("binary"))
+            near = edges.where(average >= threshold).select(F.struct((-average).alias("r"), tie.alias("t"), "a", "b", "na", "nb").alias("k"))
+            best = near.select(F.explode(F.array("k.a", "k.b")).alias("end"), "k").groupBy("end").agg(F.min("k").alias("k"))
+            pairs = stored(best.groupBy("k").agg(F.count("*").alias("ends")).where("ends = 2").select("k.*"), "pairs")
+            whole = F.col("na") + F.col("nb")
+            moved = stored(pairs.select(F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), whole.alias("size")), "moved")
+            names = stored(names.join(moved.select(F.col("old").alias("cluster"), "new"), "cluster", "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "names")
+            for end, n in (("a", "na"), ("b", "nb")):
+                edges = edges.join(moved.withColumnRenamed("old", end), end, "left").withColumns({end: F.coalesce("new", end), n: F.coalesce("size", n)}).drop("new", "size")
+            first = F.col("a") < F.col("b")
+            edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+            # At most four sums meet, added in one order in every run.
+            total = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda x, y: x + y)
+            edges = stored(edges.groupBy("a", "b", "na", "nb").agg(total.alias("s")).select("a", "b", "s", "na", "nb"), "edges")
+        comps = stored(connected_components(edges.where(average >= threshold), "a", "b"), "components")
+    out = names.join(ended, "cluster", "left").select("node", F.coalesce("cluster_id", "cluster").alias("cluster_id"))
+    if single is not None:
+        out = out.unionByName(single)
     if universe is None:
         return out
     return universe.select("node").distinct().join(out, "node", "left").select("node", F.coalesce("cluster_id", "node").alias("cluster_id"))

@@ -1,5 +1,6 @@
 """Operators of entity resolution against brute force and in odd cases."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -73,6 +74,41 @@ def test_average_linkage_and_thresholds(spark):
     assert {r["node"] for r in strict.collect()} == {1, 2}
 
 
+def greedy_average_linkage(scores, threshold):
+    clusters = [{n} for n in sorted({n for pair in scores for n in pair})]
+    while True:
+        found = []
+        for x, y in itertools.combinations(clusters, 2):
+            mean = sum(scores.get((min(a, b), max(a, b)), 0.0) for a in x for b in y) / (len(x) * len(y))
+            low, high = sorted((min(x), min(y)))
+            found.append((-mean, hashlib.md5(f"{low} {high}".encode()).hexdigest(), x, y))
+        best = min(found, key=lambda f: f[:2], default=(0.0,))
+        if len(best) == 1 or -best[0] < threshold:
+            return {n: min(c) for c in clusters for n in c}
+        clusters = [c for c in clusters if c is not best[2] and c is not best[3]] + [best[2] | best[3]]
+
+
+def test_average_linkage_of_large_components(spark):
+    """In rounds and in one task: the same clusters, equal averages included."""
+    rng = random.Random(3)
+    scores = {}
+    while len(scores) < 80:
+        a, b = sorted(rng.sample(range(40), 2))
+        scores[a, b] = rng.choice([0.25, 0.5, 0.5, 0.75, 1.0])
+    want = greedy_average_linkage(scores, 0.25)
+    assert 3 < len(set(want.values())) < 30
+    scored = df(spark, [(a, b, s) for (a, b), s in scores.items()], "left_id int, right_id int, score double")
+    for local in (5000, 3):
+        assert {r["node"]: r["cluster_id"] for r in clustering.average_linkage(scored, 0.25, local=local).collect()} == want
+
+
+def test_average_linkage_has_no_bound_of_size(spark):
+    n = 6000
+    path = spark.range(n - 1).select(F.col("id").alias("left_id"), (F.col("id") + 1).alias("right_id"), F.lit(0.75).alias("score"))
+    sizes = clustering.average_linkage(path, 0.5).groupBy("cluster_id").count().collect()
+    assert sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) == 2
+
+
 def test_cluster_scores_and_pairs(spark):
     members = df(spark, [("5", "a", 1, 0.9), ("7", "b", 1, 0.5), ("5", "b", 2, 0.4)], "node string, src string, cluster_id int, score double")
     split = df(spark, [("5", "7"), ("7", "5"), ("5", "5")], "left_id string, right_id string")
