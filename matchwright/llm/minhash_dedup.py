@@ -93,7 +93,7 @@ def signatures(sets: list[np.ndarray], p: Params) -> np.ndarray:
 def _describe(p: Params, key_type: pa.DataType):
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
+            keys, texts, marks = batch.column(0), batch.column(1), batch.column(2)
             at = 0
             while at < len(texts):  # some MB of text at a time
                 end, held = at, 0
@@ -114,8 +114,8 @@ def _describe(p: Params, key_type: pa.DataType):
                         nodes.append(None)
                         sigs.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, end - at).cast(key_type), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "node", "sig"],
+                    [keys.slice(at, end - at).cast(key_type), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), marks.slice(at, end - at)],
+                    names=["doc_id", "n_shingles", "node", "sig", "mark"],
                 )
                 at = end
 
@@ -123,8 +123,10 @@ def _describe(p: Params, key_type: pa.DataType):
 
 
 def describe(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, node, sig): node names the document's set, null if empty."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_describe(p, pa.int64()), "doc_id long, n_shingles long, node binary, sig array<int>")
+    """(doc_id, n_shingles, node, sig, mark): node names the document's set, null if
+    empty; mark is a hash of its text."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    return rows.mapInArrow(_describe(p, pa.int64()), "doc_id long, n_shingles long, node binary, sig array<int>, mark long")
 
 
 def _shared(left, right):
@@ -161,7 +163,8 @@ def _block_links(p: Params):
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, p: Params) -> DataFrame:
-    """(node, items) of the classes in ``wanted`` (node, doc_id), from one document each."""
+    """(node, items) of the classes in ``wanted`` (node, doc_id, mark), from a row each
+    with that id, which may be null, and that text; rows that are equal repeat a class."""
 
     def run(batches):
         for batch in batches:
@@ -170,7 +173,9 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, p: Params) ->
                 sets = [shingles(t.as_buffer().to_pybytes() if t.is_valid else None, p.words).view(np.int64) for t in texts.slice(at, 200)]
                 yield pa.RecordBatch.from_arrays([nodes.slice(at, 200), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
 
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted.select("node", "doc_id"), "doc_id")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    of = wanted.select("node", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"))
+    chosen = rows.join(of, (F.col("mark") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
     return chosen.select("node", "text").mapInArrow(run, "node binary, items array<bigint>")
 
 
@@ -183,8 +188,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
     id. Other columns of ``docs`` are not read."""
     small_batches(docs.sparkSession)
     all_docs = stored(describe(docs, key, text, p), "described")
-    classes = all_docs.where("node is not null").groupBy("node", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    classes = stored(classes.withColumnRenamed("n_shingles", "n"), "classes")
+    classes = all_docs.where("node is not null").groupBy("node", "n_shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("row"), F.first("sig").alias("sig"))
+    classes = stored(classes.select("node", F.col("n_shingles").alias("n"), "row.doc_id", "row.mark", "sig"), "classes")
 
     # Sets below this size meet the threshold with equal sets only.
     least = next(n for n in range(1, 10**6) if p.over * n >= p.under * (n + 1))

@@ -131,6 +131,17 @@ def test_minhash_dedup_null_and_repeated_ids_and_empty(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_dedup_near_copies_without_an_id_or_with_a_shared_one(spark):
+    base = [[f"{c}{i}" for i in range(120)] for c in "abcd"]
+    near = [" ".join(x[:-1] + ["other"]) for x in base]
+    texts = [" ".join(x) for x in base]
+    # a: both ids null; b, c: id 7 stands on two texts, each with a near copy; d: one null
+    rows = [(None, texts[0]), (None, near[0]), (7, texts[1]), (7, texts[2]), (8, near[1]), (9, near[2]), (None, texts[3]), (5, near[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (None, 5, False), (5, 5, True)], key=str)
+
+
 # ---------------------------------------------------------------- vectors
 
 
