@@ -19,9 +19,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    found = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates: the one with the smallest id, a row
+    without an id only where none has one, and of rows that repeat that id the first."""
+    rows = numbered(docs, "row")
+    found = minhash_dedup.near_duplicates(rows, key="row").select(F.col("doc_id").alias("row_"), "component_id")
+    ids = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place"))
+    first = ids.join(found, F.col("row") == F.col("row_")).groupBy("component_id").agg(F.min("place").alias("place"))
+    kept = first.select(F.col("place.row").alias("kept_row"))
+    return rows.join(kept, F.col("row") == F.col("kept_row"), "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,11 +37,11 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a long column ``name`` that numbers the rows from 0, file by file in
     the order of the files' names and as they stand in them: Spark itself reads larger
     files first. ``docs`` must be Parquet files as read, of one folder; rows that come
-    from no file are numbered as they stand now, with gaps."""
+    from no file are numbered as they stand now, with gaps, and stored."""
     try:
         rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     except AnalysisException:
-        return docs.withColumn(name, F.monotonically_increasing_id())
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     sizes = rows.groupBy("__file").agg(F.count("*").alias("n"))
     # Part numbers beyond five digits make a name longer.
     earlier = F.sum("n").over(Window.orderBy(F.length("__file"), "__file")) - F.col("n")

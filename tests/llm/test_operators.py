@@ -474,3 +474,16 @@ def test_pipeline_rows_come_in_the_order_of_the_mixture(spark):
     kept = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id").isin([r["doc_id"] for r in got]))
     want = [r["doc_id"] for r in source_mixing.in_order(source_mixing.mix(kept)).collect()]
     assert [r["doc_id"] for r in got] == want and [r["position"] for r in got] == list(range(len(want)))
+
+
+def test_pipeline_keeps_one_row_of_a_group_whatever_its_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(4, a), (4, a), (6, a + " more"), (None, b), (None, b), (None, b + " more"), (None, c), (2, c), (None, d), (9, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    df.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    want = sorted([(4, a), (None, b), (2, c), (None, d), (9, None)], key=str)
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
