@@ -28,6 +28,8 @@ class _Numbered(dict):
 
 
 class Chunks:
+    STEP = 4000
+
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lead: str, most: int = 3_000_000):
         """encode: the ids of some chunks, one after another, and how many each has. lead: what stands before each chunk
         but the first, and is left out of its key. most: characters of keys held."""
@@ -76,14 +78,15 @@ class Chunks:
             self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
 
     def _learn(self) -> None:
-        ids, sizes = self.encode(self.new)
-        self._room(len(sizes), len(ids))
-        self.pool[self.used : self.used + len(ids)] = ids
-        ends = self.used + np.cumsum(sizes)
-        self.starts[self.known : self.known + len(sizes)] = ends - sizes
-        self.sizes[self.known : self.known + len(sizes)] = sizes
-        self.known += len(sizes)
-        self.used += len(ids)
+        for at in range(0, len(self.new), self.STEP):  # a tokenizer's own objects are many times its ids
+            ids, sizes = self.encode(self.new[at : at + self.STEP])
+            self._room(len(sizes), len(ids))
+            self.pool[self.used : self.used + len(ids)] = ids
+            ends = self.used + np.cumsum(sizes)
+            self.starts[self.known : self.known + len(sizes)] = ends - sizes
+            self.sizes[self.known : self.known + len(sizes)] = sizes
+            self.known += len(sizes)
+            self.used += len(ids)
         self.new = []
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:

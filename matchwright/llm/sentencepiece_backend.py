@@ -31,6 +31,8 @@ from .common import small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: The library's threads in one Python worker.
+THREADS = 2
 
 
 @dataclass
@@ -139,7 +141,7 @@ class Codec:
         marks = {p: s for p, s, kind in m.pieces if kind == NORMAL and len(p) > 1 and not p.strip(MARK)}
         #: Marker runs of one score merge from the left; the library would merge them by rank.
         self.level = set(marks) if m.kind == BPE and len(set(marks.values())) == 1 else set()
-        self.chunks = Chunks(self._new, MARK)
+        self.chunks = Chunks(self._new, MARK, most=1_000_000)
         self.table = [self._bytes(p, kind) for p, _, kind in m.pieces]
         sizes = np.array([len(b) for b in self.table], dtype=np.int64)
         self.table_at, self.table_size = np.cumsum(sizes) - sizes, sizes
@@ -251,9 +253,10 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     def run(batches):
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read once a process, when the library starts its threads
         c = codec(model)
         for batch in batches:
+            os.environ["TOKENIZERS_PARALLELISM"] = "true"
             keys, texts = batch.column(0), batch.column(1)
             at = 0
             while at < len(texts):  # some MB of text at a time
