@@ -213,7 +213,8 @@ def predict(text: Column, model: Model) -> Column:
         return pa.StructArray.from_arrays([names.cast(pa.string()), pa.array(score)], fields=list(kind))
 
     has_letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    got = apply(F.when(has_letter, text))
+    # Not repeated where a filter and a projection both read it.
+    got = apply.asNondeterministic()(F.when(has_letter, text))
     return F.when(has_letter, got).otherwise(F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score")))
 
 
