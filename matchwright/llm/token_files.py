@@ -20,6 +20,7 @@ the next.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import struct
 import uuid
@@ -167,9 +168,6 @@ class _Pieces:
     JOIN = 1000
 
     def __init__(self, model: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(model)
@@ -181,6 +179,7 @@ class _Pieces:
             self.size[i] = len(token)
 
     def __call__(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; a worker may have run other operators before
         joined = [i for i, c in enumerate(new) if c[:1] == " " and not c[-1].isspace()]
         alone = [i for i, c in enumerate(new) if not (c[:1] == " " and c and not c[-1].isspace())]
         texts = ["".join([new[i] for i in joined[a : a + self.JOIN]]) for a in range(0, len(joined), self.JOIN)]
