@@ -114,6 +114,23 @@ def test_minhash_dedup_equals_brute_force(spark, seed):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, c, i == c), texts[i][:80] if texts[i] else texts[i]
 
 
+@pytest.mark.parametrize("p", [minhash_dedup.Params(rounds=0, block=16), minhash_dedup.FOUR_FIFTHS, minhash_dedup.Params(under=80, collisions=12, rounds=0, block_shingles=200)])
+def test_minhash_dedup_with_texts_of_all_sizes(spark, p):
+    """Sizes from a few words to thousands, pairs near the threshold, a passage that many share."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(vocab, k=40)
+    texts = []
+    for size in (6, 9, 20, 33, 60, 120, 400, 3000):
+        for _ in range(3):
+            base = rng.choices(vocab, k=size) + passage * (size < 60)
+            for drop in (0, 0.05, 0.1, 0.15, 0.19, 0.2, 0.25):
+                texts.append(" ".join(base[: round(len(base) * (1 - drop))]))
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(documents(spark, texts), p=p).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, p)]
+
+
 def test_minhash_dedup_large_group_by_blocks(spark):
     """With no round for pivots but the last, blocks alone must find every link."""
     texts = copies(5, groups=3, low=40, high=60)
@@ -432,7 +449,7 @@ def test_pipeline_against_brute_force(spark, pieces):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
     lettered = [r for r in docs if r["text"] and re.search(r"[^\W\d_]", r["text"])]
-    comps = brute_components([r["text"] for r in lettered])
+    comps = brute_components([r["text"] for r in lettered], minhash_dedup.FOUR_FIFTHS)
     want = {r["doc_id"]: r["text"] for k, r in enumerate(lettered) if comps[k][1] == k}
     assert got.keys() == want.keys()
     c = sentencepiece_backend.codec(pieces)
