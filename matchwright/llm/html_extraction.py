@@ -24,22 +24,27 @@ from .common import small_batches
 
 # HTML elements by their role in layout.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("iframe noembed noframes noscript script style svg template textarea xmp math object".split())
+#: Form controls inside a block, whose text is none of the block's.
+CONTROL_TAGS = frozenset("button label select datalist".split())
 #: Words in class, id and role that tell something about an element.
 HINTS = frozenset(
     "ad ads advert advertisement adverts alert article author banner bar body breadcrumb breadcrumbs button byline caption comment comments complementary consent content contentinfo cookie cookies copyright disclaimer discussion entry feedback footer form gdpr head header links login main masthead menu meta modal nav navbar navigation newsletter notice notices page pagination pager popup post posts promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored story subscribe tags text thread title toc toolbar top warning widget".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"=\s*([\"'])|>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
-#: An element that closes an open one of the same group when it begins.
-_IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that close open ones when they begin, up to the nearest list or table.
+_IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_SCOPES = frozenset(("ul", "ol", "dl", "table", "menu"))
+_LINES = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 @lru_cache(maxsize=10_000)
@@ -51,88 +56,158 @@ def hint(word: str) -> str | None:
     return max((h for h in HINTS if len(h) > 3 and (word.startswith(h) or word.endswith(h))), key=lambda h: (len(h), h), default=None)
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, marks of the open elements, share of the text inside links) of each
-    leaf block with text. Marks are tags and ``#hint`` words, outermost first."""
-    blocks: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Path:
+    """An open element with those above it: their marks as a set, the element's own
+    tag, and where elements stand that a later one may close. Elements of a page that
+    are open in the same way are one Path."""
+
+    __slots__ = ("parent", "tag", "marks", "depth", "open", "below")
+
+    def __init__(self, parent: "Path | None", tag: str, marks: tuple[str, ...]):
+        self.parent, self.tag = parent, tag
+        above = parent.marks if parent else frozenset()
+        self.marks = above if above.issuperset(marks) else above.union(marks)
+        self.depth = parent.depth + 1 if parent else 0
+        #: The lowest open element of each tag that another may close, up to a list or table.
+        self.open = {} if parent is None or tag in _SCOPES else parent.open
+        if tag in _IMPLIED and tag not in self.open:
+            self.open = self.open | {tag: self}
+        self.below: dict[tuple[str, ...], Path] = {}
+
+    def child(self, marks: tuple[str, ...]) -> "Path":
+        got = self.below.get(marks)
+        if got is None:
+            got = self.below[marks] = Path(self, marks[0], marks)
+        return got
+
+
+def _tokens(page: str):
+    """(text, tag, closing, attributes) in order: either a text or a tag. Every
+    character is looked at a bounded number of times: a search that finds nothing
+    is not begun again."""
+    at = seen = 0
+    size, last_end, quotes = len(page), page.rfind(">"), True
+    while (lt := page.find("<", seen)) >= 0 and (lt < last_end or page.startswith("<!--", lt)):
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                end = size if end < 0 else end + 3
+            else:
+                end = page.find(">", lt) + 1
+            if lt > at:
+                yield page[at:lt], None, False, ""
+            at = seen = end
+            continue
+        closing = after == "/"
+        name = _NAME.match(page, lt + 1 + closing)
+        if name is None:
+            seen = lt + 1
+            continue
+        end, look = -1, name.end()
+        while quotes and (m := _QUOTE_OR_END.search(page, look)):
+            if m[1] is None:
+                end = m.start()
+                break
+            look = page.find(m[1], m.end()) + 1
+            if look == 0:
+                break
+        if end < 0:  # a quote is never closed: from here on quotes mean nothing
+            quotes, end = False, page.find(">", name.end())
+        if lt > at:
+            yield page[at:lt], None, False, ""
+        tag = name[0].lower()
+        attrs = page[name.end() : end]
+        at = seen = end + 1
+        if not closing and tag in RAW_TAGS and not attrs.endswith("/"):
+            stop = _CLOSERS[tag].search(page, at)
+            at = seen = stop.end() if stop else size
+            continue
+        yield None, tag, closing, attrs
+    if at < size:
+        yield page[at:], None, False, ""
+
+
+def leaf_blocks(page: str) -> list[tuple[str, Path, float]]:
+    """(text, path of the open elements, share of the text inside links) of each leaf
+    block with text. A path's marks are tags and ``#hint`` words. Time is linear in
+    the page, whatever its nesting and however broken its markup."""
+    blocks: list[tuple[str, Path, float]] = []
+    top = Path(None, "", ())
+    stack = [top]
+    count: dict[str, int] = {}
     parts: list[str] = []
     linked = links = 0
+    control = None
 
     def end_block() -> None:
         nonlocal parts, linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                blocks.append((text, tuple(m for _, marks in stack for m in marks), min(1.0, linked / max(1, len(text)))))
+                blocks.append((text, stack[-1], min(1.0, linked / max(1, len(text)))))
             parts, linked = [], 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw:
-            text = html.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
-
-    at = 0
-    for m in iter(lambda: _TAG.search(page, at), None):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            count[stack.pop().tag] -= 1
+
+    for raw, name, closing, attrs in _tokens(page):
         if name is None:
-            continue
-        name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if name == "br":
+            if control is None:
+                text = html.unescape(raw) if "&" in raw else raw
+                parts.append(text)
+                if links:
+                    linked += len(text.strip())
+        elif name == "br":
             parts.append(" ")
-        elif closing:
-            if name == "a":
-                links = max(0, links - 1)
-            if name in BLOCK_TAGS:
-                end_block()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-        elif name in RAW_TAGS:
-            if not attrs.endswith("/"):
-                end = _CLOSERS[name].search(page, at)
-                at = end.end() if end else len(page)
+        elif name in CONTROL_TAGS:
+            if not closing:
+                control = control or name
+            elif name == control:
+                control = None
         elif name in VOID_TAGS:
             if name == "hr":
                 end_block()
         elif name in BLOCK_TAGS:
+            control = None  # a control that was never closed ends with its block
             end_block()
+            if closing:
+                if count.get(name):
+                    while stack[-1].tag != name:
+                        close_to(len(stack) - 1)
+                    close_to(len(stack) - 1)
+                continue
             links = 0
-            if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):  # a block cannot stand in a paragraph
-                stack.pop()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _IMPLIED.get(name, ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
+            if stack[-1].tag in _LINES:  # a block cannot stand in a paragraph
+                close_to(len(stack) - 1)
+            if name in _IMPLIED:
+                shut = [e.depth for t in _IMPLIED[name] if (e := stack[-1].open.get(t))]
+                if shut:
+                    close_to(min(shut))
             marks = [name]
             if attrs:
                 if _HIDDEN.search(attrs):
                     marks.append("#hidden")
+                hints: set[str] = set()
                 for a in _ATTR.finditer(attrs):
-                    marks += sorted({"#" + h for x in _WORD.findall(a[2] or a[3] or a[4] or "") if (h := hint(x.lower()))})
-            stack.append((name, tuple(marks)))
+                    hints |= {"#" + h for x in _WORD.findall(a[2] or a[3] or a[4] or "") if (h := hint(x.lower()))}
+                marks += sorted(hints)
+            stack.append(stack[-1].child(tuple(marks)))
+            count[name] = count.get(name, 0) + 1
         elif name == "a":
-            links += 1
-    add(page[at:])
+            links = max(0, links - 1) if closing else links + 1
     end_block()
     return blocks
 
 
-def text_marks(text: str, link_share: float, before: tuple[str, ...] | None, marks: tuple[str, ...]) -> list[str]:
+def text_marks(text: str, link_share: float, before: Path | None, path: Path) -> list[str]:
     words = text.count(" ") + 1
     out = ["len:" + ("1" if words < 4 else "2" if words < 12 else "3" if words < 40 else "4"), "link:" + ("0" if link_share == 0 else "1" if link_share < 0.4 else "2")]
     out.append("stop:" + ("1" if text[-1] in ".!?…\"'”»" else "0"))
     if "©" in text or "copyright" in text.lower():
         out.append("legal")
-    out.append("same" if before == marks else "changed")
+    out.append("same" if before is path else "changed")
     return out
 
 
@@ -142,15 +217,16 @@ class Field:
     def __init__(self, weights: dict[str, float], pair: np.ndarray):
         self.weights, self.pair, self._paths = weights, pair, {}
 
-    def _path(self, marks: tuple[str, ...]) -> float:
-        got = self._paths.get(marks)
+    def _path(self, path: Path) -> float:
+        key = (path.marks, path.tag)
+        got = self._paths.get(key)
         if got is None:
             if len(self._paths) > 100_000:
                 self._paths.clear()
-            got = self._paths[marks] = sum(self.weights.get(f, 0.0) for f in path_marks(marks))
+            got = self._paths[key] = sum(self.weights.get(f, 0.0) for f in path_marks(path))
         return got
 
-    def decode(self, blocks: list[tuple[str, tuple[str, ...], float]]) -> list[bool]:
+    def decode(self, blocks: list[tuple[str, Path, float]]) -> list[bool]:
         """The most likely labels; on a tie, other."""
         if not blocks:
             return []
@@ -175,9 +251,8 @@ class Field:
         return labels[::-1]
 
 
-def path_marks(marks: tuple[str, ...]) -> list[str]:
-    tags = [m for m in marks if m[0] != "#"]
-    return [*{"in:" + m for m in marks}, "own:" + (tags[-1] if tags else "-"), "bias"]
+def path_marks(path: Path) -> list[str]:
+    return [*sorted("in:" + m for m in path.marks), "own:" + (path.tag or "-"), "bias"]
 
 
 def train(pages: list[tuple[str, list[bool]]], steps: int = 250, rate: float = 0.1, decay: float = 5e-4) -> Field:
@@ -258,7 +333,7 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
             out.append(f"</ul></{tag}>")
 
         def junk(where: str) -> None:
-            kind = rng.randrange(10)
+            kind = rng.randrange(11)
             if kind == 0:
                 say("div", words(3, 25), False, attr("ad", "ads", "advert", "banner", "sponsored", "promo-box"))
             elif kind == 1:
@@ -276,7 +351,7 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
             elif kind == 4:
                 out.append(f'<form{attr("search", "login", "signup-form") if rng.random() < 0.5 else ""}>')
                 say(rng.choice(["p", "div", "legend"]), words(1, 12, rng.random() < 0.5), False)
-                out.append("<input type=text><textarea>x</textarea></form>")
+                out.append("<label>name</label><input type=text><select><option>one<option>two</select><textarea>x</textarea><button>send</button></form>")
             elif kind == 5:
                 menu(rng.choice(["nav", "div"]), attr("menu", "nav", "navigation", "breadcrumbs", "toc"))
             elif kind == 6:
@@ -288,6 +363,15 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
                 out.append("</div>")
             elif kind == 8 and where != "article":
                 say("p", words(3, 20), False, attr("disclaimer", "legal-notice", "warning", "copyright"))
+            elif kind == 9:
+                unseen = rng.choice([" hidden", ' style="display:none"', ' style="color:red; display: none;"', ' aria-hidden="true"', ' style="visibility:hidden"'])
+                if rng.random() < 0.5:
+                    say(rng.choice(["p", "div", "li", "h2"]), words(2, 40), False, unseen)
+                else:
+                    out.append(f"<div{unseen}>")
+                    for _ in range(rng.randint(1, 3)):
+                        say("p", words(4, 50), False)
+                    out.append("</div>")
             else:
                 out.append("<script>if (a < b) { x = '<p>no</p>'; }</script><style>p{margin:0}</style><!-- <p>none</p> -->")
 
@@ -318,6 +402,8 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
             r = rng.random()
             if r < 0.65:
                 text = words(1, 8, rng.random() < 0.7) if rng.random() < 0.3 else words(6, 80, rng.random() < 0.9)
+                if rng.random() < 0.05:
+                    text += " <button>copy</button>"
                 say("p", text if rng.random() < 0.7 else f'{text} <a href="/z">{words(1, 4, False)}</a> {words(2, 9)}', True)
             elif r < 0.73:
                 say(rng.choice(["h2", "h3"]), words(1, 7, False), True)
@@ -373,8 +459,12 @@ def default_field() -> Field:
 
 def extract(pages: DataFrame, html_column: str = "html", to: str = "main_text", field: Field | None = None) -> DataFrame:
     """``pages`` with a string column ``to`` (in place of one of that name): the main
-    text, blocks joined by an empty line. A null or empty page, and a page
-    without an article block, give an empty text. Rows and other columns stay."""
+    text, blocks joined by an empty line. A null or empty page, and a page without an
+    article block, give an empty text. Text of form controls and of hidden elements is
+    none of the article's. A block that is as likely article as not (a tie) is left out.
+    Pages of any length, nesting and broken markup take time linear in their length.
+    Rows and other columns stay; repeated rows are read each for itself; an empty table
+    gives an empty one."""
     small_batches(pages.sparkSession)
     model = field or default_field()
 

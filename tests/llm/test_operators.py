@@ -408,6 +408,38 @@ def test_extraction_odd_pages(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<script" * 150_000, "<a " * 350_000, "<div>x" * 170_000, "<a" + "b" * 1_000_000, "<" * 1_000_000, '<a x=">" ' * 130_000, '<a href="x' * 100_000, "<li><ul>" + "<div>" * 100_000 + "<li></li>" * 60_000, "<div>" * 100_000 + "</p>" * 130_000, "<p class=" + " " * 1_000_000 + ">x", "<p x='" * 170_000, "</" * 500_000 + ">", "<!--x" * 200_000],
+    ids=lambda p: p[:12],
+)
+def test_extraction_of_a_broken_megabyte_is_fast(page):
+    import time
+
+    field = html_extraction.default_field()
+    began = time.process_time()
+    html_extraction.main_text(field, page)
+    assert time.process_time() - began < 2
+
+
+def test_extraction_leaves_out_controls_and_hidden_text():
+    field = html_extraction.default_field()
+    some = "and this paragraph of the article goes on with many plain words."
+    page = f"""<html><body><article><h1>Title of it</h1><p>Text with <button>Click <b>me</b></button> inside <label>Name</label> {some}</p>
+        <p style="display:none">Secret one, {some}</p><p hidden>Secret two, {some}</p><div style="visibility: hidden"><p>Secret three, {some}</p></div>
+        <p><select><option>one<option>two</select>Last {some}<!-- no --></p><p>Open <button>lost</p><p>Found again {some}</p></article><!-- <p>gone"""
+    want = ["Title of it", f"Text with inside {some}", f"Last {some}", "Open", f"Found again {some}"]
+    assert html_extraction.main_text(field, page) == "\n\n".join(want)
+
+
+def test_extraction_reads_tags_as_a_browser_does():
+    blocks = lambda page: [(b[0], b[1].tag) for b in html_extraction.leaf_blocks(page)]
+    assert blocks('<p title="a > b">one</p><div class=x>two<p>three<p>four</div>five') == [("one", "p"), ("two", "div"), ("three", "p"), ("four", "p"), ("five", "")]
+    assert blocks("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == [(x, "li") for x in "abcd"]
+    assert blocks("<table><tr><td>a<td>b<tr><td>c</table>d") == [("a", "td"), ("b", "td"), ("c", "td"), ("d", "")]
+    assert blocks("<p>1 < 2 <3 and it's</p>") == [("1 < 2 <3 and it's", "p")]
+
+
 # ---------------------------------------------------------------- licences
 
 
