@@ -81,7 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     with open(tokenizer or vocabulary("byte_bpe_50k.json")) as f:
         model = f.read()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_files.read_documents(spark, token_files.write_tokens(docs, token_files.fresh_folder(spark, "tokens"), model))
+    return token_files.read_documents(spark, token_files.write_tokens(docs, token_files.fresh_folder(spark, "tokens"), model, special=True))
 
 
 QUERIES = {

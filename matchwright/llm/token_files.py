@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,9 @@ from .common import shared_dir, small_batches
 MAGIC = b"MWPFOR01"
 BLOCK = 4096
 PERCENTILE = 90
+#: Bytes of input that one part is meant to hold, and documents whose index is read at a time.
+PART_BYTES = 128 << 20
+INDEX = 1 << 16
 _HEAD, _TAIL = struct.Struct("<IIBI"), struct.Struct("<qqqq8s")
 
 
@@ -81,16 +85,13 @@ class PartWriter:
         self.out, self.at = out, out.write(MAGIC)
         self.rest: list[np.ndarray] = []
         self.held = self.ids = 0
-        self.blocks: list[int] = []
-        self.keys: list[int] = []
-        self.nulls: list[int] = []
-        self.firsts: list[int] = []
+        self.blocks, self.keys, self.firsts, self.nulls = array("q"), array("q"), array("q"), array("B")
 
     def add(self, keys: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
         ends = self.ids + np.cumsum(sizes)
-        self.firsts += (ends - sizes).tolist()
-        self.keys += [0 if k is None else k for k in keys]
-        self.nulls += [k is None for k in keys]
+        self.firsts.frombytes(np.asarray(ends - sizes, dtype=np.int64).tobytes())
+        self.keys.extend(0 if k is None else k for k in keys)
+        self.nulls.extend(k is None for k in keys)
         self.ids += len(ids)
         self.rest.append(ids)
         self.held += len(ids)
@@ -113,65 +114,85 @@ class PartWriter:
 
 
 class PartReader:
+    """Reads a part; of its index no more than is asked for."""
+
     def __init__(self, file, size: int):
         file.seek(size - _TAIL.size)
-        self.foot, blocks, docs, self.ids, magic = _TAIL.unpack(file.read(_TAIL.size))
+        self.foot, self.count, self.docs, self.ids, magic = _TAIL.unpack(file.read(_TAIL.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.file = file
-        file.seek(self.foot)
-        index = file.read(size - _TAIL.size - self.foot)
-        self.blocks = np.frombuffer(index, "<i8", blocks)
-        self.keys = np.frombuffer(index, "<i8", docs, 8 * blocks)
-        self.firsts = np.frombuffer(index, "<i8", docs, 8 * (blocks + docs))
-        self.nulls = np.frombuffer(index, "u1", docs, 8 * (blocks + 2 * docs))
+
+    def _index(self, kind: str, start: int, first: int, last: int) -> np.ndarray:
+        each = np.dtype(kind).itemsize
+        self.file.seek(self.foot + start + each * first)
+        return np.frombuffer(self.file.read(each * (last - first)), kind)
+
+    def keys(self, first: int, last: int) -> np.ndarray:
+        return self._index("<i8", 8 * self.count, first, last)
+
+    def firsts(self, first: int, last: int) -> np.ndarray:
+        """The first ids of documents, with the end of all ids behind the last one."""
+        got = self._index("<i8", 8 * (self.count + self.docs), first, min(last, self.docs))
+        return got if last <= self.docs else np.append(got, self.ids)
+
+    def nulls(self, first: int, last: int) -> np.ndarray:
+        return self._index("u1", 8 * (self.count + 2 * self.docs), first, last).astype(bool)
 
     def span(self, first: int, last: int) -> np.ndarray:
         """The ids from number ``first`` to before ``last``, from their blocks only."""
         if last <= first:
             return np.empty(0, np.uint32)
         a, b = first // BLOCK, -(-last // BLOCK)
-        edges = np.append(self.blocks, self.foot)
-        self.file.seek(int(edges[a]))
-        data = memoryview(self.file.read(int(edges[b] - edges[a])))
-        ids = np.concatenate([unpack_block(data[edges[k] - edges[a] : edges[k + 1] - edges[a]]) for k in range(a, b)])
+        edges = self._index("<i8", 0, a, min(b + 1, self.count))
+        edges = edges if b < self.count else np.append(edges, self.foot)
+        self.file.seek(int(edges[0]))
+        data = memoryview(self.file.read(int(edges[-1] - edges[0])))
+        ids = np.concatenate([unpack_block(data[i - edges[0] : j - edges[0]]) for i, j in zip(edges, edges[1:])])
         return ids[first - a * BLOCK : last - a * BLOCK]
 
     def document(self, k: int) -> np.ndarray:
-        return self.span(int(self.firsts[k]), int(self.firsts[k + 1]) if k + 1 < len(self.firsts) else self.ids)
+        first, last = self.firsts(k, k + 2)
+        return self.span(int(first), int(last))
 
-    def groups(self, most: int = 256 * BLOCK) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Runs of documents (from, to) with their ids, about ``most`` ids at a time."""
-        ends = np.append(self.firsts[1:], self.ids) if len(self.firsts) else self.firsts
-        a = 0
-        while a < len(self.firsts):
-            b = max(a + 1, int(np.searchsorted(ends, self.firsts[a] + most, "right")))
-            yield a, b, self.span(int(self.firsts[a]), int(ends[b - 1]))
-            a = b
+    def groups(self, most: int = 256 * BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(keys, null marks, edges, ids) of runs of documents with about ``most`` ids."""
+        for begin in range(0, self.docs, INDEX):
+            end = min(begin + INDEX, self.docs)
+            keys, nulls, edges = self.keys(begin, end), self.nulls(begin, end), self.firsts(begin, end + 1)
+            a = 0
+            while a < end - begin:
+                b = max(a + 1, int(np.searchsorted(edges[1:], edges[a] + most, "right")))
+                yield keys[a:b], nulls[a:b], edges[a : b + 1], self.span(int(edges[a]), int(edges[b]))
+                a = b
 
 
 _three = re.compile(r"\s\s\s|\s\s\Z")
 _encoders: dict[int, Chunks] = {}
 
 
-def byte_level_chunks(text: str) -> list[str]:
+def byte_level_chunks(text: str, whole: re.Pattern | None = None) -> list[str]:
     """Cuts a text before single spaces. The byte-level pre-tokenizer starts a new
-    piece there, unless white space stands on both sides: such a text stays whole."""
-    return [text] if _three.search(text) else text.split(" ")
+    piece there, unless white space stands on both sides: such a text stays whole, and
+    so does one in which ``whole`` finds a special token's string."""
+    return [text] if _three.search(text) or (whole and whole.search(text)) else text.split(" ")
 
 
 class _Pieces:
     """Encodes chunks many at a time. Chunks that begin with a space and end in no white
     space are joined to long texts, whose pieces begin anew at each chunk; the ids are
-    dealt back by the number of bytes that each stands for."""
+    dealt back by the number of bytes that each stands for. special: whether the string
+    of an added token in a text is that token, as the library has it by default."""
 
     JOIN = 1000
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(model)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values() if special or not t.special]
+        self.whole = re.compile("|".join(sorted(added, key=len, reverse=True))) if added else None
         vocab = self.tok.get_vocab(with_added_tokens=False)
         #: In a byte-level vocabulary each character of a token is one byte.
         self.size = np.zeros(max(vocab.values(), default=0) + 1, dtype=np.int64)
@@ -180,13 +201,16 @@ class _Pieces:
 
     def __call__(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; a worker may have run other operators before
-        joined = [i for i, c in enumerate(new) if c[:1] == " " and not c[-1].isspace()]
-        alone = [i for i, c in enumerate(new) if not (c[:1] == " " and c and not c[-1].isspace())]
-        texts = ["".join([new[i] for i in joined[a : a + self.JOIN]]) for a in range(0, len(joined), self.JOIN)]
+        joined, alone = [], []
+        for i, c in enumerate(new):
+            (joined if c[:1] == " " and not c[-1].isspace() and not (self.whole and self.whole.search(c)) else alone).append(i)
+        plain = [new[i] for i in joined]
+        texts = ["".join(plain[a : a + self.JOIN]) for a in range(0, len(plain), self.JOIN)]
         got = [e.ids for e in self.tok.encode_batch_fast(texts + [new[i] for i in alone], add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(got[: len(texts)]), dtype=np.uint32)
         reach = np.cumsum(self.size[ids])
-        ends = np.searchsorted(reach, np.cumsum([len(new[i].encode()) for i in joined], dtype=np.int64)) + 1 if joined else np.empty(0, np.int64)
+        lengths = np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in plain), dtype=np.int64, count=len(plain))
+        ends = np.searchsorted(reach, np.cumsum(lengths)) + 1
         rest = [np.asarray(x, dtype=np.uint32) for x in got[len(texts) :]]
         sizes = np.empty(len(new), dtype=np.int64)
         sizes[joined] = np.diff(ends, prepend=0)
@@ -201,11 +225,11 @@ class _Pieces:
         return flat[np.repeat(starts - (at - sizes), sizes) + np.arange(len(flat))], sizes
 
 
-def _encoder(model: str) -> Chunks:
-    key = hash(model)
+def _encoder(model: str, special: bool = False) -> Chunks:
+    key = hash((model, special))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Chunks(_Pieces(model), " ", most=9_000_000)
+        _encoders[key] = Chunks(_Pieces(model, special), " ", most=9_000_000)
     return _encoders[key]
 
 
@@ -213,9 +237,9 @@ def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _write(folder: str, model: str, end_id: int):
+def _write(folder: str, model: str, end_id: int, special: bool):
     def run(batches):
-        chunks = _encoder(model)
+        chunks = _encoder(model, special)
         where, base = _open(folder)
         part = TaskContext.get().partitionId()
         final, draft = f"{base}/part-{part:06d}.tok", f"{base}/_draft-{part:06d}-{uuid.uuid4().hex}"
@@ -230,7 +254,7 @@ def _write(folder: str, model: str, end_id: int):
                     while end < len(texts) and (end == at or held < 1_000_000):
                         held += len(texts[end].as_buffer() or b"") if texts[end].is_valid else 0
                         end += 1
-                    split = [byte_level_chunks(t or "") for t in texts.slice(at, end - at).to_pylist()]
+                    split = [byte_level_chunks(t or "", chunks.encode.whole) for t in texts.slice(at, end - at).to_pylist()]
                     ids, sizes = chunks.ids(split)
                     ids = np.insert(ids, np.cumsum(sizes), np.uint32(end_id))
                     writer.add(keys[at:end], ids, sizes + 1)
@@ -243,21 +267,27 @@ def _write(folder: str, model: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, model: str, end_id: int = 2, key: str = "doc_id", text: str = "text", parts: int | None = None) -> list[tuple[int, str, int, int]]:
+def write_tokens(docs: DataFrame, folder: str, model: str, end_id: int = 2, key: str = "doc_id", text: str = "text", parts: int | None = None, special: bool = False) -> list[tuple[int, str, int, int]]:
     """Encode every text (null: empty) with the tokenizers model ``model`` (its
     JSON), append ``end_id``, write part files in ascending order of ``key`` to
     ``folder`` (a URI that executors share). Gives (part, path, documents, ids)
     of each file, in order. Null keys come first; rows that repeat a key stay,
     in the order of a hash of their text. A repeated attempt of a task writes
-    the same bytes and replaces the file in one move."""
+    the same bytes and replaces the file in one move; an empty table gives no document.
+
+    special: whether a text that spells an added token (``<|endoftext|>``) means that
+    token, as the library has it by default, or plain text. parts: by default as many
+    as the session has shuffle partitions, more where the plan's size asks for it."""
     spark = docs.sparkSession
     small_batches(spark)
     where, base = _open(folder)
     where.create_dir(base, recursive=True)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or max(least, min(size // PART_BYTES, 1_000_000) if size < 1 << 62 else least)
     dealt = rows.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
-    made = dealt.mapInArrow(_write(folder, model, end_id), "part int, path string, docs long, ids long").collect()
+    made = dealt.mapInArrow(_write(folder, model, end_id, special), "part int, path string, docs long, ids long").collect()
     return sorted((r["part"], r["path"], r["docs"], r["ids"]) for r in made)
 
 
@@ -274,13 +304,12 @@ def read_documents(spark: SparkSession, files: list[tuple[int, str, int, int]])
                 where, name = _open(path)
                 with where.open_input_file(name) as file:
                     part = PartReader(file, file.size())
-                    for a, b, ids in part.groups():
-                        edges = np.append(part.firsts[a:b], part.firsts[a] + len(ids))
+                    for keys, nulls, edges, ids in part.groups():
                         data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
                         off = (edges - edges[0]) * 4
-                        crc = [zlib.crc32(data[off[i] : off[i + 1]]) for i in range(b - a)]
+                        crc = [zlib.crc32(data[i:j]) for i, j in zip(off, off[1:])]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(part.keys[a:b], pa.int64(), mask=part.nulls[a:b].astype(bool)), pa.array(base + edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())],
+                            [pa.array(keys, pa.int64(), mask=nulls), pa.array(base + edges[:-1], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 

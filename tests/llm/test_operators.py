@@ -347,11 +347,29 @@ def test_token_files_equal_the_library(spark):
     where, name = token_files._open(files[1][1])
     with where.open_input_file(name) as f:
         part = token_files.PartReader(f, f.size())
-        k = len(part.keys) // 2
-        t = texts[part.keys[k]]
+        k = part.docs // 2
+        t = texts[part.keys(k, k + 1)[0]]
         assert part.document(k).tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 2]
 
 
+def test_token_files_equal_the_library_as_it_comes(spark, tmp_path, monkeypatch):
+    """The query against a tokenizer that nothing was set on, special tokens in texts included."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "INDEX", 7)
+    tok = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [*ODD, end, end * 2, f"x {end} y", f" {end}", f"a{end}", f"{end} \n b", f"a b {end[:-1]} c", f" x{end}y z", "", None, f"a  {end}   b"]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    start = 0
+    for i, r in enumerate(queries.op10_token_files(spark, str(tmp_path)).orderBy("doc_id").collect()):
+        ids = np.array([*tok.encode(texts[i] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(ids.tobytes())), texts[i]
+        start += len(ids)
+    assert i == len(texts) - 1
+
+
 def test_token_files_null_repeated_and_empty(spark):
     with open(queries.vocabulary("byte_bpe_50k.json")) as f:
         model = f.read()
