@@ -61,7 +61,7 @@ def op9_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     with open(model or vocabulary("piece_bpe_32k.model"), "rb") as f:
         data = f.read()
-    return sentencepiece_backend.encode(table(spark, sf_dir, "documents"), data)
+    return sentencepiece_backend.encode(table(spark, sf_dir, "documents"), data, check=True)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ is encoded once. ``parity`` compares with the sentencepiece library.
 
 from __future__ import annotations
 
-import functools
 import itertools
+import math
 import re
 import struct
 import zlib
@@ -96,9 +96,77 @@ def parse(data: bytes) -> SpModel:
     return m
 
 
-def build(m: SpModel, normalised: bool = True):
-    """A tokenizers Tokenizer of the model; ``normalised=False``: texts come normalised."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+class Charsmap:
+    """The precompiled replacements of a normaliser: a double-array trie over UTF-8
+    keys, whose leaves point to zero-ended replacements behind it. The longest key at
+    each place is replaced; a character that begins no key stays. (The library's own
+    reader of these maps goes by whole graphemes, which gives other texts.)"""
+
+    def __init__(self, blob: bytes):
+        size = struct.unpack_from("<I", blob)[0]
+        self.units, self.pool = struct.unpack_from(f"<{size // 4}I", blob, 4), blob[4 + size :]
+        ascii_keys = {a: self._longest(bytes([a]), 0) for a in range(128)}
+        self.table = {a: found[1] for a, found in ascii_keys.items() if found}
+        #: Whether ASCII alone is replaced character by character.
+        self.single = not any((f := self._longest(bytes([a, b]), 0)) and f[0] == 2 for a in range(128) for b in range(128))
+        self._seen: dict[str, str] = {}
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, str] | None:
+        """(bytes, replacement) of the longest key that begins at ``at``."""
+        units = self.units
+        step = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        node, best = step(units[0]), None
+        for k in range(at, len(data)):
+            node ^= data[k]
+            if node >= len(units) or units[node] & 0x800000FF != data[k]:
+                break
+            unit = units[node]
+            node ^= step(unit)
+            if unit >> 8 & 1:
+                best = k + 1 - at, units[node] & 0x7FFFFFFF
+        if best is None:
+            return None
+        return best[0], self.pool[best[1] : self.pool.index(0, best[1])].decode()
+
+    def _walk(self, text: str) -> str:
+        got = self._seen.get(text)
+        if got is None:
+            data, out, at = text.encode(), [], 0
+            while at < len(data):
+                found = self._longest(data, at)
+                if found:
+                    at += found[0]
+                    out.append(found[1])
+                else:
+                    n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                    out.append(data[at : at + n].decode())
+                    at += n
+            got = "".join(out)
+            if len(text) < 16:
+                if len(self._seen) > 50_000:
+                    self._seen.clear()
+                self._seen[text] = got
+        return got
+
+    def __call__(self, text: str) -> str:
+        if not self.single:
+            return self._walk(text)
+        if text.isascii():
+            return text.translate(self.table)
+        # A character before others that are not ASCII may belong to their key.
+        parts = _beyond.split(text)
+        parts[0::2] = [p.translate(self.table) for p in parts[0::2]]
+        parts[1::2] = [self._walk(p) for p in parts[1::2]]
+        return "".join(parts)
+
+
+_beyond = re.compile(r"([\x00-\x7f]?[^\x00-\x7f]+)")
+_spaces = re.compile(" {2,}")
+
+
+def build(m: SpModel):
+    """A tokenizers Tokenizer of the model, for texts that are normalised."""
+    from tokenizers import Tokenizer, decoders, models
 
     if m.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk, m.byte_fallback)
@@ -113,15 +181,6 @@ def build(m: SpModel, normalised: bool = True):
     else:
         raise ValueError(f"SentencePiece model type {m.kind} is not supported")
     tok = Tokenizer(core)
-    if normalised:
-        steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-        if m.squeeze:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        if m.dummy_prefix:
-            steps.append(normalizers.Prepend(" "))
-        if m.escape:
-            steps.append(normalizers.Replace(" ", MARK))
-        tok.normalizer = normalizers.Sequence(steps)
     tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
     return tok
 
@@ -132,11 +191,21 @@ _run = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class Codec:
     """Encodes and decodes batches of texts with a parsed model."""
 
-    def __init__(self, m: SpModel):
+    def __init__(self, m: SpModel, check: bytes | None = None):
+        """check: the model file, if each distinct chunk is to be compared with the
+        sentencepiece library as well."""
         self.m = m
-        self.tok = build(m, normalised=False)
+        #: Chunks, or texts that cannot be cut, that the sentencepiece library encodes otherwise.
+        self.unequal: set[str] = set()
+        self.other = None
+        if check is not None:
+            import sentencepiece
+
+            self.other = sentencepiece.SentencePieceProcessor(model_proto=check)
+        self.tok = build(m)
+        self.charsmap = Charsmap(m.charsmap) if m.charsmap else None
         usable = [p for p, _, kind in m.pieces if kind in (NORMAL, USER)]
-        self.cuts = all(MARK not in p.lstrip(MARK) for p in usable) and not any(kind == USER for _, _, kind in m.pieces)
+        self.cuts = MARK in usable and all(MARK not in p.lstrip(MARK) for p in usable) and not any(kind == USER for _, _, kind in m.pieces)
         self.ids = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         marks = {p: s for p, s, kind in m.pieces if kind == NORMAL and len(p) > 1 and not p.strip(MARK)}
         #: Marker runs of one score merge from the left; the library would merge them by rank.
@@ -147,11 +216,6 @@ class Codec:
         self.table_at, self.table_size = np.cumsum(sizes) - sizes, sizes
         self.table_flat = np.frombuffer(b"".join(self.table), dtype=np.uint8)
 
-    @functools.cached_property
-    def whole(self):
-        """The tokenizer with its normaliser and decoder, for texts that cannot be cut."""
-        return build(self.m)
-
     def _bytes(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
@@ -167,9 +231,20 @@ class Codec:
         for i, c in enumerate(chunks):
             if self.level and c.startswith(MARK * 3):
                 out[i] = self._marked(c)
+        if self.other is not None:
+            lead = 1 if self.m.dummy_prefix else 0
+            for c, want, ids in zip(chunks, self.other.encode([c[lead if c[:1] == MARK else 0 :] for c in chunks]), out):
+                if want != ids and not self._tied(want, ids):
+                    self.unequal.add(c)
         sizes = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
         return np.fromiter(itertools.chain.from_iterable(out), dtype=np.uint32, count=int(sizes.sum())), sizes
 
+    def _tied(self, a: list[int], b: list[int]) -> bool:
+        """Whether two unigram segmentations score the same: between such the
+        sentencepiece library decides by how its 32-bit sums happen to round."""
+        score = lambda ids: sum(self.m.pieces[i][1] for i in ids)
+        return self.m.kind == UNIGRAM and math.isclose(score(a), score(b), rel_tol=1e-6)
+
     def _marked(self, chunk: str) -> list[int]:
         word = chunk.lstrip(MARK)
         k = len(chunk) - len(word)
@@ -190,29 +265,45 @@ class Codec:
         return [self.ids[MARK * n] for n in run] + tail
 
     def normalise(self, text: str) -> str:
-        if self.m.charsmap or self.m.squeeze:
-            return self.whole.normalizer.normalize_str(text)
+        """Characters replaced by the model's map; with ``squeeze`` runs of spaces made
+        one, none at the ends; the dummy prefix; spaces as markers."""
+        if self.charsmap:
+            text = self.charsmap(text)
+        if self.m.squeeze:
+            text = _spaces.sub(" ", text.lstrip(" "))
         if not text:
             return ""
         if self.m.dummy_prefix:
             text = " " + text
-        return text.replace(" ", MARK) if self.m.escape else text
+        if self.m.escape:
+            text = text.replace(" ", MARK)
+        return text.rstrip(MARK if self.m.escape else " ") if self.m.squeeze else text
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and how many each has."""
         if not self.cuts:
-            got = self.whole.encode_batch(texts, add_special_tokens=False)
+            got = self.tok.encode_batch_fast([self.normalise(t) for t in texts], add_special_tokens=False)
+            if self.other is not None:
+                self.unequal |= {t for t, e, want in zip(texts, got, self.other.encode(texts)) if e.ids != want}
             sizes = np.array([len(e.ids) for e in got], dtype=np.int64)
             return np.array([i for e in got for i in e.ids], dtype=np.uint32), sizes
-        split = []
-        for t in texts:
-            t = self.normalise(t)
-            if MARK + MARK in t:
-                parts = _run.findall(t)
-                split.append(["", *(p[1:] for p in parts)] if t[0] == MARK else [parts[0], *(p[1:] for p in parts[1:])])
-            else:
-                split.append(t.split(MARK) if t else [])
-        return self.chunks.ids(split)
+        return self.chunks.ids([self._split(t) for t in texts])
+
+    def _split(self, text: str) -> list[str]:
+        """The chunks of a text; all but the first without the marker that begins them."""
+        t = self.normalise(text)
+        if MARK + MARK in t:
+            parts = _run.findall(t)
+            return ["", *(p[1:] for p in parts)] if t[0] == MARK else [parts[0], *(p[1:] for p in parts[1:])]
+        return t.split(MARK) if t else []
+
+    def equal(self, text: str) -> bool:
+        """Whether a text that was encoded has the ids of the sentencepiece library."""
+        if not self.unequal:
+            return True
+        if not self.cuts:
+            return text not in self.unequal
+        return not any((c if k == 0 else MARK + c) in self.unequal for k, c in enumerate(self._split(text)))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: pieces' bytes, markers as spaces, without the first
@@ -227,34 +318,36 @@ class Codec:
         return data[1:] if self.m.dummy_prefix and data[:1] == b" " else data
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[tuple[int, bool], Codec] = {}
 
 
-def codec(model: bytes) -> Codec:
-    key = zlib.crc32(model)
+def codec(model: bytes, check: bool = False) -> Codec:
+    key = zlib.crc32(model), check
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(parse(model))
+        _codecs[key] = Codec(parse(model), model if check else None)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", keep_ids: bool = False, place: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, decoded_chars, round_trip[, ids][, place]) of each
+def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", keep_ids: bool = False, place: str | None = None, check: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, decoded_chars, round_trip[, parity][, ids][, place]) of each
     row, rows in the order of ``docs``. place: a whole-number column that is carried along.
+    check: add parity, whether the sentencepiece library gives the same ids for every
+    chunk of the text (each distinct chunk is compared once).
 
     ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip:
     whether the ids decode to the very text; it fails where the model's
     normaliser changes a text, and for the marker character itself, which reads
-    back as a space. A null text counts as empty. Repeated rows are encoded
-    each for itself."""
+    back as a space. A null text counts as empty. Repeated rows are encoded each for
+    itself; null and repeated keys stay as they are; an empty table gives an empty one."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean" + (", ids array<int>" if keep_ids else "") + (f", `{place}` long" if place else "")
+    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_chars long, round_trip boolean" + (", parity boolean" if check else "") + (", ids array<int>" if keep_ids else "") + (f", `{place}` long" if place else "")
 
     def run(batches):
         import os
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read once a process, when the library starts its threads
-        c = codec(model)
+        c = codec(model, check)
         for batch in batches:
             os.environ["TOKENIZERS_PARALLELISM"] = "true"
             keys, texts = batch.column(0), batch.column(1)
@@ -276,11 +369,13 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
                     chars.append(len(back))
                     same.append(back == t)
                 columns = [keys.slice(at, end - at), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(chars, pa.int64()), pa.array(same, pa.bool_())]
+                if check:
+                    columns.append(pa.array([c.equal(t) for t in raw], pa.bool_()))
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(wide.view("<i4"), pa.int32())))
                 if place:
                     columns.append(batch.column(2).slice(at, end - at))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "round_trip"] + ["ids"] * keep_ids + ([place] if place else []))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "decoded_chars", "round_trip"] + ["parity"] * check + ["ids"] * keep_ids + ([place] if place else []))
                 at = end
 
     carried = [F.col(place).cast("long")] if place else []

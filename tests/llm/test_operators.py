@@ -308,13 +308,58 @@ def test_sentencepiece_unigram_model_builds():
     assert ids.tolist() == [4, 4, 1, 2, 5] and sizes.tolist() == [2, 0, 3]
 
 
+def model_file(pieces, kind, fallback, normaliser):
+    """A SentencePiece model as a protobuf: no training, given pieces and scores."""
+    import struct
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def put(number, value):
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+    made = b"".join(put(1, put(1, p.encode()) + put(2, float(s)) + put(3, k)) for p, s, k in pieces)
+    return made + put(2, put(3, kind) + put(35, int(fallback))) + put(3, normaliser)
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_sentencepiece_unigram_models_with_character_maps(spark, pieces, rule, fallback):
+    """Unigram scores over the public vocabulary, with the library's own normalising rules."""
+    import sentencepiece
+
+    rng = random.Random(1)
+    vocab = []
+    for i, (p, _, k) in enumerate(sentencepiece_backend.parse(pieces).pieces):
+        word = p.lstrip("▁")
+        if k == sentencepiece_backend.BYTE and not fallback or k == sentencepiece_backend.NORMAL and ("▁" in word or not word and len(p) > 1):
+            continue
+        vocab.append((p, -3 - math.log(i + 2) - rng.random() if k == sentencepiece_backend.NORMAL else 0.0, k))
+    model = model_file(vocab, sentencepiece_backend.UNIGRAM, fallback, sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+    assert sentencepiece_backend.parse(model).kind == sentencepiece_backend.UNIGRAM
+    parts = [" ", "  ", "e\u0301", "é", "ﬁ", "\t", "the", "ing", "日", "ﾃﾞ", "①", "½", "\u00a0", "\u3000", "\u1112\u1161\u11ab", "a", "b", "quick", "😀", "\u200d", "\x85", "▁", "Å", "한", "…", "A"]
+    texts = ["", " ", "  two  spaces ", "ｆｕｌｌ　ｗｉｄｔｈ", "▁mark ▁▁", "é́ x", *["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)]]
+    assert sentencepiece_backend.parity(model, texts) == []
+    # Over whole long texts the other library adds its 32-bit scores up, so chunks are compared.
+    long = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    c = sentencepiece_backend.codec(model, check=True)
+    c.encode(texts + long)
+    assert c.cuts and not c.unequal and all(map(c.equal, texts + long))
+    c.unequal.add("▁the")
+    assert not c.equal("see the end") and c.equal("see them")
+
+
 def test_sentencepiece_query(spark, pieces):
     got = {r["doc_id"]: r for r in sentencepiece_backend.encode(documents(spark, ODD).withColumn("ids", F.lit(1)), pieces, keep_ids=True).collect()}
     c = sentencepiece_backend.codec(pieces)
     for i, t in enumerate(ODD):
         ids = c.encode([t or ""])[0].astype("<u4")
         assert got[i]["ids"] == ids.tolist() and got[i]["ids_crc32"] == zlib.crc32(ids.tobytes()) and got[i]["round_trip"]
-    assert sentencepiece_backend.encode(documents(spark, []), pieces).count() == 0
+    twice = sentencepiece_backend.encode(documents(spark, ["a b", None]).unionByName(documents(spark, ["a b"])).withColumn("parity", F.lit(2)), pieces, check=True).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["parity"]) for r in twice) == [(0, 2, True), (0, 2, True), (1, 0, True)]
+    assert sentencepiece_backend.encode(documents(spark, []), pieces, check=True).count() == 0
 
 
 # ---------------------------------------------------------------- token files
