@@ -523,6 +523,65 @@ def test_license_scan_base_equals_brute_force(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_licences(texts):
+    """Every template at every start of every text, without an index."""
+    split = [words_of(t) for t in texts]
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in x for x in map(set, split)))) + 1.0 for t in license_scan.TEMPLATES for w in t.words}
+    out = []
+    for w in split:
+        labels, best, have = set(), 0.0, set(w)
+        for t in license_scan.TEMPLATES:
+            tw, posted = t.words, license_scan.postings(t, idf)
+            if not t.keys:
+                if any(w[s : s + len(tw)] == tw for s in range(len(w))):
+                    labels.add(t.label)
+                    best = 1.0
+                continue
+            anchors = [x for x in posted if x in have][: license_scan.ANCHORS]
+            if not anchors or any(w[i : i + len(k)] == k for i in range(len(w)) for _, k in t.phrases) is False:
+                continue
+            for s in range(len(w)):
+                stand = sum(any(tw[r] == x and s + r < len(w) and w[s + r] == x for r in range(len(tw))) for x in anchors)
+                if stand < max(min(len(anchors), 2), math.ceil(len(anchors) / 2)) or any(w[s + b : s + b + len(k)] != k for b, k in t.phrases):
+                    continue
+                total = sum(idf[x] for x in tw)
+                weight = 0.0
+                for r, x in enumerate(tw):
+                    if s + r < len(w) and w[s + r] == x:
+                        weight += idf[x] / total
+                if min(1.0, weight) >= t.share:
+                    labels.add(t.label)
+                    best = max(best, min(1.0, weight))
+        out.append((",".join(sorted(labels)), best))
+    return out
+
+
+def test_license_scan_labels_and_score_equal_brute_force(spark):
+    rng = random.Random(6)
+    prose = [f"w{i}" for i in range(300)] + ["software", "license", "copyright", "the", "of", "permission"]
+    texts = [*ODD]
+    for t in license_scan.TEMPLATES:
+        for edits in (0, 0, 1, 3, len(t.words) // 4, len(t.words) // 2):
+            words = t.text.split()
+            for _ in range(edits):
+                k = rng.randrange(len(words))
+                words[k : k + 1] = rng.choice([["other"], [], [words[k], "more"], [words[k].upper()], [rng.choice(words)]])
+                words = words or ["none"]
+            texts.append(" ".join(rng.choices(prose, k=rng.randint(0, 30)) + words + rng.choices(prose, k=rng.randint(0, 30))))
+    texts.append("\n\n".join(t.text for t in license_scan.TEXTS if t.label == "mit") * 3)
+    texts += [" ".join(rng.choices([w for t in license_scan.TEMPLATES for w in t.words], k=400)) for _ in range(20)]
+    texts += [t.text for t in license_scan.TEXTS] * 2
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(documents(spark, texts)).select("doc_id", "license_scan.*").collect()}
+    want = brute_licences(texts)
+    assert [got[i][0] for i in range(len(texts))] == [x for x, _ in want]
+    assert [got[i][1] for i in range(len(texts))] == pytest.approx([x for _, x in want], abs=1e-12)
+    assert {x for t, (x, _) in zip(texts, want) if t in {y.text for y in license_scan.TEXTS}} >= {"mit", "bsd", "isc", "zlib", "boost", "unlicense"}
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
