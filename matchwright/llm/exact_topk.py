@@ -2,9 +2,9 @@
 
 A shard's vectors are split at the median along the direction between two far
 points until a ball holds at most ``LEAF`` of them. For a query q, no vector of
-a ball (centre c, radius r) scores above q.c + |q| r. From the root down, the
-balls whose bound reaches the query's current kth score stay; the leaves that
-remain are visited in the order of that bound, the next best leaf of every
+a ball (centre c, radius r) scores above q.c + |q| r. From the root down, a
+ball is open to a query while the least bound on its path reaches the query's
+bar; the leaves that remain are visited in the order of that bound, the next best leaf of every
 query of a block in one turn, and a query rests once its next bound falls
 below its kth score. That score is shared: all leaves of a shard work on it,
 each query first meets one shard, and the score reached there is the bar for all others.
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vector_blocks import SHARD_ROWS, pack, runs, top_k, usable
+from .vector_blocks import NONE, SHARD_ROWS, pack, runs, top_k, usable
 
 LEAF = 256
 SCALE = 64
@@ -75,28 +75,34 @@ def search(tree: dict[str, np.ndarray], own: np.ndarray, q: np.ndarray, bar: np.
     low = -(1 << 62)
     norm = np.sqrt((q * q).sum(axis=1))
     bound = lambda nodes: (q @ tree["centre"][nodes].T + norm[:, None] * tree["radius"][nodes][None, :]) + 1e-6 * (1 + norm[:, None] * (np.abs(tree["centre"][nodes]).max() + tree["radius"][nodes][None, :]))
-    # From the root down: a node stays while its bound reaches the bar of some query.
-    level, leaves = np.array([0]), []
+    # From the root down: for each query a ball's bound is the least of its own and those
+    # above it; a ball below a query's bar is closed to that query, and goes if it is to all.
+    floor = np.where(bar == NONE, -np.inf, bar.astype(np.float64) * (1 - np.sign(bar) * 1e-15))
+    level, leaves, bounds = np.array([0]), [], []
+    ub = bound(level)
     while len(level):
-        alive = level[(bound(level) >= bar[:, None]).any(axis=0)]
-        leaf = tree["child"][alive, 0] < 0
-        leaves.append(alive[leaf])
-        level = tree["child"][alive[~leaf]].reshape(-1)
-    leaves = np.concatenate(leaves) if leaves else np.empty(0, np.int64)
+        ub[ub < floor[:, None]] = -np.inf
+        alive = np.isfinite(ub).any(axis=0)
+        level, ub = level[alive], ub[:, alive]
+        leaf = tree["child"][level, 0] < 0
+        leaves.append(level[leaf]), bounds.append(ub[:, leaf])
+        above = np.repeat(ub[:, ~leaf], 2, axis=1)
+        level = tree["child"][level[~leaf]].reshape(-1)
+        ub = np.minimum(above, bound(level)) if len(level) else above
+    leaves = np.concatenate(leaves)
     if not len(leaves):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     if exact:
         return _search_wide(ids, xs, own, qs, bar, k)
-    ub = bound(leaves)
+    ub = np.concatenate(bounds, axis=1)
     order = np.argsort(-ub, axis=1)
     best = np.full((len(q), k), low, dtype=np.int64)
-    floor = np.where(np.isfinite(bar), bar, -np.inf)
     active = np.arange(len(q))
     for turn in range(len(leaves)):
         nxt = order[active, turn]
         kth = best[active, -1]
         kth_score = np.where(kth == low, -np.inf, (kth >> bits).astype(np.float64))
-        going = ub[active, nxt] >= np.maximum(floor[active], kth_score)
+        going = np.isfinite(ub[active, nxt]) & (ub[active, nxt] >= np.maximum(floor[active], kth_score))
         active, nxt = active[going], nxt[going]
         if not len(active):
             break
@@ -112,7 +118,7 @@ def search(tree: dict[str, np.ndarray], own: np.ndarray, q: np.ndarray, bar: np.
     row, col = np.nonzero(best != low)
     code = best[row, col]
     score = code >> bits
-    keep = score >= floor[row]
+    keep = score >= bar[row]
     found = ids[by_id[(1 << bits) - 1 - (code & ((1 << bits) - 1))]]
     return row[keep], found[keep], score[keep]
 

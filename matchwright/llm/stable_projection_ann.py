@@ -4,10 +4,11 @@ The largest inner products become the smallest distances when each vector of a
 shard gets one more component that brings it to the shard's largest norm, and
 the query a zero. A few Gaussian (2-stable) projections then map a distance d to
 one whose square over d^2 follows a chi-square law. A kd-tree holds the
-projected points; a query takes its projected neighbours leaf by leaf in the
-order of their distance, verifies them on the original vectors, and stops once
-the chi-square test holds: with probability ``confidence`` a point as near as
-the current kth would have been projected nearer than all that is still to come.
+projected points. A query goes through them from the nearest on: leaves are
+opened as far as the next neighbours can lie in them, and neighbours are verified
+one after another on the original vectors until the chi-square test holds: a
+point nearer than ``1 / ratio`` times the current kth distance would, with
+probability ``confidence``, have been projected nearer than all that is still to come.
 
 Vectors that are equal are verified once; of their ids the k + 1 smallest
 suffice, for equal scores go to the smaller id and one may be the query's own.
@@ -20,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chi2
-from .vector_blocks import SHARD_ROWS, pack, runs, top_k, usable
+from .vector_blocks import SHARD_ROWS, pack, top_k, usable
 
-DIMENSIONS = 8
+DIMENSIONS = 24
 LEAF = 128
 CONFIDENCE = 0.95
-#: Distinct vectors kept beyond k while scores come from block products.
-MARGIN = 16
+RATIO = 1.05
+#: Neighbours that are verified between two looks at the test.
+STEP = 64
 
 
 def build_index(dimensions: int, keep: int, seed: int = 5):
@@ -64,68 +66,80 @@ def build_index(dimensions: int, keep: int, seed: int = 5):
         span = np.array(sorted(leaves), dtype=np.int64)
         y = y[place]
         return pack(
-            x=x[place], count=counts[place], members=members[place], span=span, gauss=gauss, top=np.array([top]),
+            x=x[place], y=y, count=counts[place], members=members[place], span=span, gauss=gauss, top=np.array([top]),
             low=np.stack([y[a:b].min(axis=0) for a, b in span]), high=np.stack([y[a:b].max(axis=0) for a, b in span]),
         )
 
     return build
 
 
-def searcher(dimensions: int, confidence: float):
-    limit = chi2.quantile(confidence, dimensions)
+def verified(tree: dict[str, np.ndarray], q: np.ndarray, bar: float, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the neighbours of one query that were verified. limit: the
+    chi-square quantile over the squared ratio. bar: a score that k others reach."""
+    x, y, top = tree["x"], tree["y"], float(tree["top"][0])
+    scale = top / np.sqrt(q @ q)  # a query's length changes no order; the shard's norm keeps distances small
+    z = (q * scale) @ tree["gauss"][:-1]
+    gap = np.maximum(np.maximum(tree["low"] - z, z - tree["high"]), 0.0)
+    bound = (gap * gap).sum(axis=1)
+    order = np.argsort(bound, kind="stable")
+    bound = np.append(bound[order], np.inf)
+    opened, want = 0, STEP
+    places, far = np.empty(0, np.int64), np.empty(0)
+    done, seen, scores = 0, [], []
+    best = np.empty(0)  # the k + 1 best scores: the query itself may be among them
+    while True:
+        # The next neighbours in order of projected distance, from all leaves in which they can lie.
+        while len(far) < done + want or bound[opened] <= far[done + want - 1]:
+            if opened == len(order):
+                break
+            reach = far[done + want - 1] if len(far) >= done + want else bound[opened]
+            until = max(opened + 1, int(np.searchsorted(bound, reach, "right")))
+            until = min(until, len(order))
+            more = np.concatenate([np.arange(*tree["span"][leaf]) for leaf in order[opened:until]])
+            off = y[more] - z
+            places, far, opened = np.concatenate([places[done:], more]), np.concatenate([far[done:], (off * off).sum(axis=1)]), until
+            sort = np.argsort(far, kind="stable")
+            places, far, done = places[sort], far[sort], 0
+        reach = max(best[-1] if len(best) > k else -np.inf, bar)
+        still = limit * max(2 * top * top - 2 * reach * scale, 0.0) if np.isfinite(reach) else np.inf
+        batch = places[done : done + want][far[done : done + want] <= still]
+        if not len(batch):
+            break
+        got = (x[batch] * q).sum(axis=1)  # summed alike for every pair, so equal vectors score the same
+        seen.append(batch), scores.append(got)
+        best = np.sort(np.concatenate([best, got]))[::-1][: k + 1]
+        done += len(batch)
+    return (np.concatenate(seen), np.concatenate(scores)) if seen else (np.empty(0, np.int64), np.empty(0))
+
+
+def searcher(dimensions: int, confidence: float, ratio: float):
+    limit = chi2.quantile(confidence, dimensions) / ratio**2
 
     def search(tree: dict[str, np.ndarray], own: np.ndarray, q: np.ndarray, bar: np.ndarray, k: int):
-        x, top = tree["x"], float(tree["top"][0])
-        norm = np.sqrt((q * q).sum(axis=1))
-        scale = top / norm  # a query's length changes no order; the shard's norm keeps distances small
-        z = (q * scale[:, None]) @ tree["gauss"][:-1]
-        gap = np.maximum(np.maximum(tree["low"][None] - z[:, None, :], z[:, None, :] - tree["high"][None]), 0.0)
-        near = (gap * gap).sum(axis=2)
-        order = np.argsort(near, axis=1, kind="stable")
-        hold = min(k + 1 + MARGIN, len(x))
-        score, where = np.full((len(q), hold), -np.inf), np.zeros((len(q), hold), dtype=np.int64)
-        active = np.arange(len(q))
-        kth_at = min(k, hold - 1)  # one more than k: the query itself may be among them
-        for turn in range(len(tree["span"])):
-            nxt = order[active, turn]
-            reach = np.maximum(score[active, kth_at], bar[active])
-            dist = np.where(np.isfinite(reach), np.maximum(2 * top * top - 2 * reach * scale[active], 0.0), np.inf)
-            going = near[active, nxt] < limit * dist
-            active, nxt = active[going], nxt[going]
-            if not len(active):
-                break
-            for leaf, at in runs(nxt):
-                a, b = tree["span"][leaf]
-                rows = active[at]
-                both = np.concatenate([score[rows], q[rows] @ x[a:b].T], axis=1)
-                ids = np.concatenate([where[rows], np.broadcast_to(np.arange(a, b), (len(rows), b - a))], axis=1)
-                best = np.argpartition(-both, hold - 1, axis=1)[:, :hold]
-                both, ids = np.take_along_axis(both, best, 1), np.take_along_axis(ids, best, 1)
-                sort = np.argsort(-both, axis=1, kind="stable")
-                score[rows], where[rows] = np.take_along_axis(both, sort, 1), np.take_along_axis(ids, sort, 1)
-        row, col = np.nonzero(np.isfinite(score))
-        pick = where[row, col]
-        exact = (x[pick] * q[row]).sum(axis=1)  # summed alike for every pair, so equal vectors score the same
-        row, exact = np.repeat(row, tree["count"][pick]), np.repeat(exact, tree["count"][pick])
-        ids = tree["members"][pick][np.arange(tree["members"].shape[1])[None, :] < tree["count"][pick][:, None]]
-        keep = ids != own[row]
-        row, exact, ids = row[keep], exact[keep], ids[keep]
-        sort = np.lexsort((ids, -exact, row))
-        row, exact, ids = row[sort], exact[sort], ids[sort]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = (rank < k) & (exact >= bar[row])
-        return row[keep], ids[keep], exact[keep]
+        rows, found, values = [], [], []
+        for i in range(len(q)):
+            places, score = verified(tree, q[i], bar[i], k, limit)
+            score, ids = np.repeat(score, tree["count"][places]), tree["members"][places]
+            ids = ids[np.arange(ids.shape[1])[None, :] < tree["count"][places][:, None]]
+            keep = (ids != own[i]) & (score >= bar[i])
+            score, ids = score[keep], ids[keep]
+            if len(score) > k:  # all that tie with the kth stay until ids decide
+                keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                score, ids = score[keep], ids[keep]
+            sort = np.lexsort((ids, -score))[:k]
+            rows.append(np.full(len(sort), i)), found.append(ids[sort]), values.append(score[sort])
+        return np.concatenate(rows), np.concatenate(found), np.concatenate(values)
 
     return search
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", dimensions: int = DIMENSIONS, confidence: float = CONFIDENCE, ratio: float = RATIO, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the ``k`` rows of
     ``vectors`` with the largest inner product that the search finds.
 
     Rows with a null id, a null, empty or zero vector, or a null or non-finite
     component take no part. A query meets vectors of its own length only, and no
-    row with its own id. Of rows that repeat id and vector, each counts. Extra
-    columns are not read."""
+    row with its own id. Of rows that repeat id and vector, each counts. Equal scores
+    go to the smaller id. Extra columns are not read; empty tables give an empty one."""
     nonzero = lambda df: usable(df, key, vector).where(F.exists("v", lambda x: x != 0.0))
-    return top_k(nonzero(vectors), nonzero(queries), k, shard_rows, build_index(dimensions, k + 1), searcher(dimensions, confidence), "double")
+    return top_k(nonzero(vectors), nonzero(queries), k, shard_rows, build_index(dimensions, k + 1), searcher(dimensions, confidence, ratio), "double")

@@ -20,6 +20,8 @@ from .common import stored
 
 SHARD_ROWS = 16384
 BLOCK_ROWS = 512
+#: The bar of a query that has no kth score yet, where scores are whole numbers.
+NONE = -(2**63)
 #: Query blocks that meet a shard in one task.
 BLOCKS = 8
 
@@ -79,6 +81,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int, build
     build(ids, matrix): a shard's blob. search(shard, own ids, queries, bar, k):
     (query row, id, score) of the hits that reach the queries' bars."""
     kinds = {"long": pa.int64(), "double": pa.float64()}
+    empty = np.int64(NONE) if score == "long" else np.float64(-np.inf)
 
     def run(places: pa.Table, shard: pa.Table) -> pa.Table:
         rows, ids, scores = [], [], []
@@ -86,7 +89,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int, build
             tree = unpack(shard.column("tree")[0].as_buffer())
             for block, bars in zip(places.column("block"), places.column("bar").to_pylist()):
                 b = unpack(block.as_buffer())
-                bar = np.array(bars, dtype=np.float64) if bars else np.full(len(b["ids"]), -np.inf)
+                bar = np.array(bars, dtype=empty.dtype) if bars else np.full(len(b["ids"]), empty)
                 row, found, value = search(tree, b["ids"], b["x"], bar, k)
                 rows.append(b["ids"][row]), ids.append(found), scores.append(value)
         join = lambda xs, kind: pa.array(np.concatenate(xs) if xs else [], kind)
@@ -105,12 +108,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int, build
         trees = shards.join(met, (F.col("d") == F.col("dim")) & (F.col("s") == F.col("part"))).select("dim", "part", F.col("g_").alias("g"), "tree")
         return p.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score {score}")
 
-    none = F.lit(None).cast("array<double>")
+    none = F.lit(None).cast(f"array<{score}>")
     seen = stored(meet(places.select("dim", "g", "block", home.alias("part"), none.alias("bar"))), "first")
     # The kth score in the first shard is the bar in all others.
-    bars = _ranked(seen, k).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("kth"))
+    bars = _ranked(seen, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
     members = blocks.select("dim", "block_no", F.posexplode("ids").alias("pos", "query_id")).join(bars, "query_id", "left")
-    bar = members.groupBy("dim", "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")))).alias("b"))
+    bar = members.groupBy("dim", "block_no").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("kth", F.lit(empty.item())).alias("kth")))).alias("b"))
     bar = stored(bar.select("dim", "block_no", F.transform("b", lambda s: s["kth"]).alias("bar")), "bars")
     every = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
     rest = places.join(bar, ["dim", "block_no"]).select("dim", "g", "block", "bar", every.alias("part"), home.alias("home")).where("part <> home").drop("home")

@@ -13,7 +13,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from matchwright.llm import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, queries, sentencepiece_backend, source_mixing, stable_projection_ann, token_files
+from matchwright.functions import chi2
+from matchwright.llm import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, queries, sentencepiece_backend, source_mixing, stable_projection_ann, token_files, vector_blocks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -221,6 +222,51 @@ def test_ann_recall_and_scores(spark, shard_rows):
         assert [(-r["score"], r["vec_id"]) for r in ranked] == sorted((-r["score"], r["vec_id"]) for r in ranked)
 
 
+def test_ann_ties_go_to_the_smaller_id_beyond_any_margin(spark):
+    """400 distinct vectors with one score: the 20 smallest ids of those verified, here all.
+    Repeated ids and vectors count each."""
+    rng = np.random.default_rng(2)
+    rows = [(1000, [1.0] + [0.0] * 7)] + [(i, [0.5, *[float(v) for v in rng.integers(-3, 4, 7)]]) for i in range(400)]
+    df = spark.createDataFrame(rows + [(7, [0.5] + [1.0] * 7), (7, [0.5] + [1.0] * 7)], "vec_id long, embedding array<double>")
+    got = stable_projection_ann.nearest(df, df.where("vec_id = 1000"), k=20, confidence=1 - 1e-12).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [*range(8), 7, 7, *range(8, 18)] and {r["score"] for r in got} == {0.5}
+    assert stable_projection_ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    exact = exact_topk.exact_top_k(df, df.where("vec_id = 1000"), k=20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in exact] == [*range(8), 7, 7, *range(8, 18)]
+
+
+def test_ann_stops_before_half_of_the_vectors(spark):
+    """On the intended kind of table the chi-square test ends the search early, with a recall of 0.9 or more."""
+    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").where("embedding is not null").collect()
+    x = np.array([r["embedding"] for r in rows if r["embedding"] and all(v is not None for v in r["embedding"])], dtype=np.float64)
+    x = np.unique(x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)], axis=0)
+    build = stable_projection_ann.build_index(stable_projection_ann.DIMENSIONS, 21)
+    tree = vector_blocks.unpack(build(np.arange(len(x)), x))
+    limit = chi2.quantile(stable_projection_ann.CONFIDENCE, stable_projection_ann.DIMENSIONS) / stable_projection_ann.RATIO**2
+    share = hit = 0
+    picked = range(0, len(x), len(x) // 100)
+    for i in picked:
+        q = tree["x"][i]
+        places, score = stable_projection_ann.verified(tree, q, -np.inf, 20, limit)
+        assert len(set(places.tolist())) == len(places) and np.allclose(score, tree["x"][places] @ q)
+        share += len(places) / len(x) / len(picked)
+        best = np.argsort(-(tree["x"] @ q), kind="stable")[:21]
+        hit += len(np.intersect1d(best, places)) / 21 / len(picked)
+    print(f"verified {share:.3f} of the vectors, recall {hit:.3f}")
+    assert share < 0.5 and hit >= 0.9
+
+
+def test_exact_top_k_bars_above_the_range_of_doubles(spark):
+    """Scores above 2**53 that differ by one, over several shards."""
+    rng = random.Random(1)
+    rows = [(i, [float(2**27), rng.randrange(8) / 64]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(1000, [float(2**20), 1 / 64])], "vec_id long, embedding array<double>")
+    got = exact_topk.exact_top_k(df, q, k=20, shard_rows=40).orderBy("rank").collect()
+    want = sorted((-(2**33 * 2**26 + int(x[1] * 64)), i) for i, x in rows)[:20]
+    assert [(-r["score"], r["vec_id"]) for r in got] == want
+
+
 # ---------------------------------------------------------------- chats
 
 
