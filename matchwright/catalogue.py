@@ -194,7 +194,15 @@ def blocking_coverage(spark: SparkSession, d: str) -> DataFrame:
     return blocking.coverage(split, rule_blocking(spark, d))
 
 
-@query()
+@query("""
+WITH m AS (SELECT a.p_partkey AS l, b.p_partkey AS r, a.p_type = b.p_type AS same_type FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
+c AS (SELECT 0 AS rule, 'p_brand, p_size' AS said, (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM part GROUP BY p_brand, p_size)) AS cost, (SELECT count(*) FROM m) AS gain
+    UNION ALL SELECT 1, 'p_name, p_size', (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM part GROUP BY p_name, p_size)), (SELECT count(*) FROM m)
+    UNION ALL SELECT 2, 'p_type, substr(p_name, 1, 3), p_size', (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM part GROUP BY p_type, substr(p_name, 1, 3), p_size)), (SELECT count(*) FROM m WHERE same_type)),
+f AS (SELECT *, row_number() OVER (ORDER BY gain / CAST(1 + cost AS DOUBLE) DESC, gain DESC, rule) AS k FROM c WHERE gain > 0),
+s AS (SELECT *, row_number() OVER (ORDER BY gain / CAST(1 + cost AS DOUBLE) DESC, gain DESC, rule) AS k FROM (
+    SELECT rule, said, cost, (SELECT count(*) FROM m WHERE NOT same_type) AS gain FROM c WHERE rule < 2 AND (SELECT rule FROM f WHERE k = 1) = 2) WHERE gain > 0)
+SELECT CAST(0 AS INTEGER) AS place, said AS rule FROM f WHERE k = 1 UNION ALL SELECT 1, said FROM s WHERE k = 1""")
 def learned_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules that cover pairs of one brand, name and size at the least cost."""
     rec = parts(spark, d)
@@ -214,29 +222,36 @@ def doc_records(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-PURGED_SQL = """
+#: The automatic purge: see ``token_blocking.purge``.
+KEPT_BLOCKS_SQL = """
 WITH items AS (SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS block FROM documents),
-sizes AS (SELECT block, count(*) * (count(*) - 1) // 2 AS card FROM items GROUP BY block HAVING count(*) > 1 AND count(*) * (count(*) - 1) // 2 <= 15),
+every AS (SELECT block, count(*) AS size, count(*) * (count(*) - 1) // 2 AS card FROM items GROUP BY block HAVING count(*) > 1),
+cum AS (SELECT card, sum(sum(size)) OVER w AS m, sum(sum(card)) OVER w AS c FROM every GROUP BY card WINDOW w AS (ORDER BY card)),
+stepped AS (SELECT m, c, lag(m) OVER d AS pm, lag(c) OVER d AS pc, lag(card) OVER d AS above FROM cum WINDOW d AS (ORDER BY card DESC)),
+cut AS (SELECT max(above) AS top FROM stepped WHERE pm IS NOT NULL AND CAST(m AS DOUBLE) * pc < CAST(1.025 AS DOUBLE) * c * pm),
+sizes AS (SELECT block, size, card FROM every, cut WHERE top IS NULL OR card <= top)"""
+PURGED_SQL = KEPT_BLOCKS_SQL + """,
 kept AS (SELECT id, block, card FROM items JOIN sizes USING (block)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY card, block) AS r, count(*) OVER (PARTITION BY id) AS n FROM kept),
 filtered AS (SELECT id, block FROM ranked WHERE r <= greatest(1, round(n * 0.8))),
-live AS (SELECT block, 1.0::DOUBLE / (count(*) * (count(*) - 1) // 2) AS inv FROM filtered GROUP BY block HAVING count(*) > 1),
-mem AS (SELECT id, block, inv FROM filtered JOIN live USING (block)),
-own AS (SELECT id, count(*) AS b FROM mem GROUP BY id), total AS (SELECT count(*) AS blocks FROM live),
+live AS (SELECT block, 1.0::DOUBLE / (count(*) * (count(*) - 1) // 2) AS inv, 1.0::DOUBLE / count(*) AS size_inv FROM filtered GROUP BY block HAVING count(*) > 1),
+mem AS (SELECT id, block, inv, size_inv FROM filtered JOIN live USING (block)),
+own AS (SELECT id, count(*) AS b, sum(inv) AS cn, sum(size_inv) AS sn FROM mem GROUP BY id), total AS (SELECT count(*) AS blocks FROM live),
 graph AS (
-    SELECT l.id AS left_id, r.id AS right_id, count(*) AS common, any_value(a.b) AS bl, any_value(z.b) AS br, any_value(blocks) AS blocks
+    SELECT l.id AS left_id, r.id AS right_id, count(*) AS common, any_value(a.b) AS bl, any_value(z.b) AS br, any_value(blocks) AS blocks,
+        sum(l.inv) AS arcs, any_value(a.cn) AS cnl, any_value(z.cn) AS cnr, sum(l.size_inv) AS sizes, any_value(a.sn) AS snl, any_value(z.sn) AS snr
     FROM mem l JOIN mem r ON l.block = r.block AND l.id < r.id JOIN own a ON a.id = l.id JOIN own z ON z.id = r.id, total GROUP BY l.id, r.id)"""
 
 
 def doc_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The blocking graph of documents: tokens in at most six of them, each document in 80 % of its blocks."""
-    blocks = token_blocking.purge(token_blocking.token_blocks(doc_records(spark, d), ["text"]), max_cardinality=15)
+    """The blocking graph of documents: blocks that the automatic purge leaves, each document in 80 % of its own."""
+    blocks = token_blocking.purge(token_blocking.token_blocks(doc_records(spark, d), ["text"]))
     return token_blocking.edges(stored(token_blocking.filter_blocks(blocks, 0.8), "blocks"))
 
 
 @query(PURGED_SQL + "SELECT left_id, right_id, common, bl, br, blocks FROM graph")
 def meta_blocking_graph(spark: SparkSession, d: str) -> DataFrame:
-    return doc_graph(spark, d).drop("arcs")
+    return doc_graph(spark, d).select("left_id", "right_id", "common", "bl", "br", "blocks")
 
 
 @query(PURGED_SQL + """
@@ -253,6 +268,18 @@ def meta_blocking_weights(spark: SparkSession, d: str) -> DataFrame:
     return out.select("left_id", "right_id", "cbs", *[r6(F.col(c)).alias(c) for c in ("ecbs", "js", "cosine", "dice")], F.round("x2", 4).alias("x2"))
 
 
+@query(PURGED_SQL + """
+SELECT left_id, right_id, round(arcs, 8) AS arcs, round(arcs / sqrt(cnl * cnr), 6) AS cnc, round(2 * arcs / (cnl + cnr), 6) AS cnd, round(arcs / (cnl + cnr - arcs), 6) AS cnj,
+    round(sizes, 6) AS sn, round(sizes / sqrt(snl * snr), 6) AS snc, round(2 * sizes / (snl + snr), 6) AS snd, round(sizes / (snl + snr - sizes), 6) AS snj
+FROM graph""")
+def meta_blocking_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Weights that count a shared block by its comparisons (CN) or members (SN), as read here."""
+    out = stored(doc_graph(spark, d), "graph")
+    for s in ("ARCS", "CNC", "CND", "CNJ", "SN-CBS", "SNC", "SND", "SNJ"):
+        out = token_blocking.weigh(out, s).withColumnRenamed("weight", "w_" + s.lower().removesuffix("-cbs"))
+    return out.select("left_id", "right_id", F.round("w_arcs", 8).alias("arcs"), *[r6(F.col("w_" + c)).alias(c) for c in ("cnc", "cnd", "cnj", "sn", "snc", "snd", "snj")])
+
+
 @query(PURGED_SQL + ", deg AS (SELECT id, count(*) AS v FROM (SELECT left_id AS id FROM graph UNION ALL SELECT right_id FROM graph) GROUP BY id), e AS (SELECT count(*) AS e FROM graph)" + """
 SELECT left_id, right_id, round(common / CAST(bl + br - common AS DOUBLE) * ln(e / CAST(a.v AS DOUBLE)) * ln(e / CAST(z.v AS DOUBLE)), 6) AS ejs
 FROM graph JOIN deg a ON a.id = left_id JOIN deg z ON z.id = right_id, e""")
@@ -277,7 +304,7 @@ def weighted_edge_pruning(spark: SparkSession, d: str) -> DataFrame:
     return token_blocking.weighted_edge_pruning(stored(token_blocking.weigh(doc_graph(spark, d), "CBS"), "graph")).select("left_id", "right_id", "weight")
 
 
-@query()
+@query(KEPT_BLOCKS_SQL + " SELECT block, size, card AS cardinality FROM sizes")
 def block_purging(spark: SparkSession, d: str) -> DataFrame:
     """Blocks that the automatic cut-off leaves."""
     return token_blocking.block_sizes(token_blocking.purge(token_blocking.token_blocks(doc_records(spark, d), ["text"])))
@@ -685,3 +712,6 @@ def linker_training_rows(spark: SparkSession, d: str) -> DataFrame:
     left = o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("attr"))
     right = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("attr"))
     return classifiers.training_rows(p, left, right)
+
+
+from . import catalogue_operators  # noqa: E402, F401  (registers its queries here)

@@ -77,10 +77,11 @@ def coverage(split: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("pairs"), F.count("__hit").alias("found")).withColumn("coverage", F.coalesce(F.try_divide(F.col("found").cast("double"), "pairs"), F.lit(0.0)))
 
 
-def learn_rules(records_left: DataFrame, records_right: DataFrame | None, labelled: DataFrame, candidates: list[BlockingRule], recall: float = 1.0, max_rules: int = 5) -> list[BlockingRule]:
+def learn_rules(records_left: DataFrame, records_right: DataFrame | None, labelled: DataFrame, candidates: list[BlockingRule], recall: float = 1.0, max_rules: int | None = None) -> list[BlockingRule]:
     """Greedy set cover of the labelled matches by candidate rules (Bilenko, Kamath
     and Mooney, 2006): in each turn the rule with most new matches for its
-    comparisons, until the ``recall`` share is covered. What reaches the driver
+    comparisons, until the ``recall`` share is covered, no rule adds a match, or
+    ``max_rules`` are chosen (None: no bound). What reaches the driver
     are one count for each candidate rule and turn."""
     b_side = records_left if records_right is None else records_right
     a, b = _keyed(records_left, candidates, "left"), _keyed(b_side, candidates, "right")
@@ -88,7 +89,7 @@ def learn_rules(records_left: DataFrame, records_right: DataFrame | None, labell
     flags = matches.select(*[F.coalesce(_agree(r, i), F.lit(False)).alias(f"r{i}") for i, r in enumerate(candidates)])
     cost = {r["rule"]: r["comparisons"] for r in rule_sizes(records_left, records_right, candidates).collect()}
     total, chosen, covered = flags.count(), [], 0
-    while total and covered < recall * total and len(chosen) < max_rules:
+    while total and covered < recall * total and (max_rules is None or len(chosen) < max_rules):
         open_rows = flags
         for i in chosen:
             open_rows = open_rows.where(~F.col(f"r{i}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,8 +52,9 @@ def unique_mapping(scored: DataFrame, threshold: float = 0.0, max_rounds: int =
 
 def average_linkage(scored: DataFrame, threshold: float, universe: DataFrame | None = None, max_component: int | None = None, local: int = 5000) -> DataFrame:
     """(node, cluster_id): average-linkage clusters inside the components of the pairs
-    at the threshold; pairs without a score count as 0, equal averages go by a hash of
-    the two clusters' smallest nodes.
+    at the threshold. Averages are over all pairs between two clusters: scores below the
+    threshold count as they are, pairs without a score as 0. Equal averages go by a hash
+    of the two clusters' smallest nodes.
 
     A component of at most ``local`` nodes is worked on as a whole in one task. In larger
     ones, all pairs of clusters that are each other's best merge at once, which gives the
@@ -61,7 +63,7 @@ def average_linkage(scored: DataFrame, threshold: float, universe: DataFrame | N
     apart, so the rest of a component becomes small in the end. Each round is a few
     aggregations and joins; averages that rise along a chain take many rounds. With
     ``max_component``, larger components stay single-linkage clusters."""
-    kept = scored.where(F.col("score") >= threshold).where("left_id <> right_id")
+    kept = scored.where("left_id <> right_id")
     one = F.lit(1).cast("long")
     edges = kept.select(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), F.col("score").cast("double").alias("s"))
     edges = stored(edges.groupBy("a", "b").agg(F.greatest(F.max("s"), F.lit(0.0)).alias("s")).select("a", "b", "s", one.alias("na"), one.alias("nb")), "edges")
@@ -70,30 +72,39 @@ def average_linkage(scored: DataFrame, threshold: float, universe: DataFrame | N
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         size = {**dict(zip(pdf["a"], pdf["na"])), **dict(zip(pdf["b"], pdf["nb"]))}
         clusters = {n: [n] for n in sorted(size)}
-        sums = dict(zip(zip(pdf["a"], pdf["b"]), pdf["s"]))
-        ties: dict[tuple, str] = {}
-
-        def order(kv: tuple) -> tuple:
-            (a, b), s = kv
-            if (a, b) not in ties:
-                ties[a, b] = hashlib.md5(f"{a} {b}".encode()).hexdigest()
-            return -s / (size[a] * size[b]), ties[a, b], a, b
-
-        while sums:
-            (a, b), s = min(sums.items(), key=order)
-            if s / (size[a] * size[b]) < threshold:
-                break
+        near: dict = {n: {} for n in size}
+        for a, b, s in zip(pdf["a"], pdf["b"], pdf["s"]):
+            near[a][b] = near[b][a] = s
+        heap: list[tuple] = []
+
+        def push(x, y) -> None:
+            a, b = min(x, y), max(x, y)
+            average = near[a][b] / (size[a] * size[b])
+            if average >= threshold:
+                heapq.heappush(heap, (-average, hashlib.md5(f"{a} {b}".encode()).hexdigest(), a, b, size[a], size[b]))
+
+        for a in near:
+            for b in near[a]:
+                if a < b:
+                    push(a, b)
+        while heap:
+            *_, a, b, na, nb = heapq.heappop(heap)
+            if size.get(a) != na or size.get(b) != nb:  # one of the two has grown or gone
+                continue
             clusters[a] += clusters.pop(b)
             size[a] += size.pop(b)
-            del sums[a, b]
-            for x, y in [k for k in sums if b in k]:
-                other = y if x == b else x
-                pair = (min(a, other), max(a, other))
-                sums[pair] = sums.get(pair, 0.0) + sums.pop((x, y))
+            others = near.pop(b)
+            near[a].pop(b, None)
+            others.pop(a, None)
+            for x, s in others.items():
+                near[x].pop(b)
+                near[a][x] = near[x][a] = near[a].get(x, 0.0) + s
+            for x in near[a]:
+                push(a, x)
         return pd.DataFrame([(n, min(c)) for c in clusters.values() for n in c], columns=["cluster", "cluster_id"])
 
     average = F.col("s") / (F.col("na") * F.col("nb"))
-    comps = stored(connected_components(edges, "a", "b"), "components")
+    comps = stored(connected_components(edges.where(average >= threshold), "a", "b"), "components")
     names = comps.select("node", F.col("node").alias("cluster"))
     ended, single = None, None
     if max_component is not None:

@@ -59,12 +59,12 @@ def critical_difference(k: int, n: int) -> float:
 
 
 def cliques(ranks: dict[str, float], cd: float) -> list[list[str]]:
-    """Maximal runs of systems, by rank, that do not differ by ``cd``; of two or more."""
+    """Maximal runs of systems, by rank, that differ by ``cd`` at most; of two or more."""
     order = sorted(ranks, key=lambda s: (ranks[s], s))
     out: list[list[str]] = []
     reach = -1
     for i, a in enumerate(order):
-        j = max(k for k in range(i, len(order)) if ranks[order[k]] - ranks[a] < cd)
+        j = max(k for k in range(i, len(order)) if ranks[order[k]] - ranks[a] <= cd)
         if j > i and j > reach:
             out.append(order[i : j + 1])
             reach = j

@@ -45,12 +45,13 @@ def purge(blocks: DataFrame, two_sources: bool = False, smoothing: float = 1.025
     sizes = block_sizes(blocks, two_sources)
     if max_cardinality is None:
         levels = sizes.groupBy("cardinality").agg(F.sum("size").alias("members"), (F.sum("cardinality")).alias("comparisons"))
+        # One row for each distinct size of a block: some thousands, whatever the data.
         upto = Window.orderBy("cardinality").rowsBetween(Window.unboundedPreceding, 0)
         cumulative = levels.select("cardinality", F.sum("members").over(upto).alias("m"), F.sum("comparisons").over(upto).alias("c"))
         down = Window.orderBy(F.desc("cardinality"))
         stepped = cumulative.select("cardinality", "m", "c", F.lag("m").over(down).alias("pm"), F.lag("c").over(down).alias("pc"), F.lag("cardinality").over(down).alias("above"))
         # at the first level (from above) where comparisons fell little for the members lost, the level above stays
-        hit = stepped.where(F.col("pm").isNotNull() & (F.col("m") * F.col("pc") < F.lit(smoothing) * F.col("c") * F.col("pm"))).agg(F.max("above").alias("top")).first()
+        hit = stepped.where(F.col("pm").isNotNull() & (F.col("m").cast("double") * F.col("pc") < F.lit(smoothing) * F.col("c") * F.col("pm"))).agg(F.max("above").alias("top")).first()
         max_cardinality = hit["top"]
         if max_cardinality is None:
             return blocks
@@ -65,35 +66,46 @@ def filter_blocks(blocks: DataFrame, ratio: float = 0.8, two_sources: bool = Fal
     return ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * ratio))).select("block", "src", "id")
 
 
-def edges(blocks: DataFrame, two_sources: bool = False) -> DataFrame:
-    """The blocking graph: (left_id, right_id, common, bl, br, blocks, arcs): shared blocks,
-    blocks of either record, all blocks, and the sum of 1 / comparisons over the
-    shared ones."""
+GRAPH = ("left_id", "right_id", "common", "bl", "br", "blocks", "arcs", "cnl", "cnr", "sizes", "snl", "snr")
+
+
+def edges(blocks: DataFrame, two_sources: bool = False, most: int = 2000) -> DataFrame:
+    """The blocking graph: (left_id, right_id, common, bl, br, blocks, arcs, cnl, cnr, sizes,
+    snl, snr): shared blocks, blocks of either record, all blocks; the sum of 1 / comparisons
+    over the shared blocks and over those of either record; the sums of 1 / members.
+
+    A block of more than ``most`` records is dealt to (part of the left, part of the right)
+    tasks, so its pairs are never one task's."""
     sizes = block_sizes(blocks, two_sources).where("cardinality > 0")
-    kept = blocks.join(sizes.select("block", "cardinality"), "block")
-    own = kept.groupBy("src", "id").agg(F.count("*").alias("n"))
+    kept = blocks.join(sizes, "block")
+    own = kept.groupBy("src", "id").agg(F.count("*").alias("n"), F.sum(1.0 / F.col("cardinality")).alias("cn"), F.sum(1.0 / F.col("size")).alias("sn"))
     total = sizes.agg(F.count("*").alias("blocks"))
-    l = kept.select("block", "cardinality", F.col("src").alias("ls"), F.col("id").alias("left_id"))  # noqa: E741
-    r = kept.select("block", F.col("src").alias("rs"), F.col("id").alias("right_id"))
+    parts = F.ceil(F.col("size") / most).cast("int")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    l = kept.select("block", "cardinality", "size", F.col("src").alias("ls"), F.col("id").alias("left_id"), mine.alias("__i"), every.alias("__j"))  # noqa: E741
+    r = kept.select("block", F.col("src").alias("rs"), F.col("id").alias("right_id"), mine.alias("__j"), every.alias("__i"))
     rule = (F.col("ls") == "a") & (F.col("rs") != "a") if two_sources else F.col("left_id") < F.col("right_id")
-    both = l.join(r, "block").where(rule).groupBy("ls", "rs", "left_id", "right_id").agg(F.count("*").alias("common"), F.sum(1.0 / F.col("cardinality")).alias("arcs"))
-    a = own.select(F.col("src").alias("ls"), F.col("id").alias("left_id"), F.col("n").alias("bl"))
-    b = own.select(F.col("src").alias("rs"), F.col("id").alias("right_id"), F.col("n").alias("br"))
-    return both.join(a, ["ls", "left_id"]).join(b, ["rs", "right_id"]).crossJoin(F.broadcast(total)).select("left_id", "right_id", "common", "bl", "br", "blocks", "arcs")
-
-
-#: Weighting schemes whose definition is published; others raise.
-UNPUBLISHED = ("CN-CBS", "SN-CBS", "CNC", "SNC", "CND", "SND", "CNJ", "SNJ")
+    both = l.join(r, ["block", "__i", "__j"]).where(rule).groupBy("ls", "rs", "left_id", "right_id").agg(F.count("*").alias("common"), F.sum(1.0 / F.col("cardinality")).alias("arcs"), F.sum(1.0 / F.col("size")).alias("sizes"))
+    a = own.select(F.col("src").alias("ls"), F.col("id").alias("left_id"), F.col("n").alias("bl"), F.col("cn").alias("cnl"), F.col("sn").alias("snl"))
+    b = own.select(F.col("src").alias("rs"), F.col("id").alias("right_id"), F.col("n").alias("br"), F.col("cn").alias("cnr"), F.col("sn").alias("snr"))
+    return both.join(a, ["ls", "left_id"]).join(b, ["rs", "right_id"]).crossJoin(F.broadcast(total)).select(*GRAPH)
 
 
 def weigh(graph: DataFrame, scheme: str = "CBS") -> DataFrame:
     """The graph with ``weight``: CBS, ECBS, JS, EJS, ARCS, X2, COSINE or DICE
-    (Papadakis et al., TKDE 2014; Simonini et al., PVLDB 2016)."""
+    (Papadakis et al., TKDE 2014; Simonini et al., PVLDB 2016).
+
+    Eight further names are read here as follows, without a publication that defines them:
+    CN-CBS and SN-CBS count each shared block as 1 / its comparisons (as ARCS does) or
+    1 / its members; with C, D or J in place of CBS that sum is set against the same
+    sums over all blocks of either record, as a cosine, a Dice or a Jaccard coefficient."""
     c, bl, br, n = (F.col(x).cast("double") for x in ("common", "bl", "br", "blocks"))
     js = c / (bl + br - c)
     scheme = scheme.upper()
-    if scheme in UNPUBLISHED:
-        raise NotImplementedError(f"{scheme} has no published definition; pass a Column to weigh_by")
+    if scheme[:2] in ("CN", "SN"):
+        shared, l, r = (F.col(x) for x in (("arcs", "cnl", "cnr") if scheme[0] == "C" else ("sizes", "snl", "snr")))
+        return graph.withColumn("weight", {"-CBS": shared, "C": shared / F.sqrt(l * r), "D": 2.0 * shared / (l + r), "J": shared / (l + r - shared)}[scheme[2:]])
     if scheme == "EJS":
         degree = graph.select(F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
         count = graph.agg(F.count("*").alias("edges"))
@@ -110,7 +122,7 @@ def weigh(graph: DataFrame, scheme: str = "CBS") -> DataFrame:
 
 
 def weigh_by(graph: DataFrame, weight: Column) -> DataFrame:
-    """The graph with a weight of one's own over common, bl, br, blocks and arcs."""
+    """The graph with a weight of one's own over the graph's columns."""
     return graph.withColumn("weight", weight)
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, or a temporary one where the
-    session names none (tests on one machine)."""
+    session names none and runs on one machine; on a cluster that is an error."""
     got = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not got and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not got:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchwright-"))
         got = spark.sparkContext.getCheckpointDir()
