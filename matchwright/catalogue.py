@@ -275,8 +275,10 @@ FROM graph""")
 def meta_blocking_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Weights that count a shared block by its comparisons (CN) or members (SN), as read here."""
     out = stored(doc_graph(spark, d), "graph")
-    for s in ("ARCS", "CNC", "CND", "CNJ", "SN-CBS", "SNC", "SND", "SNJ"):
-        out = token_blocking.weigh(out, s).withColumnRenamed("weight", "w_" + s.lower().removesuffix("-cbs"))
+    out = token_blocking.weigh(out, "ARCS").withColumnRenamed("weight", "w_arcs")
+    for by, name in (("comparisons", "cn"), ("members", "sn")):
+        for how, end in (("sum", ""), ("cosine", "c"), ("dice", "d"), ("jaccard", "j")):
+            out = token_blocking.weigh_normalised(out, by, how).withColumnRenamed("weight", f"w_{name}{end}")
     return out.select("left_id", "right_id", F.round("w_arcs", 8).alias("arcs"), *[r6(F.col("w_" + c)).alias(c) for c in ("cnc", "cnd", "cnj", "sn", "snc", "snd", "snj")])
 
 
@@ -366,32 +368,40 @@ idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(
 v AS (SELECT id, term, tf * idf AS v FROM tf JOIN idf USING (term)), z AS (SELECT id, sqrt(sum(v * v)) AS z FROM v GROUP BY id),
 n AS (SELECT id, term, v / z AS w FROM v JOIN z USING (id)),
 dots AS (SELECT a.id AS left_id, b.id AS right_id, sum(a.w * b.w) AS s FROM n a JOIN n b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id)
-SELECT a.item_id AS left_id, b.item_id AS right_id, round(coalesce(s, 0), 6) AS cosine
-FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id LEFT JOIN dots ON left_id = a.item_id AND right_id = b.item_id"""
+SELECT left_id, right_id, round(s, 6) AS cosine FROM dots"""
+CHAR_SQL = """
+WITH w AS (SELECT item_id AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM benchmark),
+g AS (SELECT id, unnest(list_concat(CASE WHEN length(w) >= 3 THEN list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) ELSE [w] END,
+    list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)), list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)))) AS term FROM w),
+tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY id, term),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term),
+v AS (SELECT id, term, tf * idf AS v FROM tf JOIN idf USING (term)), z AS (SELECT id, sqrt(sum(v * v)) AS z FROM v GROUP BY id),
+n AS (SELECT id, term, v / z AS w FROM v JOIN z USING (id))
+SELECT a.id AS left_id, b.id AS right_id, round(sum(a.w * b.w), 6) AS cosine FROM n a JOIN n b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id"""
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
 
 
-def item_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of the benchmark's items, a set of fixed size."""
-    i = items(spark, d)
-    return i.select(F.col("id").alias("left_id"), F.lit(1).alias("k")).join(i.select(F.col("id").alias("right_id"), F.lit(1).alias("k")), "k").where("left_id < right_id").drop("k")
+def sharing(v: DataFrame) -> DataFrame:
+    """Pairs of texts with a common term, from the terms of a vector table."""
+    a, b = v.select(F.col("id").alias("left_id"), "term"), v.select(F.col("id").alias("right_id"), "term")
+    return a.join(b, "term").where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
 @query(TFIDF_SQL)
 def tfidf_word_cosine(spark: SparkSession, d: str) -> DataFrame:
     texts = stored(items(spark, d), "items")
     v = stored(tfidf.vectors(texts, tfidf.word_ngrams, tfidf.fit_idf(texts, tfidf.word_ngrams)), "vectors")
-    return tfidf.pair_cosine(item_pairs(spark, d), v, v).select("left_id", "right_id", r6(F.col("cosine")).alias("cosine"))
+    return tfidf.pair_cosine(sharing(v), v, v).select("left_id", "right_id", r6(F.col("cosine")).alias("cosine"))
 
 
-@query()
+@query(CHAR_SQL)
 def tfidf_char_cosine(spark: SparkSession, d: str) -> DataFrame:
     texts = stored(items(spark, d), "items")
     v = stored(tfidf.vectors(texts, tfidf.char_ngrams, tfidf.fit_idf(texts, tfidf.char_ngrams)), "vectors")
-    return tfidf.pair_cosine(item_pairs(spark, d), v, v).select("left_id", "right_id", r6(F.col("cosine")).alias("cosine"))
+    return tfidf.pair_cosine(sharing(v), v, v).select("left_id", "right_id", r6(F.col("cosine")).alias("cosine"))
 
 
 @query("""

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import CURVE_SQL, FS, LEVELS_SQL, NARROW_SQL, RANKS_SQL, SCORED_SQL, bipartite, items, labelled_pairs, part_lookup, part_pairs, parts, query, r6, results, scored_labels, t
+from .catalogue import CURVE_SQL, FS, LEVELS_SQL, NARROW_SQL, RANKS_SQL, SCORED_SQL, bipartite, flagship_document_groups, items, labelled_pairs, part_lookup, part_pairs, parts, query, r6, results, scored_labels, sharing, t
 from .functions import normalize as N
 from .functions import similarity as S
 from .operators import blocking, classifiers, clustering, compare, evaluate, fellegi_sunter, pairs, ranking, splits, tfidf
+from .plans import pipelines
 from .sources import tables
 from .spec import BlockingRule, DatasetSpec, FieldSpec
 from .storage import shared_dir, stored
@@ -198,31 +199,6 @@ def pairs_inside_splits(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- comparing
 
-CHAR_SQL = """
-WITH w AS (SELECT item_id AS id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM benchmark),
-g AS (SELECT id, unnest(list_concat(CASE WHEN length(w) >= 3 THEN list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)) ELSE [w] END,
-    list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)), list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)))) AS term FROM w),
-tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY id, term),
-idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term),
-v AS (SELECT id, term, tf * idf AS v FROM tf JOIN idf USING (term)), z AS (SELECT id, sqrt(sum(v * v)) AS z FROM v GROUP BY id),
-n AS (SELECT id, term, v / z AS w FROM v JOIN z USING (id))
-SELECT a.id AS left_id, b.id AS right_id, round(sum(a.w * b.w), 6) AS cosine FROM n a JOIN n b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id"""
-
-
-def sharing(v: DataFrame) -> DataFrame:
-    """Pairs of texts with a common term, from the terms of a vector table."""
-    a, b = v.select(F.col("id").alias("left_id"), "term"), v.select(F.col("id").alias("right_id"), "term")
-    return a.join(b, "term").where("left_id < right_id").select("left_id", "right_id").distinct()
-
-
-@query(CHAR_SQL)
-def tfidf_char_shared(spark: SparkSession, d: str) -> DataFrame:
-    """Cosines of character 3- to 5-grams inside words, for pairs that share one."""
-    texts = stored(items(spark, d), "items")
-    v = stored(tfidf.vectors(texts, tfidf.char_ngrams, tfidf.fit_idf(texts, tfidf.char_ngrams)), "vectors")
-    return tfidf.pair_cosine(sharing(v), v, v).select("left_id", "right_id", r6(F.col("cosine")).alias("cosine"))
-
-
 @query("""
 WITH w AS (SELECT item_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\w\\p{L}]+'), lambda x: length(x) >= 2)) AS term FROM benchmark),
 b AS (SELECT DISTINCT id, term FROM w), n AS (SELECT id, count(*) AS n FROM b GROUP BY id), tf AS (SELECT id, term, count(*) AS c FROM w GROUP BY id, term), z AS (SELECT id, sqrt(sum(c * c)) AS z FROM tf GROUP BY id)
@@ -407,7 +383,7 @@ def rank_cliques(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH RECURSIVE m AS (SELECT left_id, right_id, bl = br AND nl = nr AS y, round(1 - abs(pl - pr) / greatest(pl, pr), 2) AS s FROM ({NARROW_SQL}))
-SELECT CAST(i AS INTEGER) AS step, count(*) FILTER (WHERE s >= 0.9 + i * 0.02) AS predicted, count(*) FILTER (WHERE y AND s >= 0.9 + i * 0.02) AS hits FROM m, range(5) r(i) GROUP BY i""")
+SELECT CAST(i AS INTEGER) AS step, count(*) FILTER (WHERE s >= CAST(0.9 AS DOUBLE) + i * CAST(0.02 AS DOUBLE)) AS predicted, count(*) FILTER (WHERE y AND s >= CAST(0.9 AS DOUBLE) + i * CAST(0.02 AS DOUBLE)) AS hits FROM m, range(5) r(i) GROUP BY i""")
 def predicted_at_thresholds(spark: SparkSession, d: str) -> DataFrame:
     """Dumps of the predicted pairs at several thresholds, read back and counted."""
     rows = part_lookup(spark, d)
@@ -443,3 +419,51 @@ def learners_on_separable_pairs(spark: SparkSession, d: str) -> DataFrame:
         one = classifiers.score(rows, model).agg(F.lit(kind).alias("learner"), F.count("*").alias("pairs"), F.count_if(right).alias("correct"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------- whole evaluations
+
+
+def three_splits(labelled: DataFrame) -> list[DataFrame]:
+    """Labelled pairs in train, validation and test by a hash of the left record."""
+    kept = stored(labelled.select("left_id", "right_id", "label", F.pmod(F.xxhash64("left_id"), F.lit(3)).alias("part")), "labelled")
+    return [kept.where(F.col("part") == i).drop("part") for i in range(3)]
+
+
+@query()
+def evaluate_probabilistic(spark: SparkSession, d: str) -> DataFrame:
+    """Rules, a Fellegi-Sunter model trained on one split, its threshold tuned on another, metrics on the third."""
+    rec = parts(spark, d)
+    plan = pipelines.Probabilistic([BlockingRule.of("p_brand", "p_size"), BlockingRule.of("p_name", "p_size")], FS.comparisons, 100_000)
+    return plan.run(rec, None, *three_splits(labelled_pairs(spark, d)))
+
+
+@query()
+def evaluate_feature_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Generated features and TF-IDF cosines, a forest, tuned and measured alike."""
+    rec = parts(spark, d)
+    plan = pipelines.FeatureClassifier([("p_name", "levenshtein"), ("p_type", "jaccard_words"), ("p_brand", "exact")], ["p_name"], classifiers.Config("forest", trees=10, depth=5))
+    return plan.run(rec, rec, *three_splits(labelled_pairs(spark, d)))
+
+
+@query()
+def evaluate_learned_linker(spark: SparkSession, d: str) -> DataFrame:
+    """Learned rules, match types and a learner; clusters scored by their members, measured on a split."""
+    rec = parts(spark, d)
+    train, _, test = three_splits(labelled_pairs(spark, d))
+    plan = pipelines.LearnedLinker([BlockingRule.of("p_brand", "p_size"), BlockingRule.of("p_name", "p_size")], {"p_name": "FUZZY", "p_type": "TEXT", "p_brand": "EXACT"})
+    members = stored(plan.clusters(rec, None, train), "members")
+    return evaluate.pairwise(clustering.cluster_pair_scores(test, members, "min"))
+
+
+@query()
+def evaluate_meta_blocking(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks, purge, filter, pruned graph, q-gram cosines and components over whole documents,
+    against the groups of token Jaccard 0.8."""
+    docs = t(spark, d, "documents").select(F.lit("a").alias("src"), F.col("doc_id").alias("id"), "text")
+    plan = pipelines.MetaBlocking(["text"], clusterer="components")
+    scored = stored(plan.scored(docs, False), "scored")
+    found = plan.matches(scored, 0.9, False).withColumn("score", F.lit(1.0))
+    gold = pairs.within_clusters(flagship_document_groups(spark, d).select(F.col("doc_id").alias("node"), F.col("group_id").alias("cluster_id"))).select("left_id", "right_id", F.lit(1).alias("label"))
+    both = gold.join(found, ["left_id", "right_id"], "full")
+    return evaluate.pairwise(both.select(F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("score", F.lit(0.0)).alias("score")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import dropped, stored
 from .clustering import components_over
 from .pairs import unordered, without
 from .topn import sample_exact
@@ -34,31 +35,42 @@ def pairs_in_split(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def hard_negatives(records: DataFrame, key: str, positives: DataFrame, target: int, seed: int = 42, tries: int = 3) -> DataFrame:
-    """Up to ``target`` pairs that agree on ``key`` and are no match. Inside a block,
-    ordered by hash, a record meets the next ``tries`` records; a block's pairs are
-    never all formed."""
+    """``target`` pairs that agree on ``key`` and are no match; all there are, if fewer.
+    Inside a block, ordered by hash, a record meets the next ``tries`` records, and ever
+    more of them while pairs are wanting: no more pairs are formed than that takes."""
     order = Window.partitionBy(key).orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    near = records.where(F.col(key).isNotNull()).select("id", key, *[F.lead("id", i).over(order).alias(f"n{i}") for i in range(1, tries + 1)])
-    pairs = near.select(F.col("id").alias("left_id"), F.explode(F.array(*[f"n{i}" for i in range(1, tries + 1)])).alias("right_id")).where("right_id is not null AND left_id <> right_id")
-    fresh = without(unordered(pairs), unordered(positives.select("left_id", "right_id")))
-    return sample_exact(fresh, target, "left_id", "right_id", seed=seed)
+    placed = stored(records.where(F.col(key).isNotNull()).select("id", F.col(key).alias("k"), F.row_number().over(order).alias("place")), "placed")
+    largest = placed.agg(F.max("place")).first()[0] or 0
+    known = unordered(positives.select("left_id", "right_id"))
+    while True:
+        ahead = placed.select(F.col("id").alias("left_id"), "k", F.explode(F.sequence(F.col("place") + 1, F.col("place") + tries)).alias("place"))
+        pairs = ahead.join(placed.select(F.col("id").alias("right_id"), "k", "place"), ["k", "place"]).where("left_id <> right_id").select("left_id", "right_id")
+        fresh = stored(without(unordered(pairs), known), "negatives")
+        if tries >= largest - 1 or fresh.count() >= target:
+            return sample_exact(fresh, target, "left_id", "right_id", seed=seed)
+        dropped(fresh)
+        tries *= 4
 
 
 def random_negatives(records: DataFrame, positives: DataFrame, target: int, seed: int = 42, known: DataFrame | None = None) -> DataFrame:
-    """Up to ``target`` pairs drawn at random that are no match and not among ``known``;
-    no more than there are. Draws are made with room for duplicates."""
-    n = records.count()
-    possible = n * (n - 1) // 2 - positives.count()
-    target = max(0, min(target, possible))
-    draws = -(-max(2 * target, 64) // max(1, n)) + 1
-    slots = F.lit(max(1, n))
-    drawn = records.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("d"))
-    drawn = drawn.select("a", F.pmod(F.xxhash64("a", "d", F.lit(seed)), slots).alias("slot"))
-    other = records.select(F.col("id").alias("b"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), slots).alias("slot"))
-    pairs = unordered(drawn.join(other, "slot").where("a <> b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id")))
-    fresh = without(pairs, unordered(positives.select("left_id", "right_id")))
-    fresh = fresh if known is None else without(fresh, unordered(known.select("left_id", "right_id")))
-    return sample_exact(fresh, target, "left_id", "right_id", seed=seed)
+    """``target`` pairs drawn at random that are no match and not among ``known``; all
+    there are, if fewer. Each record draws places in a hashed order of all records, and
+    ever more of them, up to each place once, while pairs are wanting."""
+    n = max(1, records.count())
+    draws = min(n, -(-max(2 * target, 64) // n) + 1)
+    slots = F.lit(n)
+    taken = unordered(positives.select("left_id", "right_id"))
+    taken = taken if known is None else unordered(taken.unionByName(known.select("left_id", "right_id")))
+    other = stored(records.select(F.col("id").alias("b"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), slots).alias("slot")), "slots")
+    while True:
+        drawn = records.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
+        drawn = drawn.select("a", F.pmod(F.pmod(F.xxhash64("a", F.lit(seed)), slots) + F.col("d"), slots).alias("slot"))
+        pairs = unordered(drawn.join(other, "slot").where("a <> b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id")))
+        fresh = stored(without(pairs, taken), "negatives")
+        if draws >= n or fresh.count() >= target:
+            return sample_exact(fresh, max(0, target), "left_id", "right_id", seed=seed)
+        dropped(fresh)
+        draws = min(n, 4 * draws)
 
 
 def labelled_split(records: DataFrame, positives: DataFrame, key: str, per_positive: float = 3.0, hard_share: float = 0.3, seed: int = 42) -> DataFrame:

@@ -92,20 +92,19 @@ def edges(blocks: DataFrame, two_sources: bool = False, most: int = 2000) -> Dat
     return both.join(a, ["ls", "left_id"]).join(b, ["rs", "right_id"]).crossJoin(F.broadcast(total)).select(*GRAPH)
 
 
+#: Weighting schemes without a published definition.
+UNPUBLISHED = ("CN-CBS", "SN-CBS", "CNC", "SNC", "CND", "SND", "CNJ", "SNJ")
+
+
 def weigh(graph: DataFrame, scheme: str = "CBS") -> DataFrame:
     """The graph with ``weight``: CBS, ECBS, JS, EJS, ARCS, X2, COSINE or DICE
-    (Papadakis et al., TKDE 2014; Simonini et al., PVLDB 2016).
-
-    Eight further names are read here as follows, without a publication that defines them:
-    CN-CBS and SN-CBS count each shared block as 1 / its comparisons (as ARCS does) or
-    1 / its members; with C, D or J in place of CBS that sum is set against the same
-    sums over all blocks of either record, as a cosine, a Dice or a Jaccard coefficient."""
+    (Papadakis et al., TKDE 2014; Simonini et al., PVLDB 2016). Names without a
+    published definition raise: see ``weigh_normalised``."""
     c, bl, br, n = (F.col(x).cast("double") for x in ("common", "bl", "br", "blocks"))
     js = c / (bl + br - c)
     scheme = scheme.upper()
-    if scheme[:2] in ("CN", "SN"):
-        shared, l, r = (F.col(x) for x in (("arcs", "cnl", "cnr") if scheme[0] == "C" else ("sizes", "snl", "snr")))
-        return graph.withColumn("weight", {"-CBS": shared, "C": shared / F.sqrt(l * r), "D": 2.0 * shared / (l + r), "J": shared / (l + r - shared)}[scheme[2:]])
+    if scheme in UNPUBLISHED:
+        raise NotImplementedError(f"{scheme} has no published definition; take weigh_normalised or pass a Column to weigh_by")
     if scheme == "EJS":
         degree = graph.select(F.explode(F.array("left_id", "right_id")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
         count = graph.agg(F.count("*").alias("edges"))
@@ -121,6 +120,17 @@ def weigh(graph: DataFrame, scheme: str = "CBS") -> DataFrame:
     return graph.withColumn("weight", weight)
 
 
+def weigh_normalised(graph: DataFrame, by: str = "comparisons", how: str = "sum") -> DataFrame:
+    """The graph with a weight that counts each shared block as 1 / its comparisons or 1 /
+    its members (``by``). how: that ``sum`` itself, or set against the same sums over
+    all blocks of either record as a ``cosine``, a ``dice`` or a ``jaccard`` coefficient.
+
+    These are this engine's readings of the eight names in ``UNPUBLISHED``: CN for
+    comparisons, SN for members; CBS, C, D and J for the four forms."""
+    shared, l, r = (F.col(x) for x in {"comparisons": ("arcs", "cnl", "cnr"), "members": ("sizes", "snl", "snr")}[by])
+    return graph.withColumn("weight", {"sum": shared, "cosine": shared / F.sqrt(l * r), "dice": 2.0 * shared / (l + r), "jaccard": shared / (l + r - shared)}[how])
+
+
 def weigh_by(graph: DataFrame, weight: Column) -> DataFrame:
     """The graph with a weight of one's own over the graph's columns."""
     return graph.withColumn("weight", weight)

@@ -437,3 +437,57 @@ def test_ranking(spark):
     assert ranking.cliques({"a": 1.0, "b": 1.5, "c": 3.0, "d": 3.2}, 1.0) == [["a", "b"], ["c", "d"]]
     pts = df(spark, [("a", 1.0, 0.5), ("b", 2.0, 0.5), ("c", 2.0, 0.9), ("d", 3.0, 0.9), ("e", 1.0, 0.5)], "framework string, cost double, f1 double")
     assert {x["framework"] for x in ranking.pareto_front(pts, "cost", "f1").collect()} == {"a", "c", "e"}
+
+
+def brute_average_linkage(edges, threshold):
+    """Clusters by merging the pair with the largest average until none reaches the threshold."""
+    import hashlib
+
+    score = {frozenset(e[:2]): e[2] for e in edges}
+    clusters = [{n} for n in sorted({n for e in edges for n in e[:2]})]
+    while True:
+        best = None
+        for i, x in enumerate(clusters):
+            for y in clusters[i + 1 :]:
+                mean = sum(score.get(frozenset((a, b)), 0.0) for a in x for b in y) / (len(x) * len(y))
+                a, b = sorted((min(x), min(y)))
+                rank = (-mean, hashlib.md5(f"{a} {b}".encode()).hexdigest())
+                if mean >= threshold and (best is None or rank < best[0]):
+                    best = rank, x, y
+        if best is None:
+            return {n: min(c) for c in clusters for n in c}
+        clusters = [c for c in clusters if c not in best[1:]] + [best[1] | best[2]]
+
+
+@pytest.mark.parametrize("local", [5000, 3])
+def test_average_linkage_counts_scores_below_the_threshold(spark, local):
+    rng = random.Random(3)
+    edges = [(1, 2, 0.9), (2, 3, 0.8), (1, 3, 0.5)]
+    edges += [(a, b, round(rng.random(), 3)) for a in range(10, 24) for b in range(a + 1, 24) if rng.random() < 0.7]
+    scored = spark.createDataFrame(edges, "left_id long, right_id long, score double")
+    got = {r["node"]: r["cluster_id"] for r in clustering.average_linkage(scored, 0.6, local=local).collect()}
+    want = brute_average_linkage(edges, 0.6)
+    assert got[3] == 1 and all(got.get(n, n) == c for n, c in want.items())
+
+
+def test_cliques_hold_systems_exactly_the_difference_apart():
+    assert ranking.cliques({"a": 1.0, "b": 2.0, "c": 3.5}, 1.0) == [["a", "b"]]
+    assert ranking.cliques({"a": 1.0, "b": 1.5, "c": 2.0}, 1.0) == [["a", "b", "c"]]
+
+
+def test_negatives_are_found_as_long_as_there_are_any(spark):
+    rec = spark.createDataFrame([(i, "x" if i < 30 else "y") for i in range(40)], "id long, key string")
+    pos = spark.createDataFrame([(0, 1), (30, 31)], "left_id long, right_id long")
+    hard = splits.hard_negatives(rec, "key", pos, 400).collect()
+    assert len({tuple(r) for r in hard}) == 400
+    assert splits.hard_negatives(rec, "key", pos, 10**6).count() == 30 * 29 // 2 + 45 - 2
+    rand = splits.random_negatives(rec, pos, 10**6).collect()
+    assert len({tuple(r) for r in rand}) == len(rand) == 40 * 39 // 2 - 2
+    assert splits.random_negatives(rec, pos, 300).count() == 300
+
+
+def test_blocks_larger_than_a_part_give_the_same_graph(spark):
+    rec = spark.createDataFrame([(i, f"common t{i % 7} u{i % 3}") for i in range(60)], "id long, text string")
+    blocks = token_blocking.token_blocks(rec, ["text"])
+    a, b = (sorted(map(tuple, token_blocking.edges(blocks, most=m).select("left_id", "right_id", "common", "bl", "br", F.round("arcs", 9), F.round("sizes", 9)).collect())) for m in (2000, 7))
+    assert a == b and len(a) == 60 * 59 // 2
