@@ -187,6 +187,8 @@ def format_chats(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFr
     these names are replaced. Null for rows of no known layout; a null role or
     text of a turn counts as empty. Repeated rows are formatted each for itself."""
     tmp = "__chat"
+    while any(c.lower().startswith(tmp) for c in df.columns):
+        tmp += "_"
     step = canonical(df.drop("layout", "turns", "formatted", "loss_mask"), layouts, tmp)
     out = step.withColumns({"formatted": render(F.col(tmp)), "loss_mask": loss_mask(F.col(tmp))})
     return out.withColumnsRenamed({tmp: "turns", tmp + "_layout": "layout"}).drop(tmp + "_fingerprint")

@@ -35,8 +35,8 @@ _LETTER[97:123] = _LETTER[128:] = 1
 @dataclass
 class Params:
     """``rows_per_language`` bounds the labelled sample that reaches the driver:
-    so many documents of each language are expected, chosen by a hash of the id,
-    and at most ``windows_per_row`` evenly spaced windows of each."""
+    so many distinct documents of each language are expected, chosen by a hash of id
+    and text, and at most ``windows_per_row`` evenly spaced windows of each."""
 
     window: int = 256
     embedding: int = 8
@@ -172,8 +172,8 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], p: Params)
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", params: Params | None = None) -> Model:
     """Train on a bounded sample of the labelled rows of ``docs``.
 
-    Rows without a language or without text teach nothing. With no labelled row
-    at all the model knows no language, and every text is ``und``."""
+    Rows without a language or without text teach nothing, rows that repeat id and text
+    teach once, and the order of the rows is of no effect. With no labelled row at all the model knows no language, and every text is ``und``."""
     p = params or Params()
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("t").rlike(r"\p{L}"))
     counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -183,10 +183,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("l") == name, F.lit(min(1.0, p.rows_per_language / n))).otherwise(share)
-    chance = F.pmod(F.xxhash64("k", F.lit(p.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("k", "t", F.lit(p.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     room = p.window * 4
     pieces = F.array(*[F.substring("t", F.greatest(F.lit(1), (F.length("t") * (2 * i + 1) / (2 * p.windows_per_row)).cast("int") - p.window // 2), F.lit(p.window)) for i in range(p.windows_per_row)])
-    sample = known.where(chance < share).select("l", F.explode(F.array_distinct(pieces)).alias("t")).where(F.length("t") <= room)
+    sample = known.where(chance < share).select("l", F.explode(F.array_distinct(pieces)).alias("t")).where(F.length("t") <= room).distinct()
     got = sample.toArrow()
     rows = np.full((got.num_rows, p.window), 32, dtype=np.uint8)
     for i, t in enumerate(got.column("t").to_pylist()):
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         rows[i, : len(b)] = np.frombuffer(b, dtype=np.uint8)
     index = {name: i for i, name in enumerate(languages)}
     labels = np.array([index[x] for x in got.column("l").to_pylist()])
-    order = np.lexsort((*rows.T[:8], labels))
+    order = sorted(range(len(rows)), key=lambda i: (labels[i], rows[i].tobytes()))
     return train(_FOLD[rows][order], labels[order], languages, p)
 
 
@@ -226,7 +226,11 @@ def held_out(key: Column) -> Column:
 def identify(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", params: Params | None = None) -> DataFrame:
     """All rows and columns of ``docs`` and a struct column ``language_id`` (with
     underscores appended if that name is taken), from a model trained on
-    ``labelled``: by default the rows of ``docs`` that are not held out."""
+    ``labelled``: by default the rows of ``docs`` that are not held out.
+
+    Of languages with the same mean (ties) the first in order of names is given. Rows
+    that repeat, and rows with null or repeated ids, are predicted each for itself;
+    null ids are not held out. An empty table gives an empty one."""
     from .common import small_batches, temp_name
 
     small_batches(docs.sparkSession)

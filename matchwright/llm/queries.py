@@ -17,6 +17,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, from a network that saw the documents that are not held
+    out; null texts and texts without a letter are ``und``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select(
         "doc_id",
@@ -27,6 +29,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that spells control strings, formatted, and read back from what
+    was written. Turns of one number (ties) go by role and text; null texts are empty."""
     said = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -44,40 +48,51 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's block and place in a mixture of the sources by tempered weights; null
+    sources are one source, rows that repeat stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return source_mixing.mix(docs).select("doc_id", "source", "mix.*")
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of each query by whole inner product; ties to the smaller id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op9_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each query by inner product; ties to the smaller id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return stable_projection_ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every whole text in ids of the public model, read back, and whether the sentencepiece
+    library agrees; a null text is empty."""
     with open(model or vocabulary("piece_bpe_32k.model"), "rb") as f:
         data = f.read()
     return sentencepiece_backend.encode(table(spark, sf_dir, "documents"), data, check=True)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; empty where there is none."""
     pages = html_extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and texts in every whole text; a null text is empty."""
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_scan.*")
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicates among all whole texts; a text without words is near to nothing."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Every whole text in token files, as the library encodes it by default, read back from
+    them; a null text is empty, rows that repeat an id go by a hash of their text."""
     with open(tokenizer or vocabulary("byte_bpe_50k.json")) as f:
         model = f.read()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

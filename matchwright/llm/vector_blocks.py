@@ -20,6 +20,8 @@ from .common import stored
 
 SHARD_ROWS = 16384
 BLOCK_ROWS = 512
+#: Bytes of the vectors of a shard or block at most, where one vector does not exceed it.
+PART_BYTES = 64 << 20
 #: The bar of a query that has no kth score yet, where scores are whole numbers.
 NONE = -(2**63)
 #: Query blocks that meet a shard in one task.
@@ -46,9 +48,9 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
 
 def gathered(rows: DataFrame, group_rows: int, name: str, build) -> DataFrame:
     """(dim, part, blob): the rows of each dimension, dealt to parts of about
-    ``group_rows`` by a hash of the whole row, each made into one blob by
+    ``group_rows``, or ``PART_BYTES``, by a hash of the whole row, each made into one blob by
     ``build(ids, matrix)``. The parts' number follows from a count."""
-    sizes = {r["dim"]: max(1, math.ceil(r["n"] / group_rows)) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dim"]: max(1, math.ceil(r["n"] / max(1, min(group_rows, PART_BYTES // (8 * r["dim"]))))) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     n = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.create_map(F.lit(0), F.lit(1))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), n[F.col("dim")]).cast("int"))
 

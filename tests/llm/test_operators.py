@@ -54,6 +54,23 @@ def test_language_id_folded_tables_equal_the_network():
     assert np.allclose(m.windows(rows), z / z.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_language_id_sample_is_bounded_and_the_same_in_any_order(spark):
+    """Null and repeated ids spread over the sample like others; the model depends on no partitioning."""
+    p = language_id.Params(rows_per_language=40, epochs=1)
+    rows = [(None if i % 2 else 7, f"{w} number {i} and more of it", w) for i in range(1500) for w in ("the", "der")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    train = language_id.train
+    try:
+        language_id.train = lambda x, y, names, q: seen.append((x, y)) or train(x, y, names, q)
+        for d in (df, df.unionByName(df).repartition(7)):
+            language_id.fit(d, params=language_id.Params(rows_per_language=40 * (1 + (d is not df)), epochs=1))
+    finally:
+        language_id.train = train
+    assert 20 < len(seen[0][0]) < 2 * 2 * 40 * 2 and p.windows_per_row == 2
+    assert np.array_equal(seen[0][0], seen[1][0]) and np.array_equal(seen[0][1], seen[1][1])
+
+
 def test_language_id_odd_cases(spark):
     docs = documents(spark, [*ODD, "the cat and the dog", "der hund und die katze"] * 3, {12: "en", 13: "de", 0: None}).withColumn("language_id", F.lit(1))
     got = {r["doc_id"]: r["language_id_"] for r in language_id.identify(docs).collect()}
@@ -286,6 +303,12 @@ def test_chat_layouts_and_round_trip(spark):
     assert got[102]["formatted"] is None and got[103]["formatted"] is None
 
 
+def test_chat_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "q", "a", "mine")], "id int, question string, answer string, __chat_layout string")
+    r = chat_format.format_chats(df).first()
+    assert r["__chat_layout"] == "mine" and r["layout"] == "question" and "a" in r["formatted"]
+
+
 def test_chat_rows_with_nulls_ties_and_empty(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, None, None, None), (None, 1, "user", "x"), (2, 1, "assistant", None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
