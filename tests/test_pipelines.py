@@ -1,6 +1,7 @@
 """Whole pipelines on a small set of persons, streaming, and the catalogue."""
 
 import random
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -90,7 +91,7 @@ def test_catalogue_agrees_with_sql(spark):
     import duckdb
 
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "benchmark"):
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "benchmark"):
         con.sql(f"create view {name} as select * from '{d}/{name}.parquet'")
     wrong = []
     for name, run in catalogue.QUERIES.items():
@@ -110,3 +111,19 @@ def test_engine_stands_without_the_corpus_operators():
     for path in (ROOT / "matchwright").rglob("*.py"):
         if "llm" not in path.parts:
             assert "llm" not in path.read_text()
+
+
+def test_engine_stands_when_the_corpus_folders_are_deleted(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for path in (copy / "matchwright" / "llm", copy / "tests" / "llm"):
+        shutil.rmtree(path)
+    (copy / "corpus_pipeline.py").unlink()
+    code = "import __spark_entry__ as e; q = e.queries(); assert not [n for n in q if n.startswith('op') and n[2].isdigit()] and 'pipeline' not in q and len(q) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, check=True, timeout=120, stdout=subprocess.DEVNULL)
+
+
+def test_a_missing_library_of_the_corpus_operators_is_an_error():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=120, stderr=subprocess.DEVNULL).returncode != 0
