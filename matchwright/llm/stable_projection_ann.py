@@ -27,8 +27,8 @@ DIMENSIONS = 24
 LEAF = 128
 CONFIDENCE = 0.95
 RATIO = 1.05
-#: Neighbours that are verified between two looks at the test.
-STEP = 64
+#: Neighbours that are verified between two looks at the test: at first, and at most.
+STEP, MOST = 64, 512
 
 
 def build_index(dimensions: int, keep: int, seed: int = 5):
@@ -66,7 +66,7 @@ def build_index(dimensions: int, keep: int, seed: int = 5):
         span = np.array(sorted(leaves), dtype=np.int64)
         y = y[place]
         return pack(
-            x=x[place], y=y, count=counts[place], members=members[place], span=span, gauss=gauss, top=np.array([top]),
+            x=x[place], y=y, norm=(y * y).sum(axis=1), count=counts[place], members=members[place], span=span, gauss=gauss, top=np.array([top]),
             low=np.stack([y[a:b].min(axis=0) for a, b in span]), high=np.stack([y[a:b].max(axis=0) for a, b in span]),
         )
 
@@ -83,32 +83,33 @@ def verified(tree: dict[str, np.ndarray], q: np.ndarray, bar: float, k: int, lim
     bound = (gap * gap).sum(axis=1)
     order = np.argsort(bound, kind="stable")
     bound = np.append(bound[order], np.inf)
-    opened, want = 0, STEP
+    farthest = lambda score: limit * max(2 * top * top - 2 * score * scale, 0.0) if np.isfinite(score) else np.inf
+    still, opened, want = farthest(bar), 0, STEP
     places, far = np.empty(0, np.int64), np.empty(0)
     done, seen, scores = 0, [], []
     best = np.empty(0)  # the k + 1 best scores: the query itself may be among them
     while True:
         # The next neighbours in order of projected distance, from all leaves in which they can lie.
-        while len(far) < done + want or bound[opened] <= far[done + want - 1]:
-            if opened == len(order):
-                break
+        while opened < len(order) and bound[opened] <= still and (len(far) < done + want or bound[opened] <= far[done + want - 1]):
             reach = far[done + want - 1] if len(far) >= done + want else bound[opened]
-            until = max(opened + 1, int(np.searchsorted(bound, reach, "right")))
-            until = min(until, len(order))
+            until = min(max(opened + 1, int(np.searchsorted(bound, reach, "right"))), len(order))
             more = np.concatenate([np.arange(*tree["span"][leaf]) for leaf in order[opened:until]])
-            off = y[more] - z
-            places, far, opened = np.concatenate([places[done:], more]), np.concatenate([far[done:], (off * off).sum(axis=1)]), until
-            sort = np.argsort(far, kind="stable")
+            off = np.maximum(tree["norm"][more] - 2.0 * (y[more] @ z) + z @ z, 0.0)
+            near = off <= still
+            places, far, opened = np.concatenate([places[done:], more[near]]), np.concatenate([far[done:], off[near]]), until
+            sort = np.argsort(far)
             places, far, done = places[sort], far[sort], 0
-        reach = max(best[-1] if len(best) > k else -np.inf, bar)
-        still = limit * max(2 * top * top - 2 * reach * scale, 0.0) if np.isfinite(reach) else np.inf
         batch = places[done : done + want][far[done : done + want] <= still]
         if not len(batch):
             break
-        got = (x[batch] * q).sum(axis=1)  # summed alike for every pair, so equal vectors score the same
+        got = x[batch] @ q
         seen.append(batch), scores.append(got)
-        best = np.sort(np.concatenate([best, got]))[::-1][: k + 1]
         done += len(batch)
+        best = np.concatenate([best, got])
+        if len(best) > k:
+            best = np.partition(best, len(best) - k - 1)[len(best) - k - 1 :]
+            still = farthest(max(best[0], bar))
+        want = min(2 * want, MOST)
     return (np.concatenate(seen), np.concatenate(scores)) if seen else (np.empty(0, np.int64), np.empty(0))
 
 
@@ -119,6 +120,10 @@ def searcher(dimensions: int, confidence: float, ratio: float):
         rows, found, values = [], [], []
         for i in range(len(q)):
             places, score = verified(tree, q[i], bar[i], k, limit)
+            if len(score) > k + 1:  # what is near the best k + 1, rounding aside, and no less
+                least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                places = places[score >= least - 1e-9 * max(1.0, abs(least))]
+            score = (tree["x"][places] * q[i]).sum(axis=1)  # summed alike for every pair, so equal vectors score the same
             score, ids = np.repeat(score, tree["count"][places]), tree["members"][places]
             ids = ids[np.arange(ids.shape[1])[None, :] < tree["count"][places][:, None]]
             keep = (ids != own[i]) & (score >= bar[i])
