@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, sentencepiece_backend, source_mixing, stable_projection_ann, token_files
+from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, sentencepiece_backend, simhash_dedup, source_mixing, stable_projection_ann, token_files
 from .common import table
 
 
@@ -99,6 +99,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_files.read_documents(spark, token_files.write_tokens(docs, token_files.fresh_folder(spark, "tokens"), model, special=True))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every whole text and the smallest id that links at three or fewer
+    differing bits reach; null and wordless texts have the fingerprint zero."""
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -110,6 +116,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_stable_projection_ann": op9_stable_projection_ann,
     "op10_token_files": op10_token_files,
+    "op11_simhash_dedup": op11_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""
