@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, sentencepiece_backend, simhash_dedup, source_mixing, stable_projection_ann, token_files
+from . import chat_format, compaction, exact_topk, html_extraction, language_id, license_scan, minhash_dedup, sentencepiece_backend, simhash_dedup, source_mixing, stable_projection_ann, token_alignment, token_files
 from .common import table
 
 
@@ -105,6 +105,17 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clicks as files, the small ones of each day merged; what then stands in the folder."""
+    return compaction.compact(table(spark, sf_dir, "clicks"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte-level ids of every whole text aligned with its SentencePiece ids; a null text has none."""
+    with open(vocabulary("byte_bpe_50k.json")) as a, open(vocabulary("piece_bpe_32k.model"), "rb") as b:
+        return token_alignment.align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), a.read(), b.read())
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_chat_format": op2_chat_format,
@@ -117,6 +128,8 @@ QUERIES = {
     "op9_stable_projection_ann": op9_stable_projection_ann,
     "op10_token_files": op10_token_files,
     "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_compaction": op12_compaction,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""

@@ -21,11 +21,12 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -227,13 +228,17 @@ def _flips(bits: list[int], radius: int) -> list[int]:
 def postings(nodes: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
     """(part, value, fp, own): each fingerprint under its own value, and under those within
     the threshold, where it looks for others' own."""
-    own = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask_of(bits))).alias("value"), F.lit(True).alias("own")) for i, (bits, _) in enumerate(parts)]
-    every = F.array(*own)
-    for i, (bits, radius) in enumerate(parts):
+
+    def key(i: int, value: Column, own: bool) -> Column:
+        return F.struct(F.lit(i).alias("part"), value.alias("value"), F.lit(own).alias("own"))
+
+    values = [F.col("fp").bitwiseAND(F.lit(mask_of(bits))) for bits, _ in parts]
+    every = [F.array(*[key(i, v, True) for i, v in enumerate(values)])]
+    for i, ((bits, radius), value) in enumerate(zip(parts, values)):
         if radius > 0:
             flips = F.array(*[F.lit(f) for f in _flips(bits, radius)])
-            value = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
-            every = F.concat(every, F.transform(flips, lambda f, i=i, value=value: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(f).alias("value"), F.lit(False).alias("own"))))
+            every.append(F.transform(flips, partial(lambda i, value, f: key(i, value.bitwiseXOR(f), False), i, value)))
+    every = F.concat(*every)
     return nodes.select("fp", F.explode(every).alias("k")).select("k.part", "k.value", "fp", "k.own")
 
 
