@@ -724,4 +724,13 @@ def linker_training_rows(spark: SparkSession, d: str) -> DataFrame:
     return classifiers.training_rows(p, left, right)
 
 
-from . import catalogue_operators  # noqa: E402, F401  (registers its queries here)
+SCORED_PAIRS_SQL = f"SELECT left_id, right_id, CAST(bl = br AND tl = tr AS INTEGER) AS label, round(1 - abs(pl - pr) / greatest(pl, pr), 2) AS score FROM ({NARROW_SQL})"
+
+
+def price_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Part pairs with a score from their prices, and whether brand and type agree."""
+    a, b = F.col("p_retailprice_l"), F.col("p_retailprice_r")
+    return labelled_pairs(spark, d).select("left_id", "right_id", "label", F.round(1 - F.abs(a - b) / F.greatest(a, b), 2).alias("score"))
+
+
+from . import catalogue_learned, catalogue_operators  # noqa: E402, F401  (register their queries here)

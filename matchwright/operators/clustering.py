@@ -27,27 +27,57 @@ def threshold_components(scored: DataFrame, threshold: float, universe: DataFram
     return components_over(nodes, kept)
 
 
-def unique_mapping(scored: DataFrame, threshold: float = 0.0, max_rounds: int = 1000) -> DataFrame:
+def _greedy(rest: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that are free as they come, best first."""
+    rest = rest.sort_values(["score", "left_id", "right_id"], ascending=[False, True, True], kind="stable")
+    left, right, keep = set(), set(), []
+    for a, b in zip(rest["left_id"], rest["right_id"]):
+        free = a not in left and b not in right
+        keep.append(free)
+        if free:
+            left.add(a), right.add(b)
+    return rest.loc[keep, ["left_id", "right_id", "score"]]
+
+
+def unique_mapping(scored: DataFrame, threshold: float = 0.0, rounds: int = 3, local: int = 1_000_000) -> DataFrame:
     """One-to-one matching of two sources: pairs in falling order of (score, then
     smaller left, then smaller right id), each taken if both records are free.
 
     A pair that comes first at both its ends is in that matching whatever else
     is; all such pairs are taken at once, their records leave, and the rest goes
-    on. Each round aggregates before it joins."""
+    on. Each round aggregates before it joins. After some ``rounds`` what is left falls
+    into components: pairs of different ones never compete, so each component of at most
+    ``local`` pairs is gone through in order by one task, and larger ones go on in rounds. A
+    chain of falling scores thus takes no round for each link."""
     rest = stored(scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score").groupBy("left_id", "right_id").agg(F.max("score").alias("score")), "open")
+    kinds = ", ".join(f"{c} {k}" for c, k in rest.dtypes)
     taken = None
-    for _ in range(max_rounds):
-        key = F.struct((-F.col("score")).alias("s"), "left_id", "right_id")
-        best_l = rest.groupBy("left_id").agg(F.min(key).alias("k")).select("k.left_id", "k.right_id", (-F.col("k.s")).alias("score"))
-        best_r = rest.groupBy("right_id").agg(F.min(key).alias("k")).select("k.left_id", "k.right_id")
-        both = stored(best_l.join(best_r, ["left_id", "right_id"]), "taken")
-        taken = both if taken is None else taken.unionByName(both)
-        after = stored(rest.join(both.select("left_id"), "left_id", "left_anti").join(both.select("right_id"), "right_id", "left_anti"), "open")
-        dropped(rest)
-        rest = after
+
+    def add(found: DataFrame) -> None:
+        nonlocal taken
+        taken = found if taken is None else taken.unionByName(found)
+
+    while True:
+        for _ in range(rounds):
+            key = F.struct((-F.col("score")).alias("s"), "left_id", "right_id")
+            best_l = rest.groupBy("left_id").agg(F.min(key).alias("k")).select("k.left_id", "k.right_id", (-F.col("k.s")).alias("score"))
+            best_r = rest.groupBy("right_id").agg(F.min(key).alias("k")).select("k.left_id", "k.right_id")
+            both = stored(best_l.join(best_r, ["left_id", "right_id"]), "taken")
+            add(both)
+            after = stored(rest.join(both.select("left_id"), "left_id", "left_anti").join(both.select("right_id"), "right_id", "left_anti"), "open")
+            dropped(rest)
+            rest = after
+            if rest.isEmpty():
+                return taken
+        left = F.concat(F.lit("l"), F.col("left_id").cast("string")).alias("l")
+        links = stored(rest.select("*", left, F.concat(F.lit("r"), F.col("right_id").cast("string")).alias("r")), "links")
+        comps = connected_components(links, "l", "r")
+        placed = stored(links.join(comps, F.col("l") == F.col("node")).select("left_id", "right_id", "score", "component"), "placed")
+        large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > local).select("component")
+        add(stored(placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(_greedy, kinds), "taken"))
+        rest = stored(placed.join(large, "component", "left_semi").drop("component"), "open")
         if rest.isEmpty():
             return taken
-    raise RuntimeError("unique mapping did not end")
 
 
 def average_linkage(scored: DataFrame, threshold: float, universe: DataFrame | None = None, max_component: int | None = None, local: int = 5000) -> DataFrame:
