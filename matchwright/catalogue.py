@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import normalize as N
 from .functions import similarity as S
-from .operators import blocking, classifiers, clustering, compare, evaluate, fellegi_sunter, neighbours, pairs, ranking, set_join, splits, tfidf, token_blocking
+from .operators import blocking, classifiers, clustering, compare, evaluate, fellegi_sunter, neighbourhoods, neighbours, pairs, ranking, set_join, splits, tfidf, token_blocking
 from .sources import tables
 from .spec import BlockingRule, Comparison
 from .storage import shared_dir, stored
@@ -243,10 +243,9 @@ graph AS (
     FROM mem l JOIN mem r ON l.block = r.block AND l.id < r.id JOIN own a ON a.id = l.id JOIN own z ON z.id = r.id, total GROUP BY l.id, r.id)"""
 
 
-def doc_graph(spark: SparkSession, d: str) -> DataFrame:
+def doc_graph(spark: SparkSession, d: str, columns: tuple[str, ...] | None = ("common", "bl", "br", "blocks")) -> DataFrame:
     """The blocking graph of documents: blocks that the automatic purge leaves, each document in 80 % of its own."""
-    blocks = token_blocking.purge(token_blocking.token_blocks(doc_records(spark, d), ["text"]))
-    return token_blocking.edges(stored(token_blocking.filter_blocks(blocks, 0.8), "blocks"))
+    return neighbourhoods.graph_of(stored(token_blocking.pruned_blocks(doc_records(spark, d), ["text"]), "blocks"), columns=columns)
 
 
 @query(PURGED_SQL + "SELECT left_id, right_id, common, bl, br, blocks FROM graph")
@@ -261,8 +260,7 @@ SELECT left_id, right_id, CAST(common AS DOUBLE) AS cbs, round(common * ln(block
         / nullif(CAST(bl AS DOUBLE) * br * (blocks - bl) * (blocks - br), 0), 0), 4) AS x2
 FROM graph""")
 def meta_blocking_weights(spark: SparkSession, d: str) -> DataFrame:
-    g = stored(doc_graph(spark, d), "graph")
-    out = g
+    out = doc_graph(spark, d)
     for s in ("CBS", "ECBS", "JS", "COSINE", "DICE", "X2"):
         out = token_blocking.weigh(out, s).withColumnRenamed("weight", s.lower())
     return out.select("left_id", "right_id", "cbs", *[r6(F.col(c)).alias(c) for c in ("ecbs", "js", "cosine", "dice")], F.round("x2", 4).alias("x2"))
@@ -274,7 +272,7 @@ SELECT left_id, right_id, round(arcs, 8) AS arcs, round(arcs / sqrt(cnl * cnr),
 FROM graph""")
 def meta_blocking_normalised(spark: SparkSession, d: str) -> DataFrame:
     """Weights that count a shared block by its comparisons (CN) or members (SN), as read here."""
-    out = stored(doc_graph(spark, d), "graph")
+    out = doc_graph(spark, d, None)
     out = token_blocking.weigh(out, "ARCS").withColumnRenamed("weight", "w_arcs")
     for by, name in (("comparisons", "cn"), ("members", "sn")):
         for how, end in (("sum", ""), ("cosine", "c"), ("dice", "d"), ("jaccard", "j")):
@@ -286,7 +284,7 @@ def meta_blocking_normalised(spark: SparkSession, d: str) -> DataFrame:
 SELECT left_id, right_id, round(common / CAST(bl + br - common AS DOUBLE) * ln(e / CAST(a.v AS DOUBLE)) * ln(e / CAST(z.v AS DOUBLE)), 6) AS ejs
 FROM graph JOIN deg a ON a.id = left_id JOIN deg z ON z.id = right_id, e""")
 def meta_blocking_ejs(spark: SparkSession, d: str) -> DataFrame:
-    return token_blocking.weigh(doc_graph(spark, d), "EJS").select("left_id", "right_id", r6(F.col("weight")).alias("ejs"))
+    return token_blocking.weigh(stored(doc_graph(spark, d), "graph"), "EJS").select("left_id", "right_id", r6(F.col("weight")).alias("ejs"))
 
 
 @query(PURGED_SQL + "SELECT left_id, right_id, CAST(common AS DOUBLE) AS weight FROM graph QUALIFY row_number() OVER (ORDER BY common DESC, left_id, right_id) <= 500")

@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import KEPT_BLOCKS_SQL, NARROW_SQL, PURGED_SQL, SCORED_PAIRS_SQL, doc_records, part_lookup, price_pairs, query, r6, t
+from .catalogue import NARROW_SQL, PURGED_SQL, SCORED_PAIRS_SQL, doc_records, part_lookup, price_pairs, query, r6, t
 from .functions import alignment
 from .functions import similarity as S
 from .operators import canopies, merge_tree, neighbourhoods, predicates, tfidf, token_blocking
@@ -176,8 +176,7 @@ def canopy_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kept_blocks(spark: SparkSession, d: str) -> DataFrame:
-    blocks = token_blocking.purge(token_blocking.token_blocks(doc_records(spark, d), ["text"]))
-    return stored(token_blocking.filter_blocks(blocks, 0.8), "blocks")
+    return stored(token_blocking.pruned_blocks(doc_records(spark, d), ["text"]), "blocks")
 
 
 JS_SQL = "SELECT left_id, right_id, common / CAST(bl + br - common AS DOUBLE) AS w FROM graph"

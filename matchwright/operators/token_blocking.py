@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import spread, stored
 from .topn import top_n
 
 
@@ -37,35 +37,54 @@ def block_sizes(blocks: DataFrame, two_sources: bool = False) -> DataFrame:
     return blocks.groupBy("block").agg(F.count("*").alias("size"), (F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("cardinality"))
 
 
-def purge(blocks: DataFrame, two_sources: bool = False, smoothing: float = 1.025, max_cardinality: int | None = None) -> DataFrame:
-    """Blocks without the oversized ones. Over the distinct block cardinalities, from
-    the largest down, the ratio of all members to all comparisons up to each is
-    compared with its neighbour's; the first cardinality at which it no longer
+def largest_kept(sizes: DataFrame, smoothing: float = 1.025) -> int | None:
+    """The largest cardinality of a block that purging keeps; None: all are kept. Over the
+    distinct cardinalities, from the largest down, the ratio of all members to all comparisons
+    up to each is compared with its neighbour's; the first cardinality at which it no longer
     rises by the smoothing factor is the largest kept."""
+    levels = sizes.groupBy("cardinality").agg(F.sum("size").alias("members"), (F.sum("cardinality")).alias("comparisons"))
+    # One row for each distinct size of a block: some thousands, whatever the data.
+    upto = Window.orderBy("cardinality").rowsBetween(Window.unboundedPreceding, 0)
+    cumulative = levels.select("cardinality", F.sum("members").over(upto).alias("m"), F.sum("comparisons").over(upto).alias("c"))
+    down = Window.orderBy(F.desc("cardinality"))
+    stepped = cumulative.select("cardinality", "m", "c", F.lag("m").over(down).alias("pm"), F.lag("c").over(down).alias("pc"), F.lag("cardinality").over(down).alias("above"))
+    # at the first level (from above) where comparisons fell little for the members lost, the level above stays
+    return stepped.where(F.col("pm").isNotNull() & (F.col("m").cast("double") * F.col("pc") < F.lit(smoothing) * F.col("c") * F.col("pm"))).agg(F.max("above").alias("top")).first()["top"]
+
+
+def purge(blocks: DataFrame, two_sources: bool = False, smoothing: float = 1.025, max_cardinality: int | None = None) -> DataFrame:
+    """Blocks without the oversized ones, see ``largest_kept``."""
     sizes = block_sizes(blocks, two_sources)
     if max_cardinality is None:
-        levels = sizes.groupBy("cardinality").agg(F.sum("size").alias("members"), (F.sum("cardinality")).alias("comparisons"))
-        # One row for each distinct size of a block: some thousands, whatever the data.
-        upto = Window.orderBy("cardinality").rowsBetween(Window.unboundedPreceding, 0)
-        cumulative = levels.select("cardinality", F.sum("members").over(upto).alias("m"), F.sum("comparisons").over(upto).alias("c"))
-        down = Window.orderBy(F.desc("cardinality"))
-        stepped = cumulative.select("cardinality", "m", "c", F.lag("m").over(down).alias("pm"), F.lag("c").over(down).alias("pc"), F.lag("cardinality").over(down).alias("above"))
-        # at the first level (from above) where comparisons fell little for the members lost, the level above stays
-        hit = stepped.where(F.col("pm").isNotNull() & (F.col("m").cast("double") * F.col("pc") < F.lit(smoothing) * F.col("c") * F.col("pm"))).agg(F.max("above").alias("top")).first()
-        max_cardinality = hit["top"]
+        max_cardinality = largest_kept(sizes, smoothing)
         if max_cardinality is None:
             return blocks
     return blocks.join(sizes.where(F.col("cardinality") <= max_cardinality).select("block"), "block")
 
 
-def filter_blocks(blocks: DataFrame, ratio: float = 0.8, two_sources: bool = False) -> DataFrame:
-    """Each record stays in its smallest blocks only: the ``ratio`` share, one at least."""
-    sizes = block_sizes(blocks, two_sources)
+def _smallest(sized: DataFrame, ratio: float) -> DataFrame:
     mine = Window.partitionBy("src", "id")
-    ranked = blocks.join(sizes, "block").withColumns({"__r": F.row_number().over(mine.orderBy("cardinality", "block")), "__n": F.count("*").over(mine)})
+    ranked = sized.withColumns({"__r": F.row_number().over(mine.orderBy("cardinality", "block")), "__n": F.count("*").over(mine)})
     return ranked.where(F.col("__r") <= F.greatest(F.lit(1), F.round(F.col("__n") * ratio))).select("block", "src", "id")
 
 
+def filter_blocks(blocks: DataFrame, ratio: float = 0.8, two_sources: bool = False) -> DataFrame:
+    """Each record stays in its smallest blocks only: the ``ratio`` share, one at least."""
+    return _smallest(blocks.join(block_sizes(blocks, two_sources), "block"), ratio)
+
+
+def pruned_blocks(records: DataFrame, columns: list[str], two_sources: bool = False, smoothing: float = 1.025, ratio: float = 0.8) -> DataFrame:
+    """Token blocks, purged and filtered: the same as the three steps one after another, with
+    the blocks' sizes counted and joined once."""
+    src = F.col("src") if "src" in records.columns else F.lit("a")
+    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
+    rows = stored(spread(records.select(src.alias("src"), "id", text.alias("text"))).select("src", "id", F.explode(tokens(F.col("text"))).alias("block")), "tokens")
+    sizes = stored(block_sizes(rows, two_sources).where("cardinality > 0"), "sizes")
+    top = largest_kept(sizes, smoothing)
+    kept = sizes if top is None else sizes.where(F.col("cardinality") <= top)
+    return _smallest(rows.join(kept.select("block", "cardinality"), "block"), ratio)
+
+
 GRAPH = ("left_id", "right_id", "common", "bl", "br", "blocks", "arcs", "cnl", "cnr", "sizes", "snl", "snr")
 
 

@@ -35,3 +35,10 @@ def dropped(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/stored/" in f}:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew only where it comes in fewer partitions than there are cores, as a
+    table in one small file does; a large table is not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
