@@ -27,7 +27,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("iframe noembed noframes noscript script style svg template textarea xmp math object".split())
+RAW_TAGS = frozenset("iframe noembed noframes noscript script style svg template textarea xmp".split())
 #: Form controls inside a block, whose text is none of the block's.
 CONTROL_TAGS = frozenset("button label select datalist".split())
 #: Words in class, id and role that tell something about an element.
@@ -36,8 +36,8 @@ HINTS = frozenset(
 )
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _QUOTE_OR_END = re.compile(r"=\s*([\"'])|>")
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _CLOSERS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
@@ -128,6 +128,18 @@ def _tokens(page: str):
         yield page[at:], None, False, ""
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names in lower case, and values, of the attributes of a tag; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(attrs.get("style", "")))
+
+
 def leaf_blocks(page: str) -> list[tuple[str, Path, float]]:
     """(text, path of the open elements, share of the text inside links) of each leaf
     block with text. A path's marks are tags and ``#hint`` words. Time is linear in
@@ -138,7 +150,8 @@ def leaf_blocks(page: str) -> list[tuple[str, Path, float]]:
     count: dict[str, int] = {}
     parts: list[str] = []
     linked = links = 0
-    control = None
+    #: A control or a hidden inline element whose text is left out: its tag, the depth it stands at, how often its tag is open.
+    unread: list = []
 
     def end_block() -> None:
         nonlocal parts, linked
@@ -151,26 +164,29 @@ def leaf_blocks(page: str) -> list[tuple[str, Path, float]]:
     def close_to(depth: int) -> None:
         while len(stack) > depth:
             count[stack.pop().tag] -= 1
+        if unread and depth < unread[1]:  # what was never closed ends with its block
+            unread.clear()
 
     for raw, name, closing, attrs in _tokens(page):
         if name is None:
-            if control is None:
+            if not unread:
                 text = html.unescape(raw) if "&" in raw else raw
                 parts.append(text)
                 if links:
                     linked += len(text.strip())
         elif name == "br":
             parts.append(" ")
+        elif unread and name == unread[0]:
+            unread[2] += -1 if closing else 1
+            if not unread[2]:
+                unread.clear()
         elif name in CONTROL_TAGS:
-            if not closing:
-                control = control or name
-            elif name == control:
-                control = None
+            if not closing and not unread:
+                unread[:] = [name, len(stack), 1]
         elif name in VOID_TAGS:
             if name == "hr":
                 end_block()
         elif name in BLOCK_TAGS:
-            control = None  # a control that was never closed ends with its block
             end_block()
             if closing:
                 if count.get(name):
@@ -187,16 +203,18 @@ def leaf_blocks(page: str) -> list[tuple[str, Path, float]]:
                     close_to(min(shut))
             marks = [name]
             if attrs:
-                if _HIDDEN.search(attrs):
+                found = attributes(attrs)
+                if hidden(found):
                     marks.append("#hidden")
-                hints: set[str] = set()
-                for a in _ATTR.finditer(attrs):
-                    hints |= {"#" + h for x in _WORD.findall(a[2] or a[3] or a[4] or "") if (h := hint(x.lower()))}
+                hints = {"#" + h for a in ("class", "id", "role") for x in _WORD.findall(found.get(a, "")) if (h := hint(x.lower()))}
                 marks += sorted(hints)
             stack.append(stack[-1].child(tuple(marks)))
             count[name] = count.get(name, 0) + 1
-        elif name == "a":
-            links = max(0, links - 1) if closing else links + 1
+        else:
+            if name == "a":
+                links = max(0, links - 1) if closing else links + 1
+            if attrs and not closing and not unread and not attrs.endswith("/") and hidden(attributes(attrs)):
+                unread[:] = [name, len(stack), 1]
     end_block()
     return blocks
 
@@ -335,7 +353,14 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
         def junk(where: str) -> None:
             kind = rng.randrange(11)
             if kind == 0:
-                say("div", words(3, 25), False, attr("ad", "ads", "advert", "banner", "sponsored", "promo-box"))
+                tag, hints = rng.choice(["div", "div", "section", "aside", "p", "figure", "li"]), attr("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo-box", "ad-slot")
+                if rng.random() < 0.5 or tag in ("p", "li"):
+                    say(tag, words(3, 40), False, hints)
+                else:
+                    out.append(f"<{tag}{hints}>")
+                    for _ in range(rng.randint(1, 3)):
+                        say(rng.choice(["p", "p", "div", "h3", "h4"]), words(3, 40), False)
+                    out.append(f"</{tag}>")
             elif kind == 1:
                 out.append(f'<aside{attr("sidebar", "widget", "related-posts") if rng.random() < 0.6 else ""}>')
                 for _ in range(rng.randint(1, 4)):
@@ -344,10 +369,24 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
             elif kind == 2:
                 say(rng.choice(["div", "section"]), words(5, 30), False, attr("cookie-notice", "notice", "gdpr-consent", "alert", "newsletter", "subscribe-box"))
             elif kind == 3:
-                out.append(f'<section{attr("comments", "comment-list", "discussion", "replies")}>')
+                tag = rng.choice(["section", "div", "div", "ol", "ul", "aside"])
+                out.append(f'<{tag}{attr("comments", "user-comments", "comment-list", "commentlist", "discussion", "replies", "reader-comments")}>')
+                if rng.random() < 0.3 and tag not in ("ol", "ul"):
+                    say(rng.choice(["h2", "h3", "h4"]), words(1, 4, False), False)
                 for _ in range(rng.randint(1, 6)):
-                    say(rng.choice(["p", "div"]), words(3, 60), False, rng.choice(["", attr("comment", "reply", "comment-body")]))
-                out.append("</section>")
+                    own = rng.choice(["", "", attr("comment", "reply", "comment-body")])
+                    if tag in ("ol", "ul"):
+                        nested = rng.random() < 0.5
+                        out.append("<li>" if nested else "")
+                        say("p" if nested else "li", words(3, 60), False, own)
+                        out.append("</li>" if nested else "")
+                    elif rng.random() < 0.4:
+                        out.append(f'<{(inner := rng.choice(["div", "article", "blockquote"]))}{own}>')
+                        say(rng.choice(["p", "div"]), words(3, 60), False)
+                        out.append(f"</{inner}>")
+                    else:
+                        say(rng.choice(["p", "p", "div"]), words(3, 60), False, own)
+                out.append(f"</{tag}>")
             elif kind == 4:
                 out.append(f'<form{attr("search", "login", "signup-form") if rng.random() < 0.5 else ""}>')
                 say(rng.choice(["p", "div", "legend"]), words(1, 12, rng.random() < 0.5), False)
@@ -443,7 +482,10 @@ def labelled_pages(count: int = 400, seed: int = 17) -> list[tuple[str, list[boo
 
 
 def main_text(field: Field, page: str | None) -> str:
+    """The blocks that the field labels as article; a page without any element is its text."""
     blocks = leaf_blocks(page or "")
+    if all(path.depth == 0 for _, path, _ in blocks):
+        return "\n\n".join(b[0] for b in blocks)
     return "\n\n".join(b[0] for b, keep in zip(blocks, field.decode(blocks)) if keep)
 
 
