@@ -191,10 +191,11 @@ _run = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class Codec:
     """Encodes and decodes batches of texts with a parsed model."""
 
-    def __init__(self, m: SpModel, check: bytes | None = None):
-        """check: the model file, if each distinct chunk is to be compared with the
-        sentencepiece library as well."""
-        self.m = m
+    def __init__(self, m: SpModel, check: bytes | None = None, chunks: bool = True):
+        """check: the model file, if the sentencepiece library is to be at hand. chunks: each
+        distinct chunk is compared with it as it comes (``equal``); raw texts are compared
+        when ``all_equal`` is asked."""
+        self.m, self.by_chunk = m, check is not None and chunks
         #: Chunks, or texts that cannot be cut, that the sentencepiece library encodes otherwise.
         self.unequal: set[str] = set()
         self.other = None
@@ -231,7 +232,7 @@ class Codec:
         for i, c in enumerate(chunks):
             if self.level and c.startswith(MARK * 3):
                 out[i] = self._marked(c)
-        if self.other is not None:
+        if self.by_chunk:
             lead = 1 if self.m.dummy_prefix else 0
             for c, want, ids in zip(chunks, self.other.encode([c[lead if c[:1] == MARK else 0 :] for c in chunks]), out):
                 if want != ids and not self._tied(want, ids):
@@ -283,7 +284,7 @@ class Codec:
         """The ids of all texts and how many each has."""
         if not self.cuts:
             got = self.tok.encode_batch_fast([self.normalise(t) for t in texts], add_special_tokens=False)
-            if self.other is not None:
+            if self.by_chunk:
                 self.unequal |= {t for t, e, want in zip(texts, got, self.other.encode(texts)) if e.ids != want}
             sizes = np.array([len(e.ids) for e in got], dtype=np.int64)
             return np.array([i for e in got for i in e.ids], dtype=np.uint32), sizes
@@ -298,13 +299,22 @@ class Codec:
         return t.split(MARK) if t else []
 
     def equal(self, text: str) -> bool:
-        """Whether a text that was encoded has the ids of the sentencepiece library."""
+        """Whether all chunks of a text that was encoded have the ids of the sentencepiece library."""
         if not self.unequal:
             return True
         if not self.cuts:
             return text not in self.unequal
         return not any((c if k == 0 else MARK + c) in self.unequal for k, c in enumerate(self._split(text)))
 
+    def all_equal(self, texts: list[str], ids: np.ndarray, edges: np.ndarray) -> list[bool]:
+        """Whether the sentencepiece library gives the same ids for each raw text: cuts, normaliser
+        and all. ids holds those of all texts, edges where each begins and ends. Each distinct
+        text is encoded once."""
+        place = {t: i for i, t in enumerate(texts)}
+        known = dict(zip(place, self.other.encode(list(place), num_threads=1)))
+        same = lambda want, own: want == own or self._tied(want, own)
+        return [same(known[t], ids[edges[i] : edges[i + 1]].tolist()) for i, t in enumerate(texts)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: pieces' bytes, markers as spaces, without the first
         space of a dummy prefix; bytes that are no UTF-8 become U+FFFD."""
@@ -325,15 +335,15 @@ def codec(model: bytes, check: bool = False) -> Codec:
     key = zlib.crc32(model), check
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(parse(model), model if check else None)
+        _codecs[key] = Codec(parse(model), model if check else None, chunks=False)
     return _codecs[key]
 
 
 def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", keep_ids: bool = False, place: str | None = None, check: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_chars, round_trip[, parity][, ids][, place]) of each
     row, rows in the order of ``docs``. place: a whole-number column that is carried along.
-    check: add parity, whether the sentencepiece library gives the same ids for every
-    chunk of the text (each distinct chunk is compared once).
+    check: add parity, whether the sentencepiece library gives the same ids for the whole
+    raw text.
 
     ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip:
     whether the ids decode to the very text; it fails where the model's
@@ -370,7 +380,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
                     same.append(back == t)
                 columns = [keys.slice(at, end - at), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(chars, pa.int64()), pa.array(same, pa.bool_())]
                 if check:
-                    columns.append(pa.array([c.equal(t) for t in raw], pa.bool_()))
+                    columns.append(pa.array(c.all_equal(raw, ids, edges), pa.bool_()))
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(wide.view("<i4"), pa.int32())))
                 if place:

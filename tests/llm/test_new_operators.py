@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from matchwright.llm import queries, simhash_dedup
+from matchwright.llm import html_extraction, queries, sentencepiece_backend, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "\n\n", "x " * 50_000, "é ß 日本 😀", "same text here", "same text here", "1 2 3 !!", "\u0000", "A b c\x1cd E", "<|endoftext|> <s>"]
@@ -128,3 +128,69 @@ def test_thresholds_of_least_cost():
     groups = simhash_dedup.correlated_parts(bits.T @ bits, 500, 4)
     assert sorted(b for g in groups for b in g) == list(range(64))
     assert all(any({b, b + 40} <= set(g) for g in groups) for b in range(8))
+
+
+# ---------------------------------------------------------------- pages, mended
+
+FIRST = "The first long paragraph of the article tells something about the town and its people, at some length."
+SECOND = "The second paragraph goes on about the same matter, and adds some more to what was said before."
+
+
+def article(piece, opener="<article>"):
+    return f"<html><body><nav><ul><li><a href=x>home</a></li></ul></nav>{opener}<h1>Title here</h1><p>{FIRST}</p>{piece}<p>{SECOND}</p></article><footer><p>Copyright foo</p></footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [
+        *[f'<{tag} class="{hint}"><p>LEAK I do not agree with this at all, it is wrong.</p><p>LEAK Nor do I.</p></{tag}>' for tag in ("div", "section", "aside") for hint in ("comments", "user-comments", "discussion")],
+        '<ol class="comment-list"><li>LEAK I do not agree with this at all.</li><li>LEAK Nor do I.</li></ol>',
+        *[f'<div class="{hint}"><p>LEAK Buy our great product now, it is cheap and good for you.</p></div>' for hint in ("advert", "ad", "sponsored")],
+        "<button><div>LEAK Click me</div></button>",
+        "<label><p>LEAK a label</p></label>",
+        "<select><option>LEAK one<option>LEAK two</select>",
+        '<div aria-hidden="true"><p>LEAK not to be seen by anybody who reads this page.</p></div>',
+    ],
+)
+def test_extraction_leaves_out_a_piece_and_nothing_else(piece):
+    assert html_extraction.main_text(html_extraction.default_field(), article(piece)) == f"Title here\n\n{FIRST}\n\n{SECOND}"
+
+
+@pytest.mark.parametrize(
+    "piece, text",
+    [
+        ('<p title="the hidden life of trees">Trees live long lives and nobody sees it happen.</p>', "Trees live long lives and nobody sees it happen."),
+        ("<p data-x='display:none'>Trees live long lives and nobody sees it happen.</p>", "Trees live long lives and nobody sees it happen."),
+        ("<p>Some visible text <span hidden>LEAK <span>LEAK</span> LEAK</span>goes on here.</p>", "Some visible text goes on here."),
+        ('<p>Some visible text <i style="color:red;display : none">LEAK</i>goes on here.</p>', "Some visible text goes on here."),
+        ("<p>Here the number <math><mi>n</mi></math> is <object>large</object>, as was said.</p>", "Here the number n is large, as was said."),
+        ("<p>Text before a control that nobody closed <button>LEAK copy</p>", "Text before a control that nobody closed"),
+    ],
+)
+def test_extraction_keeps_all_of_a_block_but_what_is_hidden(piece, text):
+    assert html_extraction.main_text(html_extraction.default_field(), article(piece)) == f"Title here\n\n{FIRST}\n\n{text}\n\n{SECOND}"
+
+
+def test_extraction_of_articles_with_odd_attributes_and_of_plain_text():
+    field = html_extraction.default_field()
+    for opener in ('<article data-title="a hidden gem">', "<article title='x hidden y' data-hidden=1>"):
+        assert html_extraction.main_text(field, article("", opener)) == f"Title here\n\n{FIRST}\n\n{SECOND}"
+    assert html_extraction.main_text(field, "Plain  text\nwithout tags &amp; so on.") == "Plain text without tags & so on."
+    assert html_extraction.main_text(field, "") == "" and html_extraction.attributes("a=1 B='x y' hidden c = \"z\" a=2") == {"a": "1", "b": "x y", "hidden": "", "c": "z"}
+
+
+# ---------------------------------------------------------------- SentencePiece parity
+
+
+def test_sentencepiece_parity_is_of_raw_texts(spark):
+    """Texts that end in spaces or are made of them, markers, control characters; a codec that
+    cuts or normalises wrongly is found out."""
+    with open(queries.vocabulary("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    texts = ["hello world ", " ", "   ", "", None, "▁", "a ▁ b", " lead", "\t\n", "\u0000x", "two  spaces ", "é ß 日本 😀 ", "<s> </s>"]
+    rows = sentencepiece_backend.encode(documents(spark, texts), model, check=True).collect()
+    assert len(rows) == len(texts) and all(r["parity"] for r in rows)
+    wrong = sentencepiece_backend.Codec(sentencepiece_backend.parse(model), model)
+    wrong.normalise = lambda text: text.replace(" ", "▁")
+    ids, sizes = wrong.encode(["hello world"])
+    assert wrong.all_equal(["hello world"], ids, np.array([0, len(ids)])) == [False]
