@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .catalogue import NARROW_SQL, PURGED_SQL, SCORED_PAIRS_SQL, doc_records, part_lookup, price_pairs, query, r6, t
 from .functions import alignment
 from .functions import similarity as S
-from .operators import canopies, merge_tree, neighbourhoods, predicates, tfidf, token_blocking
+from .operators import canopies, merge_tree, neighbourhoods, nn_descent, predicates, sampling, tfidf, token_blocking
+from .plans import pipelines
 from .storage import stored
 
 # ---------------------------------------------------------------- generated predicates
@@ -136,6 +137,14 @@ def learned_predicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return predicates.predicate_pairs(records, None, [c.predicate for c in chosen])
 
 
+@query()
+def blocked_training_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Draws of client pairs, nine in ten from blocks of one address or one name, with weights that undo it."""
+    records = clients(spark, d)
+    kinds = [predicates.Predicate((("email", "whole"),)), predicates.Predicate((("name", "tokens"), ("city", "whole")))]
+    return sampling.blocked_sample(records, None, kinds, 5 * records.count())
+
+
 # ---------------------------------------------------------------- index predicates
 
 GRAMS_SQL = """
@@ -285,3 +294,40 @@ def hybrid_similarities(spark: SparkSession, d: str) -> DataFrame:
     """Each word's best match in the other text, on average."""
     scored = S.on_distinct_pairs(part_lookup(spark, d), "p_type_l", "p_type_r", {"monge_elkan": r6(alignment.monge_elkan(F.col("l"), F.col("r")))})
     return scored.select("left_id", "right_id", "monge_elkan")
+
+
+# ---------------------------------------------------------------- neighbours and whole flows
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query()
+def nn_descent_graph(spark: SparkSession, d: str) -> DataFrame:
+    """About the five nearest of each vector, without comparing all: ``knn_blocking`` has the exact ones."""
+    return nn_descent.nearest_neighbours(vectors(spark, d), 5)
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT a.vec_id AS l, b.vec_id AS r, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+k AS (SELECT l, r FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS rank FROM s) WHERE rank <= 5 AND score >= 0.5),
+e AS (SELECT l, r FROM k UNION ALL SELECT r, l FROM k),
+reach(node, root) AS (SELECT DISTINCT l, l FROM e UNION SELECT e.r, root FROM reach JOIN e ON e.l = reach.node AND root < e.r),
+g AS (SELECT node, min(root) AS c FROM reach GROUP BY node)
+SELECT vec_id AS node, coalesce(c, vec_id) AS cluster_id FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN g ON node = vec_id""")
+def embedding_blocking_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors, their five nearest, a distance, components."""
+    return pipelines.EmbeddingBlocking(5, 0.5).clusters(vectors(spark, d))
+
+
+CLIENT_TYPES = {"name": "String", "email": "ShortString", "city": "ShortString", "nation_id": "Numeric", "balance": "Numeric"}
+
+
+@query()
+def evaluate_learned_matcher(spark: SparkSession, d: str) -> DataFrame:
+    """Clients against their masters with no rule given: learned blocking, a learner, a swept merge tree."""
+    records = clients(spark, d)
+    kept = stored(client_labels(records).withColumn("part", F.pmod(F.xxhash64("left_id"), F.lit(3))), "labelled")
+    splits = [kept.where(F.col("part") == i).drop("part") for i in range(3)]
+    return pipelines.LearnedMatcher(CLIENT_TYPES, tuple(CLIENT_TYPES)).run(records, *splits)

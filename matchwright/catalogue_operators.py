@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import CURVE_SQL, FS, LEVELS_SQL, NARROW_SQL, RANKS_SQL, SCORED_SQL, bipartite, flagship_document_groups, items, labelled_pairs, part_lookup, part_pairs, parts, query, r6, results, scored_labels, sharing, t
+from .functions import chi2
 from .functions import normalize as N
 from .functions import similarity as S
 from .operators import blocking, classifiers, clustering, compare, evaluate, fellegi_sunter, pairs, ranking, splits, tfidf
@@ -80,13 +81,17 @@ def result_partitions(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("config", "n")
 
 
-@query("SELECT 'p_brand' AS \"column\", 0.5::DOUBLE AS prior, 0.9::DOUBLE AS agree UNION ALL SELECT 'p_name', 0.5, 0.7 UNION ALL SELECT 'p_type', 0.5, 0.7")
+@query(f"""
+WITH l AS ({LEVELS_SQL}) SELECT 'p_name' AS "column", 0.5::DOUBLE AS prior, round(avg(CAST(gn = 2 AS INTEGER)), 6) AS agree FROM l
+UNION ALL SELECT 'p_brand', 0.5, round(avg(gb), 6) FROM l UNION ALL SELECT 'p_type', 0.5, round(avg(gt), 6) FROM l""")
 def model_saved_and_patched(spark: SparkSession, d: str) -> DataFrame:
-    """A model written as JSON and read again with another prior."""
+    """A model with the level shares of given pairs, written as JSON and read again with another prior."""
+    rec = parts(spark, d)
+    m = fellegi_sunter.level_shares(compare.with_levels(pairs.lookup(part_pairs(spark, d).drop("match_key"), rec, rec), FS.comparisons), FS.comparisons)
     path = _fresh(spark, "model")
-    tables.save_model(json.loads(json.dumps(FS.as_dict())), path, spark)
-    m = fellegi_sunter.Model.from_dict(tables.load_model(path, spark, prior=0.5))
-    return spark.createDataFrame([(c, m.prior, x[max(x)]) for c, x in m.m.items()], "column string, prior double, agree double")
+    tables.save_model(json.loads(json.dumps(fellegi_sunter.Model(FS.comparisons, m, FS.u, FS.prior).as_dict())), path, spark)
+    read = fellegi_sunter.Model.from_dict(tables.load_model(path, spark, prior=0.5))
+    return spark.createDataFrame([(c, read.prior, round(x[max(x)], 6)) for c, x in read.m.items()], "column string, prior double, agree double")
 
 
 @query("SELECT 'parquet' AS format, count(*) AS files FROM region UNION ALL SELECT 'text', 2")
@@ -251,10 +256,19 @@ def inferred_features(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(compare.auto_features(p, p, ["p_retailprice", "p_size", "p_brand", "p_name"]), "column string, feature string")
 
 
-@query("SELECT 'p_name' AS \"column\", unnest(['jaro_winkler', 'levenshtein', 'jaccard_q3']) AS feature UNION ALL SELECT 'p_type', unnest(['jaccard_words', 'cosine_words']) UNION ALL SELECT 'p_brand', 'exact' UNION ALL SELECT 'p_size', 'num_rel'")
+@query(f"""
+WITH p AS (SELECT *, list_filter(string_split(tl, ' '), lambda w: w <> '') AS x, list_filter(string_split(tr, ' '), lambda w: w <> '') AS y FROM ({NARROW_SQL})),
+f AS (SELECT left_id, right_id, 'p_type jaccard_words' AS feature, len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) AS v FROM p
+    UNION ALL SELECT left_id, right_id, 'p_type cosine_words', coalesce(list_sum(list_transform(list_distinct(list_intersect(x, y)), lambda w: len(list_filter(x, lambda u: u = w)) * len(list_filter(y, lambda u: u = w)))), 0)
+        / sqrt(list_sum(list_transform(list_distinct(x), lambda w: pow(len(list_filter(x, lambda u: u = w)), 2))) * list_sum(list_transform(list_distinct(y), lambda w: pow(len(list_filter(y, lambda u: u = w)), 2)))) FROM p
+    UNION ALL SELECT left_id, right_id, 'p_brand exact', CAST(bl = br AS DOUBLE) FROM p UNION ALL SELECT left_id, right_id, 'p_retailprice num_rel', abs(pl - pr) / greatest(abs(pl), abs(pr)) FROM p)
+SELECT feature, count(*) AS pairs, round(avg(v), 6) AS mean, round(min(v), 6) AS low, round(max(v), 6) AS high FROM f GROUP BY feature""")
 def match_type_features(spark: SparkSession, d: str) -> DataFrame:
-    kinds = {"p_name": "FUZZY", "p_type": "TEXT", "p_brand": "EXACT", "p_size": "NUMERIC", "p_partkey": "DONT_USE"}
-    return spark.createDataFrame(compare.match_type_features(kinds), "column string, feature string")
+    """The features of declared match types over pairs of parts; a column that is not to be used has none."""
+    feats = compare.match_type_features({"p_type": "TEXT", "p_brand": "EXACT", "p_retailprice": "NUMERIC", "p_name": "DONT_USE"})
+    f = compare.feature_table(part_lookup(spark, d), feats)
+    named = F.explode(F.array(*[F.struct(F.lit(f"{c} {k}").alias("feature"), F.col(f"f_{c}_{k}").alias("v")) for c, k in feats])).alias("f")
+    return f.select(named).select("f.*").groupBy("feature").agg(F.count("*").alias("pairs"), r6(F.avg("v")).alias("mean"), r6(F.min("v")).alias("low"), r6(F.max("v")).alias("high"))
 
 
 # ---------------------------------------------------------------- scoring and clusters
@@ -363,12 +377,16 @@ def cluster_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.cluster_metrics(labelled, rec.select(F.col("id").alias("node"), F.col("p_brand").alias("cluster_id"))).select("tp", "fp", "fn", r6(F.col("f1")).alias("f1"))
 
 
-@query("WITH x AS (SELECT 9.5::DOUBLE AS chi2) SELECT chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 8) AS p4, round(exp(-chi2 / 2) * (1 + chi2 / 2 + chi2 * chi2 / 8), 8) AS p6 FROM x")
+@query("""
+WITH o AS (SELECT p_brand AS brand, (p_size - 1) // 10 AS class, count(*) AS n FROM part GROUP BY ALL), b AS (SELECT brand, sum(n) / 5.0::DOUBLE AS e, sum(n * n) AS q, sum(n) AS t FROM o GROUP BY brand),
+x AS (SELECT brand, q / e - t AS chi2 FROM b)
+SELECT brand, round(chi2, 6) AS chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p4, round(exp(-chi2 / 2) * (1 + chi2 / 2 + chi2 * chi2 / 8), 6) AS p6 FROM x""")
 def chi_square_tails(spark: SparkSession, d: str) -> DataFrame:
-    """The p-values of the Friedman test at even degrees of freedom, where they have a closed form."""
-    from .functions import chi2
-
-    return spark.createDataFrame([(9.5, round(chi2.survival(9.5, 4), 8), round(chi2.survival(9.5, 6), 8))], "chi2 double, p4 double, p6 double")
+    """How far each brand's sizes are from even ones over five classes, with the tails that the
+    Friedman test uses, at even degrees of freedom, where they have a closed form."""
+    classes = t(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), F.floor((F.col("p_size") - 1) / 10)).agg(F.count("*").alias("n"))
+    value = (F.sum(F.col("n") * F.col("n")) / (F.sum("n") / 5.0) - F.sum("n")).alias("chi2")
+    return classes.groupBy("brand").agg(value).select("brand", r6(F.col("chi2")).alias("chi2"), r6(chi2.survival_of(F.col("chi2"), 4)).alias("p4"), r6(chi2.survival_of(F.col("chi2"), 6)).alias("p6"))
 
 
 @query(RANKS_SQL + """, m AS (SELECT framework, avg(rk) AS r, row_number() OVER (ORDER BY avg(rk), framework) AS i FROM k GROUP BY framework),

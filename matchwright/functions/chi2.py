@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def gamma_p(a: float, x: float) -> float:
     """Regularised lower incomplete gamma function P(a, x)."""
@@ -52,3 +56,13 @@ def quantile(p: float, k: float) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if cdf(mid, k) < p else (low, mid)
     return (low + high) / 2
+
+
+def survival_of(x: Column, dof: int) -> Column:
+    """``survival`` of a column of statistics, in Arrow batches; null where it is null."""
+
+    @F.arrow_udf("double")
+    def apply(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else survival(v, dof) for v in values.to_pylist()], pa.float64())
+
+    return apply(x)

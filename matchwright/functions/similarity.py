@@ -92,6 +92,7 @@ def on_distinct_pairs(pairs: DataFrame, left: str, right: str, measures: dict[st
 
 def jaro_winkler_thresholds(strictness: float) -> list[float]:
     """Ordinal levels: the strictness, .07 and .15 below it, none above .98."""
+    # fixed values: the steps and the cap
     return sorted({t for x in (strictness, strictness - 0.07, strictness - 0.15) if (t := round(min(x, 0.98), 3)) > 0}, reverse=True)
 
 

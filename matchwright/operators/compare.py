@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import alignment as A
 from ..functions import similarity as S
 from ..spec import Comparison
 
@@ -40,10 +41,11 @@ def with_levels(pairs: DataFrame, comparisons: list[Comparison]) -> DataFrame:
     return pairs
 
 
-def auto_features(left: DataFrame, right: DataFrame, columns: list[str], long_text: float = 5.0) -> list[tuple[str, str]]:
+def auto_features(left: DataFrame, right: DataFrame, columns: list[str], long_text: float = 5.0, alignments: bool = False) -> list[tuple[str, str]]:
     """(column, kind) of generated features by inferred type: numbers get exact,
     absolute and relative differences; texts of one word, of a few and of many
-    get the measures that suit their length. Lengths are averages of both tables."""
+    get the measures that suit their length. Lengths are averages of both tables.
+    alignments: texts of a few words get alignment and hybrid measures as well."""
     kinds = dict(left.dtypes)
     numeric = [c for c in columns if kinds[c] in ("int", "bigint", "double", "float", "smallint", "tinyint") or kinds[c].startswith("decimal")]
     texts = [c for c in columns if kinds[c] == "string"]
@@ -54,10 +56,15 @@ def auto_features(left: DataFrame, right: DataFrame, columns: list[str], long_te
         for c in texts:
             n = mean[c] or 0.0
             short, middle = ("exact", "jaro_winkler", "levenshtein", "jaccard_q3"), ("levenshtein", "jaccard_q3", "cosine_words", "jaccard_words")
-            out += [(c, k) for k in (short if n <= 1.5 else middle if n <= long_text else ("cosine_words", "jaccard_words", "jaccard_q3"))]
+            kinds_of = short if n <= 1.5 else middle if n <= long_text else ("cosine_words", "jaccard_words", "jaccard_q3")
+            out += [(c, k) for k in kinds_of + (("monge_elkan", "needleman_wunsch", "smith_waterman") if alignments and kinds_of is middle else ())]
     return out
 
 
+#: Features that align the two texts, each distinct pair of values once.
+ALIGNED = {"needleman_wunsch": A.NEEDLEMAN_WUNSCH, "smith_waterman": A.SMITH_WATERMAN, "affine_gap": A.AFFINE_COST}
+
+
 def feature_table(pairs: DataFrame, features: list[tuple[str, str]]) -> DataFrame:
     """``pairs`` with one numeric column for each feature, ``f_<column>_<kind>``; null if a side is."""
     for c, kind in features:
@@ -65,6 +72,9 @@ def feature_table(pairs: DataFrame, features: list[tuple[str, str]]) -> DataFram
         if kind == "jaro_winkler":
             pairs = S.with_jaro_winkler(pairs, f"{c}_l", f"{c}_r", to)
             continue
+        if kind in ALIGNED:
+            pairs = A.with_alignment(pairs, f"{c}_l", f"{c}_r", {to: ALIGNED[kind]})
+            continue
         words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
         value = {
             "exact": lambda: S.exact(l, r),
@@ -73,6 +83,7 @@ def feature_table(pairs: DataFrame, features: list[tuple[str, str]]) -> DataFram
             "string_cosine": lambda: S.string_cosine(l, r),
             "cosine_words": lambda: S.multiset_cosine(words(l), words(r)),
             "jaccard_words": lambda: S.jaccard(words(l), words(r)),
+            "monge_elkan": lambda: A.monge_elkan(l, r),
             "num_abs": lambda: F.abs(l.cast("double") - r.cast("double")),
             "num_rel": lambda: S.numeric_features(l, r)["rel"],
             "price": lambda: S.price_similarity(l.cast("double"), r.cast("double")),
@@ -84,7 +95,7 @@ def feature_table(pairs: DataFrame, features: list[tuple[str, str]]) -> DataFram
 
 
 #: Typed comparators of a trained matcher: the features of each field type.
-FIELD_TYPES = {"String": ("levenshtein", "jaccard_q3"), "ShortString": ("jaro_winkler", "levenshtein"), "Text": ("cosine_words",), "Price": ("price",), "Exact": ("exact",), "Numeric": ("num_abs", "num_rel")}
+FIELD_TYPES = {"String": ("affine_gap", "jaccard_q3"), "ShortString": ("jaro_winkler", "levenshtein"), "Text": ("cosine_words",), "Price": ("price",), "Exact": ("exact",), "Numeric": ("num_abs", "num_rel")}
 #: Match types of a learned linker: the features of each.
 MATCH_TYPES = {"FUZZY": ("jaro_winkler", "levenshtein", "jaccard_q3"), "TEXT": ("jaccard_words", "cosine_words"), "EXACT": ("exact",), "NUMERIC": ("num_rel",), "DONT_USE": ()}
 

@@ -1,6 +1,9 @@
 """Public entity-resolution benchmarks as declarations: how their tables are read and
 normalised, which keys block, what is compared by which kind of matcher.
 
+Column names, delimiters, blocking keys and field types in this module are fixed values:
+they must be those of the published data sets and of their usual configurations.
+
 Every preset can be run by any pipeline of ``plans.pipelines``. Sides are bound by
 name, never by the order of two files; ids are normalised on both."""
 

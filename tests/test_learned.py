@@ -12,9 +12,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchwright import catalogue_learned, shipping
 from matchwright.functions import alignment
-from matchwright.operators import canopies, clustering, merge_tree, neighbourhoods, nn_descent, predicates, token_blocking
+from matchwright.operators import canopies, clustering, compare, merge_tree, neighbourhoods, nn_descent, predicates, sampling, token_blocking
 from matchwright.operators.predicates import Predicate
+from matchwright.plans import pipelines
 
 # ---------------------------------------------------------------- generated predicates
 
@@ -143,9 +145,7 @@ def random_blocks(rng, two, n=60):
     return sorted(rows)
 
 
-@pytest.mark.parametrize("two", [False, True])
-@pytest.mark.parametrize("small", [False, True])
-@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("two, small, kind", [(False, False, "long"), (False, True, "string"), (True, False, "string"), (True, True, "long")])
 def test_neighbourhoods_equal_the_graph(spark, monkeypatch, two, small, kind):
     """All columns of the graph, and each pruning against the pruned graph; with chunks, portions
     and slices of any size, ids that two sources share, and a hot block."""
@@ -308,6 +308,17 @@ def test_normalised_and_hybrid(spark):
     assert by["a b", "a"]["m"] == 0.5 and by["a b", "a"]["w"] == 1 and by[None, "a"]["m"] is None
 
 
+def test_aligned_features_of_typed_fields(spark):
+    """A String field is compared with the affine gap; generated features have alignments on request."""
+    rows = spark.createDataFrame([("ab cd", "ab"), (None, "x"), ("same", "same")], "n_l string, n_r string")
+    feats = compare.typed_features({"n": "String"}) + [("n", "needleman_wunsch"), ("n", "smith_waterman"), ("n", "monge_elkan")]
+    got = {r["n_l"]: r for r in compare.feature_table(rows, feats).collect()}
+    assert (got["ab cd"]["f_n_affine_gap"], got["ab cd"]["f_n_needleman_wunsch"], got["ab cd"]["f_n_smith_waterman"], got["ab cd"]["f_n_monge_elkan"]) == (-2.0, -1.0, 2.0, 0.5)
+    assert got["same"]["f_n_affine_gap"] == 0 and got["same"]["f_n_smith_waterman"] == 4 and got[None]["f_n_affine_gap"] is None
+    few = spark.createDataFrame([("a b c",)], "n string")
+    assert ("n", "smith_waterman") in compare.auto_features(few, few, ["n"], alignments=True) and ("n", "smith_waterman") not in compare.auto_features(few, few, ["n"])
+
+
 # ---------------------------------------------------------------- neighbour graphs
 
 
@@ -330,3 +341,69 @@ def test_descent_finds_neighbours(spark):
     assert np.mean([len({o for o, _ in got[i]} & set(best[i].tolist())) / 10 for i in range(601)]) >= 0.9
     assert all(abs(score - s[i, o]) < 1e-9 for i in got for o, score in got[i])
     assert nn_descent.nearest_neighbours(df.limit(0), 10).count() == 0
+
+
+# ---------------------------------------------------------------- whole flows
+
+
+def test_learned_matcher_finds_most_masters(spark):
+    """No rule is given; on another split most clients come together with their masters."""
+    row = catalogue_learned.evaluate_learned_matcher(spark, "/root/testdata/sf0.01").first()
+    assert row["precision"] > 0.8 and row["recall"] > 0.5 and 0.05 <= row["chosen_threshold"] <= 1
+
+
+def test_embedding_flow_with_descent_equals_the_exact_one(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(25, 16)), 8, axis=0) + 0.05 * rng.normal(size=(200, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, None)], "id long, embedding array<double>")
+    found = [{r["node"]: r["cluster_id"] for r in pipelines.EmbeddingBlocking(5, 0.9, exact=e).clusters(df).collect()} for e in (True, False)]
+    assert found[0] == found[1] == {i: i // 8 * 8 for i in range(200)} | {999: 999}
+
+
+def test_package_is_shipped_to_workers(spark):
+    """Every module is in the archive, and a worker can import from it."""
+    import zipfile
+
+    archive = shipping.ship(spark)
+    assert {"matchwright/storage.py", "matchwright/operators/predicates.py"} <= set(zipfile.ZipFile(archive).namelist())
+
+    def run(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([any(p.endswith("matchwright.zip") for p in sys.path)])], names=["found"])
+
+    assert spark.range(1, numPartitions=1).mapInArrow(run, "found boolean").first()["found"]
+
+
+# ---------------------------------------------------------------- training samples
+
+
+@pytest.mark.parametrize("most", [5, 100_000])
+@pytest.mark.parametrize("two", [False, True])
+def test_weights_of_a_blocked_sample_undo_its_bias(spark, two, most):
+    """Weighted counts of all pairs, and of those that agree in a column, near the true ones;
+    most draws from blocks, though a block holds a third of the records; any number in parts."""
+    rng = random.Random(12)
+    rows = [(i, "hot" if i % 3 == 0 else f"w{rng.randrange(40)}", f"c{rng.randrange(6)}") for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, name string, city string")
+    kinds = [Predicate((("name", "whole"),)), Predicate((("name", "whole"), ("city", "whole")))]
+    got = sampling.blocked_sample(df, df if two else None, kinds, 6000, 0.8, most=most).collect()
+    by = {r[0]: r for r in rows}
+    every = [(a, b) for a in by for b in by] if two else list(itertools.combinations(by, 2))
+    assert all((r["left_id"], r["right_id"]) in set(every) for r in got[:50]) and len({(r["left_id"], r["right_id"]) for r in got}) == len(got)
+    agree = lambda a, b: by[a][1] == by[b][1]
+    inside = sum(r["draws"] for r in got if agree(r["left_id"], r["right_id"]))
+    assert abs(sum(r["draws"] for r in got) - 6000) < 150 and inside >= 0.78 * 6000
+    assert abs(sum(r["weight"] for r in got) / len(every) - 1) < 0.1
+    assert abs(sum(r["weight"] for r in got if agree(r["left_id"], r["right_id"])) / sum(agree(*p) for p in every) - 1) < 0.1
+
+
+def test_blocked_sample_without_blocks_or_records(spark):
+    df = spark.createDataFrame([(i, f"w{i}") for i in range(50)], "id long, name string")
+    for kinds in ([], [Predicate((("name", "whole"),))]):
+        got = sampling.blocked_sample(df, None, kinds, 500).collect()
+        assert abs(sum(r["draws"] for r in got) - 500) < 20 and abs(sum(r["weight"] for r in got) - 1225) < 60
+    assert sampling.blocked_sample(df.limit(0), None, [], 10).count() == 0
