@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from matchwright.llm import html_extraction, queries, sentencepiece_backend, simhash_dedup
+from matchwright.llm import html_extraction, language_id, queries, sentencepiece_backend, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "\n\n", "x " * 50_000, "é ß 日本 😀", "same text here", "same text here", "1 2 3 !!", "\u0000", "A b c\x1cd E", "<|endoftext|> <s>"]
@@ -194,3 +194,40 @@ def test_sentencepiece_parity_is_of_raw_texts(spark):
     wrong.normalise = lambda text: text.replace(" ", "▁")
     ids, sizes = wrong.encode(["hello world"])
     assert wrong.all_equal(["hello world"], ids, np.array([0, len(ids)])) == [False]
+
+
+# ---------------------------------------------------------------- language ID, document by document
+
+
+def brute_language(model, text):
+    """Each window by itself, each filter at each place, without folded tables."""
+    data, size = text.encode(), model.window
+    total = np.zeros(len(model.languages))
+    for at in range(0, max(1, len(data)), size):
+        x = language_id._FOLD[np.frombuffer(data[at : at + size].ljust(size), dtype=np.uint8)]
+        hidden = []
+        for w, kernel in zip(language_id.WIDTHS, model.filters):
+            places = [sum(model.embedding[x[p + j]].astype(np.float64) @ kernel[j] for j in range(w)) for p in range(size - language_id.SPAN + 1)]
+            hidden.append(np.max(places, axis=0))
+        z = np.maximum(np.concatenate(hidden) + model.filter_bias, 0) @ model.out + model.out_bias
+        z = np.exp(z - z.max())
+        total += z / z.sum() * (sum(bool(language_id._LETTER[b]) for b in x) + 1e-9)
+    total /= total.sum()
+    return model.languages[int(total.argmax())], total.max()
+
+
+def test_language_of_whole_texts_equals_brute_force(spark):
+    """Texts that end at, before and behind the edges of windows, that change language in later
+    windows, and short ones; every window of a whole text counts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    p = language_id.Params(rows_per_language=30, epochs=2)
+    model = language_id.fit(docs, params=p)
+    by = {r["lang"]: r["text"] for r in docs.where("lang is not null and length(text) > 2000").orderBy("doc_id").collect()}
+    samples = [t for _, t in sorted(by.items())]
+    size = model.window
+    texts = ["a", "é ß 日本", "1 2 3 x", samples[0][: size // 2] + samples[-1][: 3 * size]]
+    texts += [s.encode()[:n].decode(errors="ignore") for s in samples for n in (size - 1, size, size + 1, 2 * size, 3 * size + 7)]
+    got = documents(spark, texts).select("doc_id", language_id.predict(F.col("text"), model).alias("l")).orderBy("doc_id").collect()
+    for r, text in zip(got, texts):
+        want, score = brute_language(model, text)
+        assert r["l"]["lang"] == want and abs(r["l"]["score"] - score) < 1e-3
