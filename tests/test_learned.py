@@ -354,10 +354,10 @@ def test_learned_matcher_finds_most_masters(spark):
 
 def test_embedding_flow_with_descent_equals_the_exact_one(spark):
     rng = np.random.default_rng(3)
-    x = np.repeat(rng.normal(size=(25, 16)), 8, axis=0) + 0.05 * rng.normal(size=(200, 16))
+    x = np.repeat(rng.normal(size=(5, 16)), 40, axis=0) + 0.05 * rng.normal(size=(200, 16))
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, None)], "id long, embedding array<double>")
-    found = [{r["node"]: r["cluster_id"] for r in pipelines.EmbeddingBlocking(5, 0.9, exact=e).clusters(df).collect()} for e in (True, False)]
-    assert found[0] == found[1] == {i: i // 8 * 8 for i in range(200)} | {999: 999}
+    found = [{r["node"]: r["cluster_id"] for r in pipelines.EmbeddingBlocking(10, 0.9, exact=e).clusters(df).collect()} for e in (True, False)]
+    assert found[0] == found[1] == {i: i // 40 * 40 for i in range(200)} | {999: 999}
 
 
 def test_package_is_shipped_to_workers(spark):

@@ -91,7 +91,7 @@ def test_catalogue_agrees_with_sql(spark):
     import duckdb
 
     d, con = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "benchmark"):
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "benchmark", "clients"):
         con.sql(f"create view {name} as select * from '{d}/{name}.parquet'")
     wrong = []
     for name, run in catalogue.QUERIES.items():
