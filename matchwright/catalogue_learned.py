@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalogue import NARROW_SQL, PURGED_SQL, SCORED_PAIRS_SQL, doc_records, part_lookup, price_pairs, query, r6, t
 from .functions import alignment
 from .functions import similarity as S
-from .operators import canopies, merge_tree, neighbourhoods, nn_descent, predicates, sampling, tfidf, token_blocking
+from .operators import blocking_tree, canopies, merge_tree, neighbourhoods, nn_descent, predicates, sampling, tfidf, token_blocking
 from .plans import pipelines
 from .storage import stored
 
@@ -145,6 +145,56 @@ def blocked_training_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.blocked_sample(records, None, kinds, 5 * records.count())
 
 
+# ---------------------------------------------------------------- a tree of functions
+
+LEAF = 20
+
+
+@cache
+def _tree_sql() -> str:
+    """A level of the tree is a group of tables; those past the last level are empty."""
+    levels = []
+    for k in range(len(TEXTS) * (1 + len(predicates.PREFIXES)) + len(NUMBERS) * (1 + len(predicates.WIDTHS))):
+        levels.append(f"""
+weighed{k} AS (SELECT node, ord, name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS c FROM (SELECT node, ord, name, key, count(*) AS n FROM st{k} JOIN fn USING (id) GROUP BY ALL) GROUP BY ALL),
+parted{k} AS (SELECT s.node, a.ord, count(*) FILTER (a.key <> b.key) AS lost FROM known JOIN st{k} s ON s.id = l JOIN st{k} q ON q.id = r AND q.node = s.node JOIN fn a ON a.id = l JOIN fn b ON b.id = r AND a.ord = b.ord GROUP BY ALL),
+split{k} AS MATERIALIZED (
+    SELECT {k} AS level, node, ord, name, n, c, coalesce(lost, 0) AS lost FROM weighed{k} LEFT JOIN parted{k} USING (node, ord) WHERE n > {LEAF} AND c < n * (n - 1) // 2
+    QUALIFY row_number() OVER (PARTITION BY node ORDER BY (n * (n - 1) // 2 - c) / CAST(1 + coalesce(lost, 0) AS DOUBLE) DESC, coalesce(lost, 0), ord) = 1),
+st{k + 1} AS MATERIALIZED (SELECT id, md5(node || chr(31) || s.name || chr(31) || key) AS node FROM st{k} JOIN split{k} s USING (node) JOIN fn USING (id, ord))""")
+    n = len(levels)
+    splits = " UNION ALL ".join(f"SELECT * FROM split{k}" for k in range(n))
+    leaves = " UNION ALL ".join([f"SELECT id, node FROM st{k} WHERE node NOT IN (SELECT node FROM split{k})" for k in range(n)] + [f"SELECT id, node FROM st{n}"])
+    return (
+        _lattice_sql()
+        + f""",
+fn AS MATERIALIZED (
+    SELECT client_id AS id, f.ord, f.pred AS name, coalesce(key, '') AS key FROM clients CROSS JOIN (SELECT DISTINCT ord, pred FROM keys WHERE many = 0) f LEFT JOIN keys ON keys.id = client_id AND keys.ord = f.ord),
+known AS (SELECT l, r FROM lab WHERE label = 1), st0 AS (SELECT client_id AS id, '' AS node FROM clients),"""
+        + ",".join(levels)
+        + f", splits AS ({splits}), leaves AS MATERIALIZED ({leaves})"
+    )
+
+
+def client_tree(spark: SparkSession, d: str) -> tuple[DataFrame, blocking_tree.BlockingTree]:
+    records = clients(spark, d)
+    return records, blocking_tree.learn_tree(records, client_labels(records).where("label = 1"), CLIENT_COLUMNS, LEAF)
+
+
+@query(_tree_sql() + "\nSELECT level, node, name AS function, n, c AS comparisons, lost FROM splits")
+def blocking_tree_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The learned tree of functions: how each node splits its clients and what that costs."""
+    _, tree = client_tree(spark, d)
+    return tree.splits.drop("f")
+
+
+@query(_tree_sql() + "\nSELECT a.id AS left_id, b.id AS right_id FROM leaves a JOIN leaves b ON a.node = b.node AND a.id < b.id")
+def blocking_tree_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of clients that end in one leaf."""
+    records, tree = client_tree(spark, d)
+    return tree.pairs(records)
+
+
 # ---------------------------------------------------------------- index predicates
 
 GRAMS_SQL = """
