@@ -8,10 +8,10 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import NARROW_SQL, PURGED_SQL, SCORED_PAIRS_SQL, doc_records, part_lookup, price_pairs, query, r6, t
+from .catalogue import NARROW_SQL, PURGED_SQL, SCORED_PAIRS_SQL, doc_records, labelled_pairs, part_lookup, price_pairs, query, r6, t
 from .functions import alignment
 from .functions import similarity as S
-from .operators import blocking_tree, canopies, merge_tree, neighbourhoods, nn_descent, predicates, sampling, tfidf, token_blocking
+from .operators import blocking_tree, canopies, classifiers, compare, merge_tree, neighbourhoods, nn_descent, predicates, sampling, tfidf, token_blocking
 from .plans import pipelines
 from .storage import stored
 
@@ -381,3 +381,13 @@ def evaluate_learned_matcher(spark: SparkSession, d: str) -> DataFrame:
     kept = stored(client_labels(records).withColumn("part", F.pmod(F.xxhash64("left_id"), F.lit(3))), "labelled")
     splits = [kept.where(F.col("part") == i).drop("part") for i in range(3)]
     return pipelines.LearnedMatcher(CLIENT_TYPES, tuple(CLIENT_TYPES)).run(records, *splits)
+
+
+@query()
+def kernel_machine_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Probabilities of the Gaussian kernel machine for all labelled pairs of parts."""
+    feats = [("p_name", "levenshtein"), ("p_name", "jaccard_q3"), ("p_type", "jaccard_words"), ("p_brand", "exact"), ("p_retailprice", "num_rel")]
+    rows = stored(compare.feature_table(labelled_pairs(spark, d), feats), "features")
+    names = [f"f_{c}_{k}" for c, k in feats]
+    model = classifiers.train(rows.select("label", *names), names, classifiers.Config("rbf", balanced=True))
+    return classifiers.score(rows, model).select("left_id", "right_id", "label", r6(F.col("score")).alias("score"))

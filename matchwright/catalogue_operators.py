@@ -423,7 +423,7 @@ def imputed_mean(spark: SparkSession, d: str) -> DataFrame:
     return classifiers.train(rows, ["f"], classifiers.Config("tree")).stages[0].surrogateDF.select(F.col("f").alias("mean"))
 
 
-KINDS = ("logistic", "forest", "boosting", "tree", "bayes", "svm", "rbf")
+KINDS = ("logistic", "forest", "boosting", "tree", "bayes", "svm", "rbf", "fourier")
 
 
 @query("SELECT unnest(['" + "', '".join(KINDS) + "']) AS learner, count(*) AS pairs, count(*) AS correct FROM part WHERE p_size <= 15 OR p_size >= 36")
