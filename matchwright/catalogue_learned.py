@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalogue import NARROW_SQL, PURGED_SQL, SCORED_PAIRS_SQL, doc_records, labelled_pairs, part_lookup, price_pairs, query, r6, t
 from .functions import alignment
 from .functions import similarity as S
-from .operators import blocking_tree, canopies, classifiers, compare, merge_tree, neighbourhoods, nn_descent, predicates, sampling, tfidf, token_blocking
+from .operators import blocking_tree, canopies, classifiers, compare, merge_tree, neighbourhoods, nn_descent, predicates, sampling, tfidf, token_blocking, word_vectors
 from .plans import pipelines
 from .storage import stored
 
@@ -391,3 +391,38 @@ def kernel_machine_scores(spark: SparkSession, d: str) -> DataFrame:
     names = [f"f_{c}_{k}" for c, k in feats]
     model = classifiers.train(rows.select("label", *names), names, classifiers.Config("rbf", balanced=True))
     return classifiers.score(rows, model).select("left_id", "right_id", "label", r6(F.col("score")).alias("score"))
+
+
+# ---------------------------------------------------------------- vectors from the texts themselves
+
+MET_SQL = """
+WITH w AS (SELECT list_filter(regexp_split_to_array(lower(coalesce(p_name, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM part),
+places AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w),
+one AS (SELECT w[i] AS word, unnest(w[i + 1:i + 4]) AS other FROM places),
+met AS (SELECT word, other, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT other, word FROM one) GROUP BY word, other)"""
+
+
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    return word_vectors.cooccurrences(t(spark, d, "part"), "p_name", 4)
+
+
+@query(MET_SQL + " SELECT word, other, n FROM met")
+def word_cooccurrences(spark: SparkSession, d: str) -> DataFrame:
+    """How often words stand near each other in the names of parts."""
+    return word_counts(spark, d)
+
+
+@query(MET_SQL + """, s AS (SELECT word, sum(n) AS s FROM met GROUP BY word),
+i AS (SELECT word, other, ln(n * (SELECT sum(n) FROM met) / (CAST(a.s AS DOUBLE) * b.s)) AS weight FROM met JOIN s a USING (word) JOIN s b ON b.word = other)
+SELECT word, other, round(weight, 6) AS weight FROM i WHERE weight > 1e-9""")
+def word_information(spark: SparkSession, d: str) -> DataFrame:
+    """What the counts say beyond chance: the matrix whose factors are the vectors."""
+    return word_vectors.information(stored(word_counts(spark, d), "counts")).where("weight > 1e-9").select("word", "other", r6(F.col("weight")).alias("weight"))
+
+
+@query()
+def learned_record_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all parts, which come from their names alone."""
+    vectors = word_vectors.word_vectors(word_vectors.information(stored(word_counts(spark, d), "counts")), 8)
+    placed = word_vectors.record_vectors(t(spark, d, "part").withColumnRenamed("p_partkey", "id"), "p_name", stored(vectors, "vectors"), 8)
+    return placed.select("id", F.transform("embedding", r6).alias("embedding"))
