@@ -182,6 +182,22 @@ def test_weights_in_place_equal_those_of_the_graph(spark):
             assert all(math.isclose(got[p], want[p], rel_tol=1e-9) for p in want)
 
 
+def test_copies_of_postings_follow_the_postings_not_the_pairs(spark, monkeypatch):
+    """Full blocks: 24 x 120 postings hold 345,600 neighbours, and travel six times, not 346."""
+    monkeypatch.setattr(neighbourhoods, "HELD", 1000)
+    blocks = spark.createDataFrame([(f"b{b}", "a", i) for b in range(24) for i in range(120)], "block string, src string, id long")
+    assert neighbourhoods.entity_index(blocks).groups == 6
+    rows = neighbourhoods.graph_of(blocks, columns=("common",)).collect()
+    assert len(rows) == 120 * 119 // 2 and {r["common"] for r in rows} == {24}
+
+
+def test_degree_weights_in_place_equal_those_of_the_graph(spark):
+    blocks = spark.createDataFrame(random_blocks(random.Random(6), False), "block string, src string, id long")
+    want = {(r["left_id"], r["right_id"]): r["weight"] for r in token_blocking.weigh(token_blocking.edges(blocks).cache(), "EJS").collect()}
+    got = {(r["left_id"], r["right_id"]): r["weight"] for r in neighbourhoods.weighted_graph(blocks, "EJS").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], rel_tol=1e-9, abs_tol=1e-12) for p in want)
+
+
 def test_pruning_of_no_blocks(spark):
     empty = spark.createDataFrame([], "block string, src string, id long")
     for found in (neighbourhoods.node_pruning(empty, 3), neighbourhoods.edge_pruning(empty, 3), neighbourhoods.mean_edge_pruning(empty), neighbourhoods.graph_of(empty), neighbourhoods.mean_node_pruning(empty)):
