@@ -2,29 +2,97 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import vector_cosine, vector_euclidean
+from .tiles import runs, whole
+
+
+#: Vectors of one side of a tile at most; queries compared at once.
+HELD = 8192
+ROWS = 512
+#: Pairs scored at once, about.
+PAIRS = 100_000
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, added up in the order of the components: equal vectors score equal."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total = total + a[:, k] * b[:, k]
+    return total
+
+
+def _near(rows: pa.Table, k: int, measure: str, exclude_self: bool):
+    """Each query's ``k`` best of a tile, ties to the smaller id. Products of whole blocks
+    choose, with room for their rounding; what they choose is scored anew."""
+    ids, vectors = whole(rows, "id"), whole(rows, "vector")
+    code = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    query = np.asarray(whole(rows, "query").to_numpy(zero_copy_only=False), dtype=bool)
+    length = np.diff(np.asarray(vectors.offsets))
+    edges, values = np.asarray(vectors.offsets), np.asarray(vectors.values)
+    for n in np.unique(length):
+        same = np.flatnonzero(length == n)
+        x = values[edges[same][:, None] + np.arange(n)]
+        square = _dots(x, x)
+        fine = square != 0 if measure == "cosine" else np.ones(len(same), bool)
+        q, r = np.flatnonzero(query[same] & fine), np.flatnonzero(~query[same] & fine)
+        if not len(q) or not len(r):
+            continue
+        u = x / np.sqrt(square)[:, None] if measure == "cosine" else x
+        room = 1e-9 if measure == "cosine" else 1e-11 * (1 + square[r].max())
+        for at in range(0, len(q), ROWS):
+            some = q[at : at + ROWS]
+            about = u[some] @ u[r].T if measure == "cosine" else 2 * (u[some] @ u[r].T) - square[r]
+            about[~np.isfinite(about)] = np.inf  # nothing is known: these are scored
+            if exclude_self:
+                about[code[same[some]][:, None] == code[same[r]][None, :]] = -np.inf
+            most = min(k, len(r))
+            bar = np.partition(about, len(r) - most, axis=1)[:, len(r) - most]
+            i, j = np.nonzero((about >= bar[:, None] - room * (1 + (square[some][:, None] if measure == "euclidean" else 0))) & (about > -np.inf))
+            # equal vectors may be very many: they are scored in parts
+            cuts = np.searchsorted(i, np.unique(i[:: max(1, PAIRS // 2)]))
+            for i, j in zip(np.split(some[i], cuts[1:]), np.split(r[j], cuts[1:])):
+                if measure == "cosine":
+                    score = _dots(x[i], x[j]) / (np.sqrt(square[i]) * np.sqrt(square[j]))
+                else:
+                    gap = x[i] - x[j]
+                    score = 1.0 / (1.0 + np.sqrt(_dots(gap, gap)))
+                order = np.lexsort((code[same[j]], -np.where(np.isnan(score), np.inf, score), i))
+                first = np.searchsorted(i[order], i[order], "left")
+                top = order[np.arange(len(order)) - first < k]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(same[i[top]])), ids.take(pa.array(same[j[top]])), pa.array(score[top])], names=["left_id", "right_id", "score"])
 
 
 def knn(queries: DataFrame, records: DataFrame, k: int, measure: str = "cosine", vector: str = "embedding", exclude_self: bool = True, buckets: int = 0) -> DataFrame:
     """(left_id, right_id, rank, score): each query's ``k`` most similar records, exact.
 
-    All queries meet all records, as blocks: the records are dealt to ``buckets``
-    (by default one for each shuffle partition), each query is sent to every
-    bucket, keeps its best ``k`` there, and the buckets' winners are merged. Ties
-    go to the smaller id."""
+    All queries meet all records, in tiles: both are dealt to groups of some thousand (the
+    records to ``buckets``, where given), each two groups are one block product, a query keeps
+    its best ``k`` of a tile, and the tiles' winners are merged: no pair but these is a row.
+    Vectors that are null, that hold a null or, for the cosine, are zero take no part. Ties go
+    to the smaller id. Work grows with queries times records."""
     spark = queries.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select(F.col("id").alias("left_id"), F.col(vector).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__b"))
-    r = records.select(F.col("id").alias("right_id"), F.col(vector).alias("__r"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("__b"))
-    sim = {"cosine": vector_cosine, "euclidean": vector_euclidean}[measure](F.col("__q"), F.col("__r"))
-    pairs = q.join(r, "__b").where(F.col("left_id") != F.col("right_id")) if exclude_self else q.join(r, "__b")
-    scored = pairs.select("left_id", "right_id", "__b", sim.alias("score")).where("score is not null")
-    order = [F.desc("score"), F.asc("right_id")]
-    local = scored.withColumn("__l", F.row_number().over(Window.partitionBy("left_id", "__b").orderBy(*order))).where(F.col("__l") <= k)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(*order)))
+    kind = dict(records.dtypes)["id"]
+    fine = lambda df: df.where(F.col("id").isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda v: v.isNull()))
+    rows = lambda df, n, g: df.select("id", F.transform(vector, lambda v: v.cast("double")).alias("vector"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("met"))
+    a, b = fine(queries), fine(records)
+    least = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
+    n, m = max(least, -(-a.count() // HELD)), buckets or max(least, -(-b.count() // HELD))
+    q = rows(a, n, m).select((F.col("own") * m + F.col("met")).alias("tile"), F.lit(True).alias("query"), F.col("id").cast(kind).alias("id"), "vector")
+    r = rows(b, m, n).select((F.col("met") * m + F.col("own")).alias("tile"), F.lit(False).alias("query"), "id", "vector")
+
+    def run(batches):
+        for _, tile in runs(batches, "tile"):
+            yield from _near(tile, k, measure, exclude_self)
+
+    met = q.unionByName(r).repartition(min(n * m, 16 * spark.sparkContext.defaultParallelism), "tile").sortWithinPartitions("tile")
+    scored = met.mapInArrow(run, f"left_id {kind}, right_id {kind}, score double")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), F.asc("right_id"))))
     return ranked.where(F.col("rank") <= k).select("left_id", "right_id", "rank", "score")
 
 

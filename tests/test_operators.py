@@ -237,6 +237,26 @@ def test_knn_equals_brute_force(spark):
     assert len({tuple(r["embedding"]) for r in e.collect()}) == 2
 
 
+@pytest.mark.parametrize("measure", ["cosine", "euclidean"])
+def test_knn_of_copies_in_tiles_of_any_size(spark, monkeypatch, measure):
+    """No pair is a row of a join; copies go by id; vectors without a direction, null ones and
+    those with a null take no part."""
+    for name, value in (("HELD", 9), ("ROWS", 4), ("PAIRS", 6)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = random.Random(8)
+    base = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(12)]
+    rows = [(i, base[i % 12] if i < 60 else base[0]) for i in range(90)]
+    v = df(spark, [*rows, (90, None), (91, [1.0, None, 0.0, 0.0, 0.0]), (92, [1.0, 2.0])], "id int, embedding array<double>")
+    found = neighbours.knn(v, v, 4, measure)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    near = {"cosine": lambda a, b: dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))), "euclidean": lambda a, b: 1 / (1 + math.dist(a, b))}[measure]
+    got = {}
+    for r in found.orderBy("left_id", "rank").collect():
+        got.setdefault(r["left_id"], []).append(r["right_id"])
+    assert got == {i: [j for _, j in sorted((-round(near(a, b), 9), j) for j, b in rows if j != i)[:4]] for i, a in rows}
+
+
 # ---------------------------------------------------------------- comparing and scoring
 
 
