@@ -19,7 +19,8 @@
    blocks of bounded rows and shingles: classes outside meet the others of the list
    whose sizes fit, first by counting collisions, so that only classes with at
    least ``T`` in some pair of a block go on; their full sets then decide, and only
-   links that join two components come out. No pair of a list that could join two
+   links that join two components come out. A pair that several lists hold is looked at
+   in the first of them. No pair of a list that could join two
    components stays unexamined, and no block's pairs are ever rows of a table.
 """
 
@@ -31,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -164,15 +165,34 @@ class _Block:
         self.n = np.asarray(rows.column("n"))
         names: dict[bytes, int] = {}
         self.root = np.array([names.setdefault(c, len(names)) for c in rows.column("comp").to_pylist()], dtype=np.int64)
+        # the keys before this list's of which a class also holds the lists, as numbers of this block
+        earlier = _column(rows, "earlier")
+        flat, edges = np.unique(np.asarray(earlier.flatten()), return_inverse=True)[1], np.asarray(earlier.offsets)
+        edges = edges - edges[0]
+        self.earlier = np.full((rows.num_rows, int(np.diff(edges).max(initial=0))), -1, dtype=np.int64)
+        self.earlier[np.repeat(np.arange(rows.num_rows), np.diff(edges)), np.arange(len(flat)) - np.repeat(edges[:-1], np.diff(edges))] = flat
+        self.seen = np.zeros(len(flat) + 1, dtype=bool)
+        # outsiders in the order of their names, main members behind them all
+        place = np.unique(np.array(_column(rows, "node").to_pylist(), dtype=object), return_inverse=True)[1]
+        self.place = np.where(np.asarray(rows.column("main")), rows.num_rows, place)
         outsider = np.asarray(rows.column("outsider"))
         self.seekers, self.others = np.flatnonzero(outsider), np.flatnonzero(~outsider)
 
     def candidates(self, u: int) -> np.ndarray:
-        """Members that collide with ``u`` often enough, fit its size and are not joined to it."""
+        """Members that collide with ``u`` often enough, fit its size, are not joined to it and
+        meet it in no earlier list: a pair is looked at in the first of the lists that hold it,
+        and two outsiders once, at the one that comes first."""
         met = (self.sig[self.others] == self.sig[u]).sum(axis=1) >= self.p.collisions
         rest = self.others[met]
         n, m = self.n[u], self.n[rest]
-        return rest[(self.root[rest] != self.root[u]) & (self.p.over * np.minimum(n, m) >= self.p.under * np.maximum(n, m))]
+        rest = rest[(self.root[rest] != self.root[u]) & (self.p.over * np.minimum(n, m) >= self.p.under * np.maximum(n, m))]
+        rest = rest[self.place[rest] > self.place[u]]
+        own = self.earlier[u]
+        own = own[own >= 0]
+        self.seen[own] = True
+        rest = rest[~self.seen[self.earlier[rest]].any(axis=1)]
+        self.seen[own] = False
+        return rest
 
 
 def _colliding(p: Params):
@@ -185,7 +205,9 @@ def _colliding(p: Params):
             found = block.candidates(u)
             keep[found] = True
             keep[u] |= len(found) > 0
-        return rows.filter(pa.array(keep))
+        kept = rows.filter(pa.array(keep))
+        at = kept.column_names.index("earlier")
+        return kept.set_column(at, "earlier", kept.column(at).cast(pa.list_(pa.int64())))
 
     return run
 
@@ -222,19 +244,23 @@ def _finish(now: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     Sizes of partners differ by the threshold at most, so classes are dealt to bands
     of that width and meet their own band and its neighbours only."""
     width = math.log(p.over / p.under) + 1e-9
-    rows = now.select("key", "node", F.col("n").cast("long").alias("n"), "sig", "comp", "main", F.floor(F.log(F.col("n").cast("double")) / width).cast("int").alias("band"), F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(1 << 40)).alias("place"))
+    # Of two classes with different components one at least is outside in every list that holds
+    # both, so that the first such list looks at the pair and the others need not.
+    held = F.collect_list("key").over(Window.partitionBy("node"))
+    now = now.withColumn("earlier", F.filter(held, lambda k: k < F.col("key")))
+    rows = now.select("key", "node", F.col("n").cast("long").alias("n"), "sig", "comp", "main", "earlier", F.floor(F.log(F.col("n").cast("double")) / width).cast("int").alias("band"), F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(1 << 40)).alias("place"))
     room = lambda band: F.greatest(F.lit(1.0), F.least(F.lit(float(p.block)), F.floor(F.lit(float(p.block_shingles)) / F.exp((F.col(band) + 1) * width))))
     sizes = rows.groupBy("key", "band").agg(F.count("*").alias("size"), F.sum((~F.col("main")).cast("long")).alias("out"))
     sizes = sizes.select("key", "band", F.ceil(F.col("size") / room("band")).cast("long").alias("blocks"), F.ceil(F.col("out") / room("band")).cast("long").alias("outside"))
     seeking = sizes.where("outside > 0").select("key", F.col("band").alias("ob"), "outside", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("mb"))
     meets = stored(seeking.join(sizes.select("key", F.col("band").alias("mb"), "blocks"), ["key", "mb"]), "bands")
     place = ["key", "ob", "mb", "i", "j"]
-    cols = [*place, "node", "n", "sig", "comp", "outsider"]
+    cols = [*place, "node", "n", "sig", "comp", "earlier", "main", "outsider"]
     outsiders = rows.where("not main").withColumnRenamed("band", "ob").join(meets, ["key", "ob"])
     outsiders = outsiders.select("*", F.pmod("place", "outside").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("outsider")).select(cols)
     members = rows.withColumnRenamed("band", "mb").join(meets, ["key", "mb"])
     members = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outside") - 1)).alias("i"), F.pmod("place", "blocks").alias("j"), F.lit(False).alias("outsider")).select(cols)
-    kind = "key long, ob int, mb int, i long, j long, node binary, n long, sig array<int>, comp binary, outsider boolean"
+    kind = "key long, ob int, mb int, i long, j long, node binary, n long, sig array<int>, comp binary, earlier array<long>, main boolean, outsider boolean"
     met = outsiders.unionByName(members).groupBy(place).applyInArrow(_colliding(p), kind)
     met = stored(met, "colliding")
     links = met.join(sets, "node").groupBy(place).applyInArrow(_block_links(p), "a binary, b binary")

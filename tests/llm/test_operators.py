@@ -157,6 +157,21 @@ def test_minhash_dedup_large_group_by_blocks(spark):
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts)]
 
 
+def test_minhash_dedup_looks_at_a_pair_of_several_lists_once():
+    """Two outsiders that three lists hold: of both lists and both sides one has the pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    p = minhash_dedup.FOUR_FIFTHS
+    node, sig, earlier = [b"a", b"b"], np.zeros((2, p.coordinates), dtype=np.int32).tolist(), {5: [], 7: [5], 9: [5, 7]}
+    kept = 0
+    for key in earlier:
+        for u, v in ((0, 1), (1, 0)):
+            rows = {"node": [node[u], node[v]], "n": [100, 100], "sig": [sig[u], sig[v]], "comp": [node[u], node[v]], "earlier": pa.array([earlier[key]] * 2, pa.list_(pa.int64())), "main": [False, False], "outsider": [True, False]}
+            kept += minhash_dedup._colliding(p)(pa.table(rows)).num_rows
+    assert kept == 2
+
+
 def test_minhash_dedup_null_and_repeated_ids_and_empty(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(None, text), (3, text), (3, text), (5, "z y x w v u"), (None, None)], "doc_id long, text string")
