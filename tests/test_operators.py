@@ -257,6 +257,17 @@ def test_knn_of_copies_in_tiles_of_any_size(spark, monkeypatch, measure):
     assert got == {i: [j for _, j in sorted((-round(near(a, b), 9), j) for j, b in rows if j != i)[:4]] for i, a in rows}
 
 
+def test_group_links_are_no_more_than_records(spark):
+    """One link for each further record of a group, where all pairs are the square of it."""
+    rec = df(spark, [(i, "x" if i < 40 else "y", i % 2 if i != 7 else None) for i in range(60)], "id int, a string, b int")
+    links = blocking.group_links(rec, ["a", "b"])
+    assert links.count() == 55
+    every = blocking.dedupe_only(rec, [BlockingRule.of("a", "b")])
+    nodes = rec.select(F.col("id").alias("node"))
+    of = lambda p: {r["node"]: r["cluster_id"] for r in clustering.components_over(nodes, p).collect()}
+    assert of(links) == of(every)
+
+
 # ---------------------------------------------------------------- comparing and scoring
 
 
