@@ -93,6 +93,17 @@ def cluster_metrics(split: DataFrame, clusters: DataFrame, threshold: float = 0.
     return pairwise(same_cluster(split, clusters), threshold)
 
 
+def group_metrics(records: DataFrame, split: list[str], cluster: list[str], truth: list[str]) -> DataFrame:
+    """The same as ``cluster_metrics`` where the split is all pairs that agree on the columns
+    ``split``, clusters are the records that agree on ``cluster`` and matches those that agree
+    on ``truth``: from counts alone, no pair is made."""
+    from .blocking import pairs_of
+
+    counts = pairs_of(records, [*split, *cluster, *truth], "tp").crossJoin(pairs_of(records, [*split, *cluster], "__h")).crossJoin(pairs_of(records, [*split, *truth], "__t"))
+    counts = counts.select("tp", (F.col("__h") - F.col("tp")).alias("fp"), (F.col("__t") - F.col("tp")).alias("fn"))
+    return counts.withColumns(prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
 def best_config(results: DataFrame, by: str = "valid_f1") -> DataFrame:
     """The configuration with the best validation score; of equals, the lowest number.
     Selecting by a test column is refused."""

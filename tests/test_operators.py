@@ -280,6 +280,18 @@ def test_coverage_from_counts_equals_that_of_pairs(spark):
     assert blocking.rule_coverage(rec.limit(0), split, rules).first()["coverage"] == 0
 
 
+def test_metrics_of_groups_equal_those_of_pairs(spark):
+    rng = random.Random(13)
+    rec = df(spark, [(i, *[rng.choice(["u", "v", "w"]) for _ in range(3)]) for i in range(120)], "id int, a string, b string, c string")
+    labels = rec.select("id", "c")
+    split = pairs.lookup(blocking.dedupe_only(rec, [BlockingRule.of("a")]).drop("match_key"), labels, labels)
+    labelled = split.select("left_id", "right_id", (F.col("c_l") == F.col("c_r")).cast("int").alias("label"))
+    want = evaluate.cluster_metrics(labelled, rec.select(F.col("id").alias("node"), F.col("b").alias("cluster_id"))).first()
+    found = evaluate.group_metrics(rec, ["a"], ["b"], ["c"])
+    assert found.first() == want and min(want["tp"], want["fp"], want["fn"]) > 0
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # ---------------------------------------------------------------- comparing and scoring
 
 
