@@ -64,6 +64,6 @@ def blocked_sample(left: DataFrame, right: DataFrame | None, predicates: list[Pr
     drawn = stored(met.select(ends[0].alias("left_id"), ends[1].alias("right_id")).groupBy("left_id", "right_id").agg(F.count("*").alias("draws")), "drawn")
 
     keys = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.array(*[p.keys() for p in predicates]).alias(side)) if predicates else df.select(F.col("id").alias(f"{side}_id"), F.array().cast("array<array<string>>").alias(side))
-    both = drawn.join(keys(left, "left"), "left_id").join(keys(left if right is None else right, "right"), "right_id")
+    both = drawn.join(keys(left, "left").hint("merge"), "left_id").join(keys(left if right is None else right, "right").hint("merge"), "right_id")
     shared = F.aggregate(F.zip_with("left", "right", lambda x, y: F.size(F.array_intersect(x, y))), F.lit(0), lambda s, n: s + n)
     return both.select("left_id", "right_id", "draws", (F.col("draws") / (shared * F.lit(rate_blocked) + F.lit(rate_random))).alias("weight"))
