@@ -41,10 +41,10 @@ def hard_negatives(records: DataFrame, key: str, positives: DataFrame, target: i
     order = Window.partitionBy(key).orderBy(F.xxhash64("id", F.lit(seed)), "id")
     placed = stored(records.where(F.col(key).isNotNull()).select("id", F.col(key).alias("k"), F.row_number().over(order).alias("place")), "placed")
     largest = placed.agg(F.max("place")).first()[0] or 0
-    known = unordered(positives.select("left_id", "right_id"))
+    known = unordered(positives.select("left_id", "right_id")).hint("merge")
     while True:
         ahead = placed.select(F.col("id").alias("left_id"), "k", F.explode(F.sequence(F.col("place") + 1, F.col("place") + tries)).alias("place"))
-        pairs = ahead.join(placed.select(F.col("id").alias("right_id"), "k", "place"), ["k", "place"]).where("left_id <> right_id").select("left_id", "right_id")
+        pairs = ahead.join(placed.select(F.col("id").alias("right_id"), "k", "place").hint("merge"), ["k", "place"]).where("left_id <> right_id").select("left_id", "right_id")
         fresh = stored(without(unordered(pairs), known), "negatives")
         if tries >= largest - 1 or fresh.count() >= target:
             return sample_exact(fresh, target, "left_id", "right_id", seed=seed)
@@ -60,8 +60,8 @@ def random_negatives(records: DataFrame, positives: DataFrame, target: int, seed
     draws = min(n, -(-max(2 * target, 64) // n) + 1)
     slots = F.lit(n)
     taken = unordered(positives.select("left_id", "right_id"))
-    taken = taken if known is None else unordered(taken.unionByName(known.select("left_id", "right_id")))
-    other = stored(records.select(F.col("id").alias("b"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), slots).alias("slot")), "slots")
+    taken = (taken if known is None else unordered(taken.unionByName(known.select("left_id", "right_id")))).hint("merge")
+    other = stored(records.select(F.col("id").alias("b"), F.pmod(F.xxhash64("id", F.lit(seed + 1)), slots).alias("slot")), "slots").hint("merge")
     while True:
         drawn = records.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("d"))
         drawn = drawn.select("a", F.pmod(F.pmod(F.xxhash64("a", F.lit(seed)), slots) + F.col("d"), slots).alias("slot"))
@@ -75,9 +75,10 @@ def random_negatives(records: DataFrame, positives: DataFrame, target: int, seed
 
 def labelled_split(records: DataFrame, positives: DataFrame, key: str, per_positive: float = 3.0, hard_share: float = 0.3, seed: int = 42) -> DataFrame:
     """(left_id, right_id, label): a split's matches, and others at ``per_positive`` each:
-    first hard ones, then random ones."""
-    pos = unordered(positives.select("left_id", "right_id"))
+    first hard ones, then random ones. Matches are found once. No table goes to the driver: what a
+    file of records or pairs takes in memory does not show in its size, so the joins are merged."""
+    pos = stored(unordered(positives.select("left_id", "right_id")), "positives")
     want = int(pos.count() * per_positive)
-    hard = hard_negatives(records, key, pos, int(want * hard_share), seed)
+    hard = stored(hard_negatives(records, key, pos, int(want * hard_share), seed), "hard")
     rand = random_negatives(records, pos, want - hard.count(), seed, hard)
     return pos.withColumn("label", F.lit(1)).unionByName(hard.unionByName(rand).withColumn("label", F.lit(0)))
